@@ -7,18 +7,27 @@ One bucket is a 4,096-byte binary that covers 32,768 ids, so a set is a handful
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from towerlens.operators.skew import fits_broadcast
+
 IDS_PER_BUCKET = 32768
 
 
 def build(members, keys, id_col="bitmap_id"):
-    """Membership rows to bucketed bitmaps; null ids are ignored."""
-    present = members.where(F.col(id_col).isNotNull())
+    """Distinct membership rows to bucketed bitmaps; null ids are ignored.
+
+    The rows are shuffled before they are folded: a group has at most 32,768 rows of a few bytes,
+    whereas bitmaps folded on the map side would send 4 KiB for every group each task has seen.
+    The number of partitions is fixed, as bitmaps that are mostly zeros compress so well that
+    Spark would otherwise merge them into too few partitions.
+    """
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    present = members.where(F.col(id_col).isNotNull()).select(
+        *keys,
+        F.bitmap_bucket_number(id_col).alias("bucket"),
+        F.bitmap_bit_position(id_col).alias("_position"),
+    )
     return (
-        present.select(
-            *keys,
-            F.bitmap_bucket_number(id_col).alias("bucket"),
-            F.bitmap_bit_position(id_col).alias("_position"),
-        )
+        present.repartition(partitions, *keys, "bucket")
         .groupBy(*keys, "bucket")
         .agg(F.bitmap_construct_agg("_position").alias("bm"))
     )
@@ -32,13 +41,15 @@ def union(bitmaps, keys):
 def intersect(left, right, left_keys, right_keys):
     """Every left set AND every right set, bucket by bucket.
 
-    The join on the bucket number pairs the two bitmaps. Each pair becomes two rows that the AND
-    aggregate folds again; the grouping keys contain the bucket, on which the rows are already
-    partitioned, so the fold adds no shuffle.
+    ``right`` is the side with fewer sets, such as the portraits. When its checked size allows, it
+    is broadcast and the left rows stay where they are; otherwise both sides meet by bucket number.
+    Each pair becomes two rows that the AND aggregate folds again. Its grouping keys contain the
+    keys by which the rows are already partitioned, so the fold adds no shuffle.
     """
-    pairs = left.withColumnRenamed("bm", "_left").join(
-        right.withColumnRenamed("bm", "_right"), "bucket"
-    )
+    other = right.withColumnRenamed("bm", "_right")
+    if fits_broadcast(right):
+        other = F.broadcast(other)
+    pairs = left.withColumnRenamed("bm", "_left").join(other, "bucket")
     stacked = pairs.select(
         *left_keys,
         *right_keys,

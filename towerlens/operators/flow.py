@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from towerlens.operators.skew import lookup_join, with_neighbour, with_slice
+from towerlens.operators.skew import with_neighbour, with_slice
 
 LEAVE, ENTER, STAY_BEGAN, STAY_ENDED = 0, 1, 2, 3
 
@@ -38,7 +38,7 @@ def watched(df, targets):
     """Keep the rows of watched regions; no watch list means every region."""
     if targets is None:
         return df
-    return lookup_join(df, targets.select("region_id").distinct(), "region_id")
+    return df.join(targets.select("region_id"), "region_id", "left_semi")
 
 
 def flow_events(changes, targets=None):

@@ -6,22 +6,29 @@ from towerlens.functions import columns as C
 from towerlens.operators.skew import lookup_join
 
 
-def enrich(signal, user_info, heavy=None):
+def enrich(signal, user_info, heavy_users=None):
     """Signals with gender and age; signals of unknown users are dropped."""
-    return lookup_join(signal, user_info.select("imsi", "gender", "age"), "imsi", heavy=heavy)
+    return lookup_join(
+        signal, user_info.select("imsi", "gender", "age"), "imsi", heavy=heavy_users
+    )
 
 
-def place(enriched, cells):
+def place(enriched, cells, heavy_cells=None):
     """Enriched signals with their region; signals of unmapped cells are dropped.
 
     ``cells`` has one region per cell (see ``latest.cell_map``).
     """
-    return lookup_join(enriched, cells, "laccell")
+    return lookup_join(enriched, cells, "laccell", heavy=heavy_cells)
+
 
+def user_region_flow(signal, user_info, cells, heavy_users=None, heavy_cells=None):
+    """Signals of known users in mapped cells: the input of all live operators.
 
-def user_region_flow(signal, user_info, cells, heavy=None):
-    """Signals of known users in mapped cells: the input of all live operators."""
-    return place(enrich(signal, user_info, heavy), cells)
+    The cell look-up comes first: its dimension is the smaller one, and what it drops need not
+    travel to the user look-up.
+    """
+    placed = place(signal, cells, heavy_cells)
+    return enrich(placed, user_info, heavy_users)
 
 
 def persona_windows(flow, length="60 seconds", distinct_users=False):

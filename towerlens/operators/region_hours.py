@@ -6,7 +6,7 @@ from towerlens.functions import columns as C
 from towerlens.operators.skew import lookup_join
 
 
-def region_hour_members(signal, region_cell, user_index, how="left"):
+def region_hour_members(signal, region_cell, user_index, how="left", heavy_cells=None):
     """``(region_id, produce_hour, bitmap_id)``, each row once.
 
     ``how='left'`` keeps signals of unmapped cells (null region) and of unknown users (null id);
@@ -20,7 +20,8 @@ def region_hour_members(signal, region_cell, user_index, how="left"):
     seen = signal.select("imsi", "laccell", F.date_trunc("hour", "event_ts").alias("_hour"))
     if how == "inner":
         seen = seen.where(F.col("imsi").isNotNull())
-    placed = lookup_join(seen, region_cell.select("region_id", "laccell"), "laccell", how)
+    cells = region_cell.select("region_id", "laccell")
+    placed = lookup_join(seen, cells, "laccell", how, heavy_cells)
     people = placed.select("imsi", "region_id", "_hour").distinct()
     named = people.join(user_index, "imsi", how).select("region_id", "_hour", "bitmap_id")
     if how == "left":

@@ -39,32 +39,32 @@ def heavy_keys(df, key, floor=HEAVY_FLOOR):
     A key is heavy when it has more than ``max(floor, total / MAX_HEAVY_KEYS)`` rows. Fewer than
     MAX_HEAVY_KEYS keys can each exceed that share of the total, so the list is small by
     construction and may be collected and broadcast. Counting combines on the map side first.
+    Null counts as a key.
     """
     total = df.count()
     if total <= floor:
         return None
     threshold = max(floor, total // MAX_HEAVY_KEYS)
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     found = counts.where(F.col("_n") > threshold).select(key).collect()
     if not found:
         return None
     return df.sparkSession.createDataFrame(found, counts.select(key).schema)
 
 
-def lookup_join(fact, dim, key, how="inner", limit=BROADCAST_BYTES, heavy=None, floor=HEAVY_FLOOR):
+def lookup_join(fact, dim, key, how="inner", heavy=None, limit=BROADCAST_BYTES):
     """Join a large ``fact`` with a dimension on ``key``; ``how`` is inner or left.
 
-    A dimension of checked small size is broadcast, which involves no shuffle and no skew. A larger
-    one is joined by shuffle. If the fact then has heavy keys, their rows leave the shuffle and
-    meet only the dimension rows of those keys, which are few and broadcast after their own check.
-    Null keys match nothing, so they never enter the shuffle either.
+    Without heavy keys this is a plain join: Spark broadcasts a side below its size threshold and
+    shuffles both sides otherwise. ``heavy`` lists the keys of the fact found by ``heavy_keys``. A
+    dimension of checked small size is then broadcast; for a larger one the rows of the heavy keys
+    leave the shuffle and meet only the dimension rows of those keys, which are few and broadcast
+    after their own check. Null keys match nothing and leave the shuffle as well.
     """
-    if fits_broadcast(dim, limit):
-        return fact.join(F.broadcast(dim), key, how)
-    if heavy is None:
-        heavy = heavy_keys(fact, key, floor)
     if heavy is None:
         return fact.join(dim, key, how)
+    if fits_broadcast(dim, limit):
+        return fact.join(F.broadcast(dim), key, how)
     flagged = fact.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
     apart = F.col("_heavy").isNotNull() | F.col(key).isNull()
     few = dim.join(F.broadcast(heavy), key, "left_semi")

@@ -177,8 +177,9 @@ def portrait_members(spark, sf_dir):
 
 
 def _members(spark, sf_dir, index, how="left", hour=None):
+    signals = inputs.signal(spark, sf_dir, hour)
     return region_hours.region_hour_members(
-        inputs.signal(spark, sf_dir, hour), inputs.region_cell(spark, sf_dir), index, how
+        signals, inputs.region_cell(spark, sf_dir), index, how, heavy_keys(signals, "laccell")
     )
 
 
@@ -212,7 +213,7 @@ def bitmap_buckets_wide(spark, sf_dir):
     """Bitmaps over ids that do not fit 32 bits and spread over many buckets."""
     orders = inputs.table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("status"),
-        (F.col("o_orderkey") * 40009 + 5_000_000_000).alias("bitmap_id"),
+        (F.col("o_orderkey") * 101 + 5_000_000_000).alias("bitmap_id"),
     )
     built = bitmaps.build(orders, ["status"])
     return built.select("status", "bucket", F.bitmap_count("bm").alias("n_bits"))
@@ -241,8 +242,11 @@ def bitmap_and_count(spark, sf_dir):
     """Users per region, hour and portrait by intersecting bitmaps; empty intersections left out."""
     index = _index(spark, sf_dir)
     hours = bitmaps.build(_members(spark, sf_dir, index), ["region_id", "produce_hour"])
-    groups = bitmaps.build(
-        portraits.portrait_members(_labelled(spark, sf_dir, index)), ["portrait_id"]
+    # The portrait bitmaps are written once, as their size is checked before they are joined.
+    groups = materialise(
+        bitmaps.build(
+            portraits.portrait_members(_labelled(spark, sf_dir, index)), ["portrait_id"]
+        )
     )
     keys = ["region_id", "produce_hour"]
     both = bitmaps.intersect(hours, groups, keys, ["portrait_id"])
@@ -293,9 +297,18 @@ def _cells(spark, sf_dir):
     return latest.cell_map(inputs.region_cell(spark, sf_dir), "line_no")
 
 
+def _heavy(spark, sf_dir):
+    """Subscribers and cells with too many signals for one task."""
+    signals = inputs.signal(spark, sf_dir)
+    return heavy_keys(signals, "imsi"), heavy_keys(signals, "laccell")
+
+
 def _flow(spark, sf_dir, heavy=None):
     return persona.user_region_flow(
-        inputs.signal(spark, sf_dir), inputs.user_info(spark, sf_dir), _cells(spark, sf_dir), heavy
+        inputs.signal(spark, sf_dir),
+        inputs.user_info(spark, sf_dir),
+        _cells(spark, sf_dir),
+        *(heavy or _heavy(spark, sf_dir)),
     )
 
 
@@ -304,8 +317,8 @@ def _persona(spark, sf_dir):
 
 
 def _changes(spark, sf_dir):
-    heavy = heavy_keys(inputs.signal(spark, sf_dir), "imsi")
-    return flow.region_changes(_flow(spark, sf_dir, heavy), heavy)
+    heavy = _heavy(spark, sf_dir)
+    return flow.region_changes(_flow(spark, sf_dir, heavy), heavy[0])
 
 
 def _flow_events(spark, sf_dir):
@@ -320,8 +333,9 @@ def _stay_events(spark, sf_dir):
 
 @_query
 def enriched_signal(spark, sf_dir):
+    signals = inputs.signal(spark, sf_dir)
     return persona.enrich(
-        inputs.signal(spark, sf_dir), inputs.user_info(spark, sf_dir)
+        signals, inputs.user_info(spark, sf_dir), heavy_keys(signals, "imsi")
     ).select("imsi", "laccell", "gender", "age", "event_ts")
 
 

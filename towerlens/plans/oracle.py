@@ -200,7 +200,7 @@ SELECT region_id, produce_hour, count(bitmap_id) AS n_users FROM region_hour_mem
 SELECT portrait_id, (bitmap_id - 1) // 32768 + 1 AS bucket, count(DISTINCT bitmap_id) AS n_bits
 FROM portrait_members GROUP BY 1, 2""",
     "bitmap_buckets_wide": """
-SELECT o_orderstatus AS status, (o_orderkey * 40009 + 5000000000 - 1) // 32768 + 1 AS bucket,
+SELECT o_orderstatus AS status, (o_orderkey * 101 + 5000000000 - 1) // 32768 + 1 AS bucket,
        count(DISTINCT o_orderkey) AS n_bits FROM orders GROUP BY 1, 2""",
     "bitmap_to_ids": """
 SELECT region_id, produce_hour, bitmap_id FROM region_hour_members

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from towerlens.operators import latest
-from towerlens.operators.skew import lookup_join
 
 
 def portrait_users(members, portrait_members, region_id, hour, portrait_id):
@@ -33,7 +32,7 @@ def current_persona(persona):
 def region_portrait(current, centers, region_id=None):
     """Current audience make-up of one region, or of all, with the region's name."""
     rows = current if region_id is None else current.where(F.col("region_id") == region_id)
-    return lookup_join(rows, centers.select("region_id", "name"), "region_id", "left")
+    return rows.join(centers.select("region_id", "name"), "region_id", "left")
 
 
 def region_stay_total(totals, region_id=None):
@@ -65,19 +64,16 @@ def heatmap_totals(current):
 
 def heatmap_regions(current, centers):
     """Number of signals per region with its centre and boundary, where known."""
-    placed = lookup_join(
-        current.select("region_id", "pep_cnt"),
-        centers.select("region_id", "center", "boundary"),
-        "region_id",
-        "left",
+    placed = current.select("region_id", "pep_cnt").join(
+        centers.select("region_id", "center", "boundary"), "region_id", "left"
     )
     return placed.select("region_id", "pep_cnt", "center", "boundary")
 
 
 def heatmap_flat(current, centers):
     """All counters per region with name, centre and boundary, where known."""
-    return lookup_join(
-        current, centers.select("region_id", "name", "center", "boundary"), "region_id", "left"
+    return current.join(
+        centers.select("region_id", "name", "center", "boundary"), "region_id", "left"
     )
 
 

@@ -55,8 +55,12 @@ def upsert_slot(spark, updates, path, keys, version, batch_id):
     """
     before = _read_slot(spark, path, batch_id - 1, updates.schema)
     rows = updates if before is None else before.unionByName(updates)
-    merged = last_per_key(rows, keys, version)
-    merged.write.mode("overwrite").parquet(_slot(path, batch_id))
+    replace_slot(last_per_key(rows, keys, version), path, batch_id)
+
+
+def replace_slot(df, path, batch_id):
+    """Write the whole table as it is after batch ``batch_id``."""
+    df.write.mode("overwrite").parquet(_slot(path, batch_id))
 
 
 def read_upserted(spark, path, schema, keys, version):

@@ -1,6 +1,7 @@
 """The stream forms against their batch twins, over several ways to cut the input."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,158 @@ def test_visits_continue_after_restart(spark, tmp_path):
     write_end(spark, src)
     run_visits(spark, src, str(tmp_path))
     check_visits(spark, str(tmp_path))
+
+
+# ---- live persona ------------------------------------------------------------------------------
+
+COUNTERS = (
+    "region_id", "window_start", "man", "women", "age_10_20", "age_20_40", "age_40", "pep_cnt",
+)
+
+
+def test_persona_equals_batch(spark, tmp_path):
+    src = str(tmp_path / "src")
+    write_steps(spark, src, (300, 700))
+    write_end(spark, src)
+    user_info, cells = dims(spark)
+    placed = live.user_region_flow(
+        stream_of(spark, src), user_info, cells, f"{DELAY_HOURS} hours"
+    )
+    out = str(tmp_path / "region_person")
+    writers.start_persona(
+        placed, "1 hour", out, str(tmp_path / "checkpoint"), availableNow=True
+    ).awaitTermination()
+    windows = persona.persona_windows(
+        persona.user_region_flow(inputs.signal(spark, SF), user_info, cells), "1 hour"
+    )
+    wanted = latest.last_per_key(windows, ["region_id"], "window_start")
+    got = sink.read_upserted(spark, out, windows.schema, ["region_id"], "window_start")
+    assert rows_of(got, *COUNTERS) == rows_of(wanted, *COUNTERS)
+
+
+# ---- text source, dimension refresh, processing time -------------------------------------------
+
+
+def test_text_lines_become_signals(spark, tmp_path):
+    src = tmp_path / "lines"
+    src.mkdir()
+    (src / "a.txt").write_text(
+        "u1|c1|23.1|113.1|1704067200123\nbad line\nu2|c2|23.1|113.1|1704067201000\n"
+    )
+    query = (
+        live.signals(streams.file_lines(spark, str(src)))
+        .writeStream.format("memory")
+        .queryName("parsed_signals")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert rows_of(spark.table("parsed_signals"), "imsi", "laccell", "event_ts") == [
+        ("u1", "c1", dt.datetime(2024, 1, 1, 0, 0, 0, 123000)),
+        ("u2", "c2", dt.datetime(2024, 1, 1, 0, 0, 1)),
+    ]
+
+
+def test_dimensions_are_read_again_for_each_batch(spark, tmp_path):
+    schema = inputs.signal(spark, SF).schema
+    src, out = str(tmp_path / "src"), str(tmp_path / "placed")
+    users, cells = str(tmp_path / "users"), str(tmp_path / "cells")
+
+    def signal(number, imsi):
+        spark.createDataFrame(
+            [(number, imsi, "c1", 0, dt.datetime(2024, 1, 1))], schema
+        ).write.mode("append").parquet(src)
+
+    def load():
+        return (
+            spark.read.schema("imsi string, gender string, age int").csv(users, sep="|"),
+            spark.read.schema("laccell string, region_id string").csv(cells, sep="|"),
+        )
+
+    def run():
+        writers.start_enrichment(
+            stream_of(spark, src), load, out, str(tmp_path / "checkpoint"), availableNow=True
+        ).awaitTermination()
+
+    (tmp_path / "users").mkdir()
+    (tmp_path / "cells").mkdir()
+    (tmp_path / "users" / "1.txt").write_text("u1|1|30\n")
+    (tmp_path / "cells" / "1.txt").write_text("c1|R1\n")
+    signal(1, "u1")
+    signal(2, "u2")
+    run()
+    assert rows_of(spark.read.parquet(out), "event_id") == [(1,)]
+    (tmp_path / "users" / "2.txt").write_text("u2|0|40\n")
+    (tmp_path / "cells" / "1.txt").write_text("c1|R9\n")
+    signal(3, "u2")
+    run()
+    assert rows_of(spark.read.parquet(out), "event_id", "region_id", "gender") == [
+        (1, "R1", "1"),
+        (3, "R9", "0"),
+    ]
+
+
+def test_processing_time_visits_with_state_ttl(spark, tmp_path):
+    """With no threshold every entry is a long stay at once, whatever the clock says."""
+    src, out = str(tmp_path / "src"), str(tmp_path)
+    write_steps(spark, src, ())
+    user_info, cells = dims(spark)
+    placed = persona.user_region_flow(stream_of(spark, src), user_info, cells)
+    targets = inputs.target_region(spark, SF)
+    query = writers.start_visits(
+        placed,
+        targets,
+        0,
+        f"{out}/tables",
+        f"{out}/checkpoint",
+        event_time=False,
+        ttl_ms=86_400_000,
+        processingTime="1 second",
+    )
+    # Timers of the clock keep such a query running, so it is stopped once the file is through.
+    deadline = time.monotonic() + 90
+    while time.monotonic() < deadline and query.isActive:
+        if any(p["numInputRows"] for p in query.recentProgress):
+            break
+        time.sleep(0.5)
+    query.stop()
+    flows, _ = batch_twin(spark)
+    got = spark.read.parquet(f"{out}/tables/flow_events")
+    assert rows_of(got, *EVENT) == rows_of(flows, *EVENT)
+    stays = spark.read.parquet(f"{out}/tables/stay_events")
+    assert stays.where("event_type = 2").count() == flows.where("event_type = 1").count()
+    assert stays.where("event_type = 3").count() == flows.where("event_type = 0").count()
+
+
+def test_processing_time_stamp(spark, tmp_path):
+    src = str(tmp_path / "src")
+    write_steps(spark, src, ())
+    user_info, cells = dims(spark)
+    stamped = live.stamped_now(stream_of(spark, src))
+    windows = persona.persona_windows(
+        persona.user_region_flow(stamped, user_info, cells), "60 seconds"
+    )
+    query = (
+        windows.writeStream.format("memory")
+        .queryName("stamped_windows")
+        .outputMode("complete")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    wanted = persona.user_region_flow(inputs.signal(spark, SF), user_info, cells).count()
+    assert spark.table("stamped_windows").agg(F.sum("pep_cnt")).first()[0] == wanted
+
+
+def test_batch_run_again_leaves_totals_unchanged(spark, tmp_path):
+    path = str(tmp_path / "totals")
+    schema = "imsi string, event_type int, region_id string, event_ts timestamp"
+    when = dt.datetime(2024, 1, 1)
+    one = spark.createDataFrame([("u", 2, "A", when), ("v", 2, "A", when)], schema)
+    two = spark.createDataFrame([("u", 3, "A", when + dt.timedelta(hours=1))], schema)
+    writers.add_to_totals(one, path, 0)
+    for _ in range(2):
+        writers.add_to_totals(two, path, 1)
+        got = writers.read_totals(spark, path)
+        assert rows_of(got, "region_id", "stay_count") == [("A", 1)]
+    assert got.first().ts == when + dt.timedelta(hours=1)

@@ -29,8 +29,8 @@ def measured_bytes(df):
     return size.n * fixed + (size.b or 0)
 
 
-def fits_broadcast(df, limit=BROADCAST_BYTES):
-    return measured_bytes(df) <= limit
+def fits_broadcast(df, limit=None):
+    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def heavy_keys(df, key, floor=HEAVY_FLOOR):
@@ -52,7 +52,7 @@ def heavy_keys(df, key, floor=HEAVY_FLOOR):
     return df.sparkSession.createDataFrame(found, counts.select(key).schema)
 
 
-def lookup_join(fact, dim, key, how="inner", heavy=None, limit=BROADCAST_BYTES):
+def lookup_join(fact, dim, key, how="inner", heavy=None, limit=None):
     """Join a large ``fact`` with a dimension on ``key``; ``how`` is inner or left.
 
     Without heavy keys this is a plain join: Spark broadcasts a side below its size threshold and

@@ -30,6 +30,18 @@ def append_index(new_ids, path):
     new_ids.write.mode("append").parquet(path)
 
 
+def write_bucketed(df, table, key, buckets, path=None):
+    """Save a catalogue table bucketed and sorted by ``key``.
+
+    Tables bucketed alike on imsi, such as the subscribers and the user index, join without a
+    shuffle; a stream joined with one only shuffles its own small micro-batch.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def write_jdbc(df, options, mode="append", batch=10_000, truncate=False):
     """Write to a JDBC table in batches, one connection per partition."""
     (
@@ -77,7 +89,7 @@ def previous_slot(spark, path, batch_id, schema):
 
 def append_batch(df, path, batch_id):
     """Append one micro-batch; running the batch again replaces its own folder."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def _slot(path, batch_id):

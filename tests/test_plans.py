@@ -11,8 +11,6 @@ SF = f"{DATA}/sf0.001"
 
 # Queries whose last step has one row or a few by definition.
 SINGLE_ROW = {"parse_reject_count", "heatmap_totals", "portrait_region_hour_count"}
-# The border rows of the slices of one global order meet in one task.
-BORDERS = {"adjacent_dedup_regions", "sample_regions"}
 
 
 def plan_of(df):
@@ -30,7 +28,7 @@ def test_no_cartesian_and_no_single_task(plans, name):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
-    if name not in SINGLE_ROW | BORDERS:
+    if name not in SINGLE_ROW:
         main = plan.split("+- == Initial Plan ==")[0]
         # The scalar horizon of the stays is a one-row aggregate in a subquery.
         assert main.count("SinglePartition") <= main.count("Subquery")
@@ -68,11 +66,11 @@ def test_visits_need_one_shuffle(spark):
     assert plan_of(changes).count("Exchange hashpartitioning") == 1
 
 
-def test_border_rows_reuse_the_shuffle(spark):
+def test_sliced_visits_read_the_signals_once(spark):
     signal = inputs.signal(spark, SF)
     cells = latest.cell_map(inputs.region_cell(spark, SF), "line_no")
     heavy = skew.heavy_keys(signal, "imsi", floor=20)
     placed = persona.user_region_flow(signal, inputs.user_info(spark, SF), cells, heavy)
-    changes = flow.region_changes(placed, heavy)
-    changes.collect()
-    assert "ReusedExchange" in plan_of(changes) or "ReusedQueryStage" in plan_of(changes)
+    plan = plan_of(flow.region_changes(placed, heavy))
+    assert plan.count("events.parquet") == 1
+    assert "Union" not in plan

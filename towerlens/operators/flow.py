@@ -24,11 +24,9 @@ def region_changes(flow, heavy=None, slice_ms=HEAVY_SLICE_MS):
     if heavy is not None:
         flow = with_slice(flow, "imsi", "event_ts", heavy, slice_ms)
         slice_col = "_slice"
-    seen = with_neighbour(
-        flow, ["imsi"], ORDER, {"prev_region": "region_id"}, "previous", slice_col
-    )
-    changed = seen.where(
-        F.col("prev_region").isNull() | (F.col("prev_region") != F.col("region_id"))
+    is_change = F.col("prev_region").isNull() | (F.col("prev_region") != F.col("region_id"))
+    changed = with_neighbour(
+        flow, ["imsi"], ORDER, {"prev_region": "region_id"}, "previous", slice_col, is_change
     )
     visits = with_neighbour(changed, ["imsi"], ORDER, {"exit_ts": "event_ts"}, "next", slice_col)
     return visits.drop("_slice")

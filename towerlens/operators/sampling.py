@@ -12,10 +12,11 @@ def drop_adjacent_repeats(df, order, value, rows_per_slice=1_000_000):
     border rows of each slice meet in one task.
     """
     sliced = df.withColumn("_slice", F.floor(F.col(order) / rows_per_slice).cast("bigint"))
-    seen = with_neighbour(sliced, [], [order], {"_before": value}, "previous", "_slice")
-    return seen.where(
-        F.col("_before").isNull() | (F.col("_before") != F.col(value))
-    ).drop("_before", "_slice")
+    is_change = F.col("_before").isNull() | (F.col("_before") != F.col(value))
+    kept = with_neighbour(
+        sliced, [], [order], {"_before": value}, "previous", "_slice", is_change
+    )
+    return kept.drop("_before", "_slice")
 
 
 def uniform_sample(df, k, id_cols, seed=0):

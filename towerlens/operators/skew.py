@@ -82,35 +82,47 @@ def with_slice(df, key, ts, heavy, slice_ms):
     return flagged.withColumn("_slice", F.when(F.col("_heavy"), number)).drop("_heavy")
 
 
-def with_neighbour(df, keys, order, columns, direction="previous", slice_col=None):
+def with_neighbour(
+    df, keys, order, columns, direction="previous", slice_col=None, keep=None
+):
     """Add columns of the previous or next row per key: ``columns`` maps new name to source column.
 
     Without ``slice_col`` this is lag or lead over the keys. With it, rows are ordered inside
-    (keys, slice), so a key with very many rows is spread over as many tasks as it has slices.
-    Only the first and last row of each slice then meet in a window over the keys alone, which
-    finds the neighbours across slice borders. Slices must follow the order. Rows whose slice is
-    null belong to ordinary keys and are complete after the first step.
+    (keys, slice), so a key with very many rows is spread over as many tasks as it has slices. A
+    second window finds the neighbours across slice borders: the first and last row of each slice
+    meet there in one group per key, all other rows keep what they have. Slices must follow the
+    order. Rows whose slice is null belong to ordinary keys and have no borders.
+
+    ``keep`` is a condition on the new columns. Rows that fail it are dropped, those inside a
+    slice before the second window already.
     """
     shift = F.lag if direction == "previous" else F.lead
     if slice_col is None:
         window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({new: shift(old).over(window) for new, old in columns.items()})
+        found = df.withColumns({new: shift(old).over(window) for new, old in columns.items()})
+        return found if keep is None else found.where(keep)
 
     local = Window.partitionBy(*keys, slice_col).orderBy(*order)
+    first = F.lag(F.lit(True)).over(local).isNull()
+    last = F.lead(F.lit(True)).over(local).isNull()
     placed = df.withColumns(
         {
             **{new: shift(old).over(local) for new, old in columns.items()},
-            "_first": F.lag(F.lit(True)).over(local).isNull(),
-            "_last": F.lead(F.lit(True)).over(local).isNull(),
+            "_open": first if direction == "previous" else last,
+            "_border": (first | last) & F.col(slice_col).isNotNull(),
         }
     )
-    edge = F.col("_first") if direction == "previous" else F.col("_last")
-    sliced = F.col(slice_col).isNotNull()
-    done = placed.where(~(edge & sliced))
-    across = Window.partitionBy(*keys).orderBy(*order)
-    edges = (
-        placed.where((F.col("_first") | F.col("_last")) & sliced)
-        .withColumns({new: shift(old).over(across) for new, old in columns.items()})
-        .where(edge)
+    if keep is not None:
+        placed = placed.where(keep | F.col("_border"))
+    placed = placed.withColumn("_lane", F.when(~F.col("_border"), F.col(slice_col)))
+    across = Window.partitionBy(*keys, "_border", "_lane").orderBy(*order)
+    unknown = F.col("_open") & F.col("_border")
+    found = placed.withColumns(
+        {
+            new: F.when(unknown, shift(old).over(across)).otherwise(F.col(new))
+            for new, old in columns.items()
+        }
     )
-    return done.unionByName(edges).drop("_first", "_last")
+    if keep is not None:
+        found = found.where(keep)
+    return found.drop("_open", "_border", "_lane")

@@ -6,7 +6,9 @@ from towerlens.functions import columns as C
 from towerlens.operators.skew import lookup_join
 
 
-def region_hour_members(signal, region_cell, user_index, how="left", heavy_cells=None):
+def region_hour_members(
+    signal, region_cell, user_index, how="left", heavy_cells=None, fold_unknown=True
+):
     """``(region_id, produce_hour, bitmap_id)``, each row once.
 
     ``how='left'`` keeps signals of unmapped cells (null region) and of unknown users (null id);
@@ -15,7 +17,8 @@ def region_hour_members(signal, region_cell, user_index, how="left", heavy_cells
     Signals shrink to one row per person, region and hour before they meet the user index, and
     that step combines on the map side. A person then has at most one row per region and hour, so
     the join on imsi has no unbounded key. With inner joins its result is already distinct; with
-    left joins only the unknown users, who share the null id, have to be folded once more.
+    left joins only the unknown users, who share the null id, have to be folded once more; callers
+    that ignore null ids spare that shuffle with ``fold_unknown=False``.
     """
     seen = signal.select("imsi", "laccell", F.date_trunc("hour", "event_ts").alias("_hour"))
     if how == "inner":
@@ -24,7 +27,7 @@ def region_hour_members(signal, region_cell, user_index, how="left", heavy_cells
     placed = lookup_join(seen, cells, "laccell", how, heavy_cells)
     people = placed.select("imsi", "region_id", "_hour").distinct()
     named = people.join(user_index, "imsi", how).select("region_id", "_hour", "bitmap_id")
-    if how == "left":
+    if how == "left" and fold_unknown:
         named = named.distinct()
     return named.select("region_id", C.hour_text("_hour").alias("produce_hour"), "bitmap_id")
 

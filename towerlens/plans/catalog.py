@@ -15,8 +15,9 @@ from towerlens.operators import (
 )
 from towerlens.operators.skew import heavy_keys
 from towerlens.plans import inputs, serving
-from towerlens.session import materialise
+from towerlens.session import materialise, work_folder
 from towerlens.sources import lines
+from towerlens.streaming import live, writers
 
 # Parameters of the registered queries.
 HOUR = "2024011108"
@@ -24,6 +25,7 @@ REGION = "R0"
 PORTRAIT = 5
 STAY_MS = 24 * 3_600_000
 PERSONA_WINDOW = "1 hour"
+WATERMARK_DELAY = "2 hours"
 NEWEST = 50
 SAMPLE = 40
 
@@ -176,10 +178,15 @@ def portrait_members(spark, sf_dir):
 # ---- region hours ------------------------------------------------------------------------------
 
 
-def _members(spark, sf_dir, index, how="left", hour=None):
+def _members(spark, sf_dir, index, how="left", hour=None, fold_unknown=True):
     signals = inputs.signal(spark, sf_dir, hour)
     return region_hours.region_hour_members(
-        signals, inputs.region_cell(spark, sf_dir), index, how, heavy_keys(signals, "laccell")
+        signals,
+        inputs.region_cell(spark, sf_dir),
+        index,
+        how,
+        heavy_keys(signals, "laccell"),
+        fold_unknown,
     )
 
 
@@ -195,7 +202,8 @@ def region_hour_users_inner(spark, sf_dir):
 
 @_query
 def region_hour_count(spark, sf_dir):
-    return region_hours.region_hour_counts(_members(spark, sf_dir, _index(spark, sf_dir)))
+    members = _members(spark, sf_dir, _index(spark, sf_dir), fold_unknown=False)
+    return region_hours.region_hour_counts(members)
 
 
 # ---- bitmaps -----------------------------------------------------------------------------------
@@ -230,7 +238,7 @@ def bitmap_to_ids(spark, sf_dir):
 @_query
 def region_day_users(spark, sf_dir):
     """Users per region and day: the bitmaps of the hours merged."""
-    members = _members(spark, sf_dir, _index(spark, sf_dir))
+    members = _members(spark, sf_dir, _index(spark, sf_dir), fold_unknown=False)
     hours = bitmaps.build(members, ["region_id", "produce_hour"])
     days = hours.withColumn("produce_day", C.day_text("produce_hour"))
     keys = ["region_id", "produce_day"]
@@ -241,7 +249,8 @@ def region_day_users(spark, sf_dir):
 def bitmap_and_count(spark, sf_dir):
     """Users per region, hour and portrait by intersecting bitmaps; empty intersections left out."""
     index = _index(spark, sf_dir)
-    hours = bitmaps.build(_members(spark, sf_dir, index), ["region_id", "produce_hour"])
+    members = _members(spark, sf_dir, index, fold_unknown=False)
+    hours = bitmaps.build(members, ["region_id", "produce_hour"])
     # The portrait bitmaps are written once, as their size is checked before they are joined.
     groups = materialise(
         bitmaps.build(
@@ -284,7 +293,7 @@ def portrait_region_hour_users(spark, sf_dir):
 def portrait_region_hour_matrix(spark, sf_dir):
     index = _index(spark, sf_dir)
     return region_hours.matrix(
-        _members(spark, sf_dir, index),
+        _members(spark, sf_dir, index, fold_unknown=False),
         _labelled(spark, sf_dir, index),
         portraits.STANDARD.lookup(0),
     )
@@ -404,6 +413,61 @@ def stay_total(spark, sf_dir):
     return totals.select("region_id", "stay_count")
 
 
+# ---- live operators as streams -----------------------------------------------------------------
+
+
+def _placed_stream(spark, sf_dir):
+    """The signals as a stream; the operators see them once the watermark has passed."""
+    return live.user_region_flow(
+        inputs.signal_stream(spark, sf_dir),
+        inputs.user_info(spark, sf_dir),
+        _cells(spark, sf_dir),
+        WATERMARK_DELAY,
+    )
+
+
+def _run_visits(spark, sf_dir):
+    folder = work_folder(spark)
+    writers.start_visits(
+        _placed_stream(spark, sf_dir),
+        inputs.target_region(spark, sf_dir),
+        STAY_MS,
+        f"{folder}/tables",
+        f"{folder}/checkpoint",
+        availableNow=True,
+    ).awaitTermination()
+    return f"{folder}/tables"
+
+
+@_query
+def stream_visit_events(spark, sf_dir):
+    """Enter, leave and stay events as the stateful stream query writes them."""
+    out = _run_visits(spark, sf_dir)
+    names = ("imsi", "event_type", "region_id", "gender", "age", "event_ts")
+    kinds = [spark.read.parquet(f"{out}/{kind}_events").select(*names) for kind in ("flow", "stay")]
+    return kinds[0].unionByName(kinds[1])
+
+
+@_query
+def stream_stay_totals(spark, sf_dir):
+    """Stay totals as the stream query keeps them."""
+    return writers.read_totals(spark, f"{_run_visits(spark, sf_dir)}/stay_totals")
+
+
+@_query
+def stream_persona_windows(spark, sf_dir):
+    """Finished audience windows as the stream query writes them."""
+    folder = work_folder(spark)
+    writers.start_persona_log(
+        _placed_stream(spark, sf_dir),
+        PERSONA_WINDOW,
+        f"{folder}/windows",
+        f"{folder}/checkpoint",
+        availableNow=True,
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/windows").drop("batch_id", "window_end")
+
+
 # ---- serving: regions --------------------------------------------------------------------------
 
 

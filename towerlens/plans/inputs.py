@@ -6,7 +6,7 @@ and region dimensions. Only integer arithmetic and text building is used.
 
 from pyspark.sql import functions as F
 
-from towerlens.sources import tables
+from towerlens.sources import streams, tables
 
 DAY_MS = 86_400_000
 
@@ -30,11 +30,18 @@ def signal(spark, sf_dir, hour=None):
     """
     events = table(spark, sf_dir, "events")
     if hour is not None:
-        start, end = tables.hour_bounds(hour)
-        ntz = F.col("ts")
-        events = events.where(
-            (ntz >= start.cast("timestamp_ntz")) & (ntz < end.cast("timestamp_ntz"))
-        )
+        start, end = (bound.cast("timestamp_ntz") for bound in tables.hour_bounds(hour))
+        events = events.where((F.col("ts") >= start) & (F.col("ts") < end))
+    return _signal_of(events)
+
+
+def signal_stream(spark, sf_dir):
+    """The same signals as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return _signal_of(streams.file_table(spark, f"{sf_dir}/events*.parquet", schema))
+
+
+def _signal_of(events):
     timed = events.select(
         "event_id",
         "user_id",

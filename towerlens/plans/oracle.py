@@ -99,6 +99,23 @@ stays AS (
 deltas AS (
   SELECT imsi, region_id, event_ts, event_type,
          CAST(CASE event_type WHEN 2 THEN 1 ELSE -1 END AS BIGINT) AS delta FROM stays),
+-- What a stream has finished when its input ends: everything up to the watermark.
+mark AS (
+  SELECT make_timestamp((max(start_ms) - 2 * 3600000) * 1000) AS w FROM signal),
+seen AS (
+  SELECT *, lag(region_id) OVER (PARTITION BY imsi ORDER BY event_ts, event_id) AS prev
+  FROM urf WHERE event_ts <= (SELECT w FROM mark)),
+seen_chg AS (
+  SELECT *, lead(event_ts) OVER (PARTITION BY imsi ORDER BY event_ts, event_id) AS exit_ts
+  FROM seen WHERE prev IS NULL OR prev <> region_id),
+seen_visits AS (
+  SELECT * FROM seen_chg WHERE region_id IN (SELECT region_id FROM target_region)),
+seen_stays AS (
+  SELECT imsi, 2 AS event_type, region_id, gender, age, event_ts + INTERVAL 24 HOUR AS event_ts FROM seen_visits
+  WHERE event_ts + INTERVAL 24 HOUR <= coalesce(exit_ts, (SELECT w FROM mark))
+  UNION ALL
+  SELECT imsi, 3, region_id, gender, age, exit_ts FROM seen_visits
+  WHERE exit_ts IS NOT NULL AND event_ts + INTERVAL 24 HOUR <= exit_ts),
 region_list AS (
   SELECT seq, region_id FROM (
     SELECT line_no AS seq, trim(split_part(line, '|', 1)) AS region_id,
@@ -237,6 +254,17 @@ SELECT region_id, event_ts, imsi, event_type,
        CAST(sum(delta) OVER (PARTITION BY region_id ORDER BY event_ts, event_type, imsi
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stay_count FROM deltas""",
     "stay_total": "SELECT region_id, CAST(sum(delta) AS BIGINT) AS stay_count FROM deltas GROUP BY 1",
+    "stream_visit_events": """
+SELECT imsi, 0 AS event_type, prev AS region_id, gender, age, event_ts FROM seen_chg
+WHERE prev IN (SELECT region_id FROM target_region)
+UNION ALL SELECT imsi, 1, region_id, gender, age, event_ts FROM seen_visits
+UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM seen_stays""",
+    "stream_stay_totals": """
+SELECT region_id, CAST(sum(CASE event_type WHEN 2 THEN 1 ELSE -1 END) AS BIGINT) AS stay_count,
+       max(event_ts) AS ts FROM seen_stays GROUP BY 1""",
+    "stream_persona_windows": """
+SELECT region_id, window_start, man, women, age_10_20, age_20_40, age_40, pep_cnt FROM persona
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT w FROM mark)""",
     "region_portrait": """
 SELECT c.*, n.name FROM current_persona c LEFT JOIN region_center n ON c.region_id = n.region_id""",
     "region_stay_total": """

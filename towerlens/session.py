@@ -1,6 +1,7 @@
 """Session set-up shared by the entry file, the benchmark and the tests."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,12 @@ def ensure_checkpoint_dir(spark):
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="towerlens-checkpoint-"))
 
 
+def work_folder(spark):
+    """A new folder next to the checkpoints, on storage that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+
+
 def materialise(df):
     """Write ``df`` once to the checkpoint folder, so several consumers share one computation.
 

@@ -71,6 +71,18 @@ def start_persona(stream, length, out, checkpoint, **trigger):
     return _start(windows, write, checkpoint, trigger)
 
 
+def start_persona_log(stream, length, out, checkpoint, **trigger):
+    """Append every finished window to the table ``out``."""
+    use_rocksdb(stream.sparkSession)
+    windows = persona.persona_windows(stream, length)
+    return _start(
+        windows,
+        lambda batch, batch_id: sink.append_batch(batch, out, batch_id),
+        checkpoint,
+        trigger,
+    )
+
+
 def start_enrichment(stream, load_dimensions, out, checkpoint, **trigger):
     """Place signals with dimensions that are read again for every micro-batch.
 

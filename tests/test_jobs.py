@@ -315,6 +315,15 @@ def test_heatmap_of_no_regions_is_zero(spark):
     assert tuple(row) == (0, 0, 0, 0, 0)
 
 
+def test_text_counters_that_are_no_numbers_are_skipped(spark):
+    stored = spark.createDataFrame(
+        [("R1", "1", "2", "3", "4", "5"), ("R2", "10", "many", None, " 40 ", "50")],
+        ["region_id", *serving.TOTALLED],
+    )
+    row = serving.heatmap_totals(serving.numeric_cells(stored, serving.TOTALLED)).first()
+    assert tuple(row) == (11, 2, 3, 44, 55)
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
     users = inputs.user_info(spark, SF)
     sink.write_bucketed(users, "users_by_imsi", "imsi", 4, str(tmp_path / "users"))

@@ -24,6 +24,7 @@ def place(enriched, cells, heavy_cells=None):
 def user_region_flow(signal, user_info, cells, heavy_users=None, heavy_cells=None):
     """Signals of known users in mapped cells: the input of all live operators.
 
+    ``user_info`` has one row per user; ``latest.last_per_key`` makes it so for a feed of updates.
     The cell look-up comes first: its dimension is the smaller one, and what it drops need not
     travel to the user look-up.
     """

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from towerlens.operators import latest
 
+# The counters a heat map adds up over all regions.
+TOTALLED = ("age_10_20", "age_20_40", "age_40", "man", "women")
+
 
 def portrait_users(members, portrait_members, region_id, hour, portrait_id):
     """Ids of the users of one portrait who were in one region in one hour.
@@ -24,6 +27,14 @@ def portrait_user_count(members, portrait_members, region_id, hour, portrait_id)
     return users.agg(F.count(F.lit(1)).alias("n_users"))
 
 
+def numeric_cells(stored, names):
+    """Counters of a table that stores text: a cell that is no number becomes null.
+
+    The sums below skip nulls, so such a cell adds nothing and fails nothing.
+    """
+    return stored.withColumns({n: F.trim(n).try_cast("bigint") for n in names})
+
+
 def current_persona(persona):
     """The newest window of each region: what the live table holds."""
     return latest.last_per_key(persona, ["region_id"], "window_start")
@@ -58,8 +69,7 @@ def latest_events_per_region(events, n=50):
 
 def heatmap_totals(current):
     """Counters over all regions; zeros when there are no regions."""
-    names = ("age_10_20", "age_20_40", "age_40", "man", "women")
-    return current.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return current.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in TOTALLED])
 
 
 def heatmap_regions(current, centers):

@@ -81,7 +81,8 @@ class VisitTracker(StatefulProcessor):
         self.handle.registerTimer(-(-time_us // 1000))
 
     def _advance(self, imsi, signals, now_us):
-        before = _Visit(*self.visit.get()) if self.visit.exists() else None
+        held = self.visit.get()
+        before = None if held is None else _Visit(*held)
         visit, events = before, []
         for signal in signals:
             clock = signal.event_us if self.event_time else now_us
@@ -122,8 +123,7 @@ class VisitTracker(StatefulProcessor):
 
 def _frame(events):
     names = ["imsi", "event_type", "region_id", "gender", "age", "event_us"]
-    frame = pd.DataFrame(events, columns=names)
-    return frame.astype({"event_type": "int32", "age": "Int32"})
+    return pd.DataFrame(dict(zip(names, map(list, zip(*events)))))
 
 
 def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None):

@@ -3,14 +3,19 @@
 Event types are those of the batch form: 0 leave, 1 enter, 2 long stay began, 3 long stay ended.
 """
 
+import sys
 from collections import namedtuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from towerlens.operators.flow import ENTER, LEAVE, STAY_BEGAN, STAY_ENDED
 
+# The tracker travels to the Python workers by value, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EVENT_SCHEMA = "imsi string, event_type int, region_id string, gender string, age int, event_us long"
 
 _SIGNAL_SCHEMA = (

@@ -10,19 +10,40 @@ from towerlens.functions import columns as C
 
 @dataclass(frozen=True)
 class PortraitScheme:
-    """A way to label people. ``groups`` lists (portrait id, value, comment)."""
+    """A way to label people.
+
+    ``groups`` lists (portrait id, value, comment), ``unnumbered`` the values without a portrait id.
+    """
 
     groups: tuple
     gender_value: Callable
     age_value: Callable
     min_age: int | None = None
+    unnumbered: tuple = ()
+
+    @property
+    def values(self):
+        return [value for _, value, _ in self.groups] + list(self.unnumbered)
 
     def lookup(self, position):
+        """Map column from a value to its portrait id (0) or comment (2)."""
         pairs = []
         for group in self.groups:
             pairs += [F.lit(group[1]), F.lit(group[position])]
         return F.create_map(*pairs)
 
+    def flag(self, label):
+        """One bit per value; 0 for a label outside the scheme."""
+        bit = F.lit(0)
+        for number, value in enumerate(self.values):
+            bit = F.when(label == value, 1 << number).otherwise(bit)
+        return bit
+
+    def labels(self, flags):
+        """The values whose bits are set."""
+        every = F.array(*[F.lit(value) for value in self.values])
+        return F.filter(every, lambda value, number: F.getbit(flags, number) == 1)
+
 
 # Portrait ids, values and comments of the standard portraits.
 STANDARD = PortraitScheme(
@@ -49,25 +70,29 @@ CLOSED_UPPER = PortraitScheme(
     ),
     gender_value=C.gender_name,
     age_value=C.age_band_closed_upper,
+    unnumbered=("none",),
 )
 
 
 def user_portraits(user_info, user_index, scheme=STANDARD):
     """``(bitmap_id, portrait_values)``: one row per user with all their labels.
 
-    Gender and age labels come from one pass over the users. The labels of a user are a set of a
-    few values, combined before the shuffle, and the join with the index keeps that partitioning.
+    Gender and age labels come from one pass over the users. The labels of a user are bits of one
+    number, so they combine in a hash aggregate before the shuffle, and the join with the index
+    keeps that partitioning.
     """
     people = user_info
     if scheme.min_age is not None:
         people = people.where(F.col("age") >= scheme.min_age)
-    labels = F.array(scheme.gender_value(F.col("gender")), scheme.age_value(F.col("age")))
+    gender, age = scheme.gender_value(F.col("gender")), scheme.age_value(F.col("age"))
     per_user = (
-        people.select("imsi", F.explode(labels).alias("_value"))
+        people.select("imsi", scheme.flag(gender).bitwiseOR(scheme.flag(age)).alias("_flags"))
         .groupBy("imsi")
-        .agg(F.collect_set("_value").alias("portrait_values"))
+        .agg(F.bit_or("_flags").alias("_flags"))
+    )
+    return per_user.join(user_index, "imsi").select(
+        "bitmap_id", scheme.labels(F.col("_flags")).alias("portrait_values")
     )
-    return per_user.join(user_index, "imsi").select("bitmap_id", "portrait_values")
 
 
 def portrait_members(labelled, scheme=STANDARD, kinds=("gender", "age")):

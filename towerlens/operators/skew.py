@@ -33,15 +33,16 @@ def fits_broadcast(df, limit=None):
     return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def heavy_keys(df, key, floor=HEAVY_FLOOR):
+def heavy_keys(df, key, floor=HEAVY_FLOOR, total=None):
     """The keys that hold too many rows for one task, or None when there are none.
 
     A key is heavy when it has more than ``max(floor, total / MAX_HEAVY_KEYS)`` rows. Fewer than
     MAX_HEAVY_KEYS keys can each exceed that share of the total, so the list is small by
     construction and may be collected and broadcast. Counting combines on the map side first.
-    Null counts as a key.
+    Null counts as a key. ``total`` is the number of rows where the caller knows it.
     """
-    total = df.count()
+    if total is None:
+        total = df.count()
     if total <= floor:
         return None
     threshold = max(floor, total // MAX_HEAVY_KEYS)

@@ -309,7 +309,8 @@ def _cells(spark, sf_dir):
 def _heavy(spark, sf_dir):
     """Subscribers and cells with too many signals for one task."""
     signals = inputs.signal(spark, sf_dir)
-    return heavy_keys(signals, "imsi"), heavy_keys(signals, "laccell")
+    total = signals.count()
+    return tuple(heavy_keys(signals, key, total=total) for key in ("imsi", "laccell"))
 
 
 def _flow(spark, sf_dir, heavy=None):

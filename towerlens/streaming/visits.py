@@ -18,8 +18,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EVENT_SCHEMA = "imsi string, event_type int, region_id string, gender string, age int, event_us long"
 
-_SIGNAL_SCHEMA = (
-    "event_us long, event_id long, region_id string, watched boolean, gender string, age int"
+# One row holds the signals of one micro-batch as parallel arrays.
+_PENDING_SCHEMA = (
+    "event_us array<long>, event_id array<long>, region_id array<string>, "
+    "watched array<boolean>, gender array<string>, age array<int>"
 )
 _VISIT_SCHEMA = (
     "region_id string, watched boolean, due_us long, reported boolean, gender string, age int"
@@ -49,7 +51,7 @@ class VisitTracker(StatefulProcessor):
         self.handle = handle
         self.visit = handle.getValueState("visit", _VISIT_SCHEMA, self.ttl_ms)
         if self.event_time:
-            self.pending = handle.getListState("pending", _SIGNAL_SCHEMA)
+            self.pending = handle.getListState("pending", _PENDING_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues):
         arrived = []
@@ -57,7 +59,7 @@ class VisitTracker(StatefulProcessor):
             columns = [frame[name].tolist() for name in _Signal._fields]
             arrived += [_Signal(*values) for values in zip(*columns)]
         if self.event_time:
-            self.pending.appendList([tuple(signal) for signal in arrived])
+            self.pending.appendList([_packed(arrived)])
             self._wake(min(signal.event_us for signal in arrived))
             return
         now_us = timerValues.getCurrentProcessingTimeInMs() * 1000
@@ -69,14 +71,18 @@ class VisitTracker(StatefulProcessor):
             yield from self._advance(key[0], [], now_us)
             return
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(_Signal(*values) for values in self.pending.get())
+        waiting = sorted(
+            _Signal(*values) for packed in self.pending.get() for values in zip(*packed)
+        )
         ready = [signal for signal in waiting if signal.event_us <= now_us]
-        later = [tuple(signal) for signal in waiting[len(ready) :]]
+        later = waiting[len(ready) :]
         if later:
-            self.pending.put(later)
-            self._wake(later[0][0])
-        else:
-            self.pending.clear()
+            self._wake(later[0].event_us)
+        if ready:
+            if later:
+                self.pending.put([_packed(later)])
+            else:
+                self.pending.clear()
         yield from self._advance(key[0], ready, now_us)
 
     def close(self):
@@ -126,6 +132,10 @@ class VisitTracker(StatefulProcessor):
         return visit._replace(reported=True)
 
 
+def _packed(signals):
+    return tuple(map(list, zip(*signals)))
+
+
 def _frame(events):
     names = ["imsi", "event_type", "region_id", "gender", "age", "event_us"]
     return pd.DataFrame(dict(zip(names, map(list, zip(*events)))))

@@ -3,7 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import pandas as pd
+from pyspark.sql import Row
 
 from tests.helpers import START_US, brute_events, us
 from towerlens.streaming.visits import VisitTracker
@@ -70,17 +70,17 @@ class Clock:
         return self.ms
 
 
-def frame(signals):
-    return pd.DataFrame(
+def rows(signals):
+    return iter(
         [
-            {
-                "event_us": us(second),
-                "event_id": number,
-                "region_id": region,
-                "watched": region in TARGETS,
-                "gender": "1",
-                "age": 30,
-            }
+            Row(
+                event_us=us(second),
+                event_id=number,
+                region_id=region,
+                watched=region in TARGETS,
+                gender="1",
+                age=30,
+            )
             for number, region, second in signals
         ]
     )
@@ -93,7 +93,7 @@ def run(batches, delay, end):
     got, newest, watermark = [], 0, 0
     for batch in [*batches, None]:
         if batch is not None:
-            got += list(tracker.handleInputRows(("u",), iter([frame(batch)]), Clock(watermark)))
+            got += list(tracker.handleInputRows(("u",), rows(batch), Clock(watermark)))
             newest = max(newest, *(second for _, _, second in batch))
             watermark = max(watermark, START_US // 1000 + (newest - delay) * 1000)
         else:
@@ -102,10 +102,9 @@ def run(batches, delay, end):
             timer = min(handle.timers)
             handle.timers.remove(timer)
             got += list(tracker.handleExpiredTimer(("u",), Clock(watermark), None))
-    rows = pd.concat(got) if got else pd.DataFrame(columns=["imsi"])
     return sorted(
-        (r.imsi, r.event_type, r.region_id, (r.event_us - START_US) / 1e6)
-        for r in rows.itertuples()
+        (imsi, kind, region, (time_us - START_US) / 1e6)
+        for imsi, kind, region, _, _, time_us in got
     )
 
 
@@ -140,14 +139,14 @@ def test_processing_time_reports_when_the_clock_says_so():
     handle, tracker = Handle(), VisitTracker(THRESHOLD * 1000, event_time=False)
     tracker.init(handle)
     start = START_US // 1000
-    first = list(tracker.handleInputRows(("u",), iter([frame([(0, "A", 0)])]), Clock(start)))
-    assert [list(f.event_type) for f in first] == [[1]]
+    first = list(tracker.handleInputRows(("u",), rows([(0, "A", 0)]), Clock(start)))
+    assert [event[1] for event in first] == [1]
     assert handle.timers == {start + 30_000}
     early = list(tracker.handleExpiredTimer(("u",), Clock(start + 29_999), None))
     assert early == []
     due = list(tracker.handleExpiredTimer(("u",), Clock(start + 30_000), None))
-    assert [list(f.event_type) for f in due] == [[2]]
+    assert [event[1] for event in due] == [2]
     left = list(
-        tracker.handleInputRows(("u",), iter([frame([(1, "X", 40)])]), Clock(start + 41_000))
+        tracker.handleInputRows(("u",), rows([(1, "X", 40)]), Clock(start + 41_000))
     )
-    assert [list(f.event_type) for f in left] == [[3, 0]]
+    assert [event[1] for event in left] == [3, 0]

@@ -6,8 +6,8 @@ Event types are those of the batch form: 0 leave, 1 enter, 2 long stay began, 3
 import sys
 from collections import namedtuple
 
-import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -28,6 +28,7 @@ _VISIT_SCHEMA = (
 )
 
 _Signal = namedtuple("_Signal", "event_us event_id region_id watched gender age")
+_Event = Row("imsi", "event_type", "region_id", "gender", "age", "event_us")
 _Visit = namedtuple("_Visit", "region_id watched due_us reported gender age")
 
 
@@ -54,10 +55,7 @@ class VisitTracker(StatefulProcessor):
             self.pending = handle.getListState("pending", _PENDING_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues):
-        arrived = []
-        for frame in rows:
-            columns = [frame[name].tolist() for name in _Signal._fields]
-            arrived += [_Signal(*values) for values in zip(*columns)]
+        arrived = [_Signal(*(row[name] for name in _Signal._fields)) for row in rows]
         if self.event_time:
             self.pending.appendList([_packed(arrived)])
             self._wake(min(signal.event_us for signal in arrived))
@@ -120,8 +118,7 @@ class VisitTracker(StatefulProcessor):
             self.visit.update(tuple(visit))
         if visit is not None and visit.watched and not visit.reported:
             self._wake(visit.due_us)
-        if events:
-            yield _frame(events)
+        yield from (_Event(*event) for event in events)
 
     @staticmethod
     def _report(imsi, visit, clock, events):
@@ -136,11 +133,6 @@ def _packed(signals):
     return tuple(map(list, zip(*signals)))
 
 
-def _frame(events):
-    names = ["imsi", "event_type", "region_id", "gender", "age", "event_us"]
-    return pd.DataFrame(dict(zip(names, map(list, zip(*events)))))
-
-
 def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None):
     """The event stream of a flow with a ``watched`` flag (see ``live.with_watch_flag``).
 
@@ -157,7 +149,7 @@ def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None):
         "gender",
         "age",
     )
-    events = rows.groupBy("imsi").transformWithStateInPandas(
+    events = rows.groupBy("imsi").transformWithState(
         statefulProcessor=VisitTracker(threshold_ms, event_time, ttl_ms),
         outputStructType=EVENT_SCHEMA,
         outputMode="Append",

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from towerlens.llm import exact_dedup, language, packing, token_files, warc
+from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing, token_files, warc
 from towerlens.session import work_folder
 
 CAPACITY = 2048
@@ -46,6 +46,41 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+def op5_jaccard_join(spark, sf_dir):
+    found = jaccard_join.links(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+    FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+    WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9
+), e AS (
+    SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+    SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT doc_id,
+       least(doc_id, coalesce((SELECT min(b) FROM r WHERE a = doc_id), doc_id)) AS class_id,
+       (SELECT count(*) FROM e WHERE a = doc_id) AS n_links
+FROM documents
+"""
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.taken(_read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -85,10 +120,13 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_mixing": op6_mixing,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
 ORACLE = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op10_warc": OP10_SQL,
 }

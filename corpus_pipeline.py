@@ -1,10 +1,66 @@
-"""A cleaned, mixed and packed corpus: the stages in order, each over all that the one before kept."""
+"""A cleaned, mixed and packed corpus: the stages in order, each over all that the one before kept.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``.
 
-# No SQL: the stages use models and pseudorandom draws; tests compare them with plain versions.
+1. language: documents whose language can't be told are rejected; the others keep their label, and
+   get the predicted one where they have none.
+2. exact: of equal texts one stays.
+3. near: of each class of near copies one stays.
+4. mix: sources are mixed to their target weights; a document comes once per turn of the mix, with
+   the words that the turn takes.
+5. pack: documents become token pieces in sequences of 2048 tokens; the result is one row per piece.
+"""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing
+from towerlens.session import work_folder
+
+CAPACITY = 2048
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def keep_known_languages(spark, docs, sf_dir):
+    found = language.predict(docs, language.fit(docs)).filter("accepted")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def keep_one_of_equal(spark, docs, sf_dir):
+    return exact_dedup.survivors(docs)
+
+
+def keep_one_of_near(spark, docs, sf_dir):
+    return jaccard_join.representatives(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    pieces = packing.pieces(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
+    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(slim, CAPACITY)
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("exact", keep_one_of_equal),
+    ("near", keep_one_of_near),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
+
+# No SQL: compression sizes, pseudorandom draws and packing have none; tests use plain versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over ``documents``; each stage is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = work_folder(spark)
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

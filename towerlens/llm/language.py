@@ -1,8 +1,8 @@
 """Language identification by compression.
 
-A text is compressed with one zstandard raw-content dictionary per language; the language whose
-dictionary gives the fewest bytes wins. The dictionaries hold whole labelled texts, chosen by the
-hash of their key: a bounded sample of ``sample_texts`` texts and ``dictionary_bytes`` bytes per
+A text, in lower case, is compressed with one zstandard raw-content dictionary per language; the
+language whose dictionary gives the fewest bytes wins. The dictionaries hold labelled texts, chosen
+by the hash of their key: a bounded sample of ``sample_texts`` texts and ``dictionary_bytes`` bytes per
 language, both parameters, so they may travel to every task. A guess is rejected if the best
 language saves too little against the second.
 
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 400
-DICTIONARY_BYTES = 112 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 384 << 10
+LEVEL = 9
 # The least share of bytes by which the best must beat the second to be accepted.
-MARGIN = 0.01
+MARGIN = 0.005
 
 SCHEMA = "lang_pred string, score double, accepted boolean"
 
@@ -40,7 +40,7 @@ def fit(docs, key="doc_id", text="text", lang="lang", sample_texts=SAMPLE_TEXTS,
     ).filter("lang is not null and text is not null and text != ''")
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     chosen = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_texts)
-    cut = F.substring(F.encode(F.col("text"), "UTF-8"), 1, dictionary_bytes)
+    cut = F.substring(F.encode(F.lower("text"), "UTF-8"), 1, dictionary_bytes)
     found = {}
     for row in chosen.select("lang", "n", cut.alias("data")).orderBy("lang", "n").toLocalIterator():
         have = found.setdefault(row["lang"], bytearray())
@@ -99,7 +99,7 @@ def predict(docs, dictionaries, text="text", margin=MARGIN):
         for batch in batches:
             n = batch.num_columns
             found = [
-                judge(made.names, made.sizes(data.as_py().encode()), margin)
+                judge(made.names, made.sizes(data.as_py().lower().encode()), margin)
                 if letters.as_py() and made.names
                 else (UNKNOWN, 0.0, False)
                 for data, letters in zip(batch.column(n - 2), batch.column(n - 1))

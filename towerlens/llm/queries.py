@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing, token_files, warc
+from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing, quality, token_files, warc
 from towerlens.session import work_folder
 
 CAPACITY = 2048
@@ -81,6 +81,14 @@ def op6_mixing(spark, sf_dir):
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    found = quality.judged(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score",
+    )
+
+
 def op9_language_id(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -122,6 +130,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }

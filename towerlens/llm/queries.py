@@ -3,7 +3,18 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing, quality, token_files, warc
+from towerlens.llm import (
+    chat,
+    exact_dedup,
+    jaccard_join,
+    language,
+    mixing,
+    packing,
+    quality,
+    substring_dedup,
+    token_files,
+    warc,
+)
 from towerlens.session import work_folder
 
 CAPACITY = 2048
@@ -22,6 +33,37 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.place(slim, CAPACITY)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.removed_spans(_read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH t AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+    SELECT doc_id, unnest(range(1, len(lines) + 1)) AS unit, unnest(lines) AS line FROM t
+), o AS (
+    SELECT doc_id, unit, line,
+           sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start,
+           regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w
+    FROM l
+), u AS (
+    SELECT doc_id, unit, start, start + length(line) AS stop, len(w) AS n_words,
+           array_to_string(w, ' ') AS g, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS n
+    FROM o WHERE len(w) > 0
+), r AS (
+    SELECT *, first_value(doc_id) OVER (PARTITION BY g ORDER BY doc_id, unit) AS keep_id,
+           row_number() OVER (PARTITION BY g ORDER BY doc_id, unit) AS place
+    FROM u
+), m AS (
+    SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM r WHERE place > 1
+)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop,
+       CAST(sum(n_words) AS BIGINT) AS n_words, count(*) AS n_units, arg_min(keep_id, unit) AS keep_id
+FROM m GROUP BY doc_id, run HAVING sum(n_words) >= 25
+"""
+
+
 def op3_token_files(spark, sf_dir):
     folder = f"{work_folder(spark)}/tokens"
     token_files.write(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
@@ -81,6 +123,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark, sf_dir):
+    return chat.repaired(_read(spark, sf_dir, "conversations"))
+
+
 def op8_quality(spark, sf_dir):
     found = quality.judged(_read(spark, sf_dir, "documents"))
     return found.select(
@@ -126,15 +172,18 @@ FROM k
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
+    "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
 ORACLE = {
+    "op2_substring_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op10_warc": OP10_SQL,

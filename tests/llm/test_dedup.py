@@ -1,0 +1,134 @@
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import ODD_ROWS, no_docs, odd_docs, words
+from towerlens.llm import exact_dedup, jaccard_join, substring_dedup
+from towerlens.llm.components import components
+
+
+def plain_norm(text):
+    return "".join(words(text))
+
+
+def test_exact_groups_of_odd_rows(spark):
+    rows = exact_dedup.groups(odd_docs(spark)).collect()
+    assert len(rows) == len(ODD_ROWS)
+    sizes = {}
+    for key, text, *_ in ODD_ROWS:
+        sizes.setdefault(plain_norm(text), []).append((-len(text or ""), key is None, key))
+    for r in rows:
+        best = next(min(v) for v in sizes.values() if any(x[2] == r.doc_id for x in v))
+        assert r.keep_id == best[2] and r.kept == (r.doc_id == r.keep_id)
+
+
+def test_exact_survivors_have_all_columns_and_no_repeats(spark):
+    rows = exact_dedup.survivors(odd_docs(spark))
+    assert rows.columns == odd_docs(spark).columns
+    kept = rows.collect()
+    assert len({plain_norm(r.text) for r in kept}) == len(kept) == len({plain_norm(x[1]) for x in ODD_ROWS})
+    assert exact_dedup.survivors(no_docs(spark)).count() == 0
+
+
+def test_buckets_split_until_they_fit(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    rows = exact_dedup.groups(docs, capacity=50)
+    sizes = [r["count"] for r in rows.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 50 and sum(sizes) == 3000 and len(sizes) >= 60
+
+
+def test_components(spark):
+    random.seed(3)
+    edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert {r.node: r.component for r in got} == {x: find(x) for x in linked} and len(got) == len(linked)
+
+
+def near_docs():
+    """Texts around a few bases, some just above and some just below the threshold, and copies."""
+    random.seed(11)
+    out = []
+    for base in range(4):
+        source = [f"b{base}w{i}" for i in range(80 + 40 * base)]
+        for copy in range(9):
+            text = list(source)
+            for _ in range(random.randrange(5)):
+                text[random.randrange(len(text))] = f"new{random.randrange(10**6)}"
+            out.append(" ".join(text))
+    out += out[:5] + ["a b c", "a  b c", "a b", None, "", " "]
+    return [(i, t) for i, t in enumerate(out)]
+
+
+def plain_links(docs):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in docs for w in [words(t)] if w}
+    links, root = {d: 0 for d, _ in docs}, {d: d for d, _ in docs}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {d: (find(d), n) for d, n in links.items()}
+
+
+def test_links_match_brute_force_in_blocks(spark, monkeypatch):
+    docs = near_docs()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    blocked = jaccard_join.blocked
+    monkeypatch.setattr(jaccard_join, "blocked", lambda rows, group: blocked(rows, group, 3))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.links(frame).collect()}
+    assert got == plain_links(docs)
+
+
+def test_pruning_keeps_pairs_at_the_threshold():
+    least = jaccard_join.least_matches()
+    assert len(least) == 6 and least == sorted(least)
+    # A pair of similarity 0.8 fails the last step with a chance far below one in a million.
+    n, t = jaccard_join.HASHES, 0.8
+    chance = sum(jaccard_join.comb(n, m) * t**m * (1 - t) ** (n - m) for m in range(least[-1]))
+    assert chance < 1e-6
+
+
+def test_near_representatives_of_odd_rows(spark):
+    rows = jaccard_join.links(odd_docs(spark)).collect()
+    assert len(rows) == len(ODD_ROWS)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in rows}
+    assert found[1] == (1, 2) == found[2] and found[6] == (6, 1) == (found[7][0], found[7][1])
+    assert found[3] == (3, 0) and found[4] == (4, 0) and found[5] == (5, 0)
+    kept = jaccard_join.representatives(odd_docs(spark))
+    assert kept.columns == odd_docs(spark).columns
+    keys = [r.doc_id for r in kept.collect()]
+    assert sorted(keys, key=str) == sorted([1, 3, 4, 5, 6, 8, 9, None, 10], key=str)
+    assert jaccard_join.links(no_docs(spark)).count() == 0
+
+
+def test_substrings_keep_the_first_and_the_offsets(spark):
+    long = " ".join(f"p{i}" for i in range(60))
+    texts = [(2, f"start\n{long}\nend"), (1, f"{long.upper()}\nother"), (3, f"ü\n{long}  \n\n{long}"), (None, long), (4, "end\nstart"), (5, None), (1, f"{long.upper()}\nother")]
+    docs = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, row string, start int")
+    spans = substring_dedup.removed_spans(docs).collect()
+    assert sorted((str(r.doc_id), r.start, r.stop, r.n_words, r.keep_id) for r in spans) == sorted(
+        [("2", 6, 6 + len(long), 60, 1), ("3", 2, 2 + 2 * len(long) + 4, 120, 1), ("None", 0, len(long), 60, 1),
+         ("1", 0, len(long) + 6, 61, 1)]
+    )
+    rows = {(r.doc_id, r.text): r.kept_starts for r in substring_dedup.cleaned(docs).collect()}
+    assert rows[2, "start\n\nend"] == [0, 6 + len(long)] and rows[3, "ü\n"] == [0]
+    assert rows[1, texts[1][1]] == [0] and rows[5, None] == []
+    assert substring_dedup.removed_spans(odd_docs(spark)).columns[0] == "doc_id"
+    assert substring_dedup.cleaned(no_docs(spark)).count() == 0

@@ -352,7 +352,8 @@ def links(docs, key="doc_id", text="text", width=WIDTH, threshold=THRESHOLD):
 def representatives(docs, key="doc_id", text="text", width=WIDTH, threshold=THRESHOLD):
     """The rows of ``docs`` that represent their class: of each class the smallest key.
 
-    Texts without a word all stay. Of rows that repeat a key, the least by all columns stays.
+    Texts without a word and rows with a null key all stay. A key stands for one text; of rows that
+    repeat it, the least by all columns stays.
     """
     names = docs.columns
     found = links(docs, key, text, width, threshold)

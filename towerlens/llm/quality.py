@@ -361,7 +361,7 @@ def judged(docs, key="doc_id", text="text", lang="lang", folder=None, band=BAND)
     rows = materialise(scored(docs, folder, key, text, lang).withColumn("base_failed", failed))
     table = [(k, *v) for k, v in bands(rows).items()]
     limits = spark.createDataFrame(table, "lang string, middle double, below double, above double")
-    width = band * F.sqrt(1 + SHORT_WORDS / F.col("n_words"))
+    width = band * F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
     inside = F.col("score").between(
         F.col("middle") - width * F.col("below"), F.col("middle") + width * F.col("above")
     )

@@ -92,11 +92,10 @@ def word_hashes(data, starts, ends):
         first = starts[at]
         stop = int(np.searchsorted(ends, first + SPAN_BYTES, side="right"))
         if stop <= at:  # one word longer than a span: chain the hashes of its spans
-            value = np.uint64(0)
+            value = np.zeros(1, np.uint64)
             for i in range(first, ends[at], SPAN_BYTES):
-                part = _sums(data[i : min(i + SPAN_BYTES, ends[at])])[-1:]
-                value = mix(part + value * _BASE)[0]
-            out[at] = value
+                value = mix(_sums(data[i : min(i + SPAN_BYTES, ends[at])])[-1:] + value * _BASE)
+            out[at] = value[0]
             at += 1
             continue
         sums = _sums(data[first : ends[stop - 1]])

@@ -71,7 +71,7 @@ def test_odd_rows(spark):
     rows = {r.doc_id: r for r in quality.judged(odd_docs(spark)).collect()}
     assert rows[3].n_words == rows[4].n_words == rows[5].n_words == 0
     assert rows[3].score is None and rows[3].base_failed and not rows[3].kept
-    assert rows[8].n_words == 2 and rows[8].word_chars == 300_003 and rows[10].n_symbols == 6
+    assert rows[8].n_words == 2 and rows[8].word_chars == 300_003 and rows[10].n_symbols == 7
     assert quality.judged(no_docs(spark)).count() == 0
 
 

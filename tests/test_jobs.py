@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.helpers import rows_of
+from towerlens import session
 from towerlens.operators import portraits, region_hours, user_index
 from towerlens.plans import batch, inputs, serving
 from towerlens.sinks import tables as sink
@@ -250,17 +251,38 @@ def test_cell_of_two_regions_counts_in_both(spark):
     assert rows_of(only_unknown, "region_id", "n_users") == [("A", 0), ("B", 0)]
 
 
+def test_stragglers_add_to_their_hour(spark, tmp_path):
+    path = str(tmp_path / "hours")
+    cells = spark.createDataFrame([("A", "c1")], "region_id string, laccell string")
+    index = spark.createDataFrame([(f"u{i}", i) for i in range(1, 5)], "imsi string, bitmap_id long")
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    eight = [(f"u{i}", "c1", at(8, i)) for i in (1, 2, 3)] + [("u1", "lost", at(8, 9))]
+    nine = [("u4", "c1", at(8, 59)), ("u1", "c1", at(9, 0))]
+    schema = "imsi string, laccell string, event_ts timestamp"
+    wanted = [
+        ("A", "2024010108", 1), ("A", "2024010108", 2), ("A", "2024010108", 3), ("A", "2024010108", 4),
+        ("A", "2024010109", 1), (None, "2024010108", 1),
+    ]
+    for load, rows in (("08", eight), ("09", nine), ("09", nine), ("08", eight)):
+        batch.build_region_hours(spark.createDataFrame(rows, schema), cells, index, path, load)
+    assert rows_of(sink.read_hours(spark, path), "region_id", "produce_hour", "bitmap_id") == wanted
+    # A load that is run again with fewer rows replaces its own rows only.
+    batch.build_region_hours(spark.createDataFrame(nine[:1], schema), cells, index, path, "09")
+    got = rows_of(sink.read_hours(spark, path), "region_id", "produce_hour", "bitmap_id")
+    assert ("A", "2024010108", 4) in got and ("A", "2024010108", 2) in got
+
+
 def test_hours_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "hours")
     signal, cells = inputs.signal(spark, SF), inputs.region_cell(spark, SF)
     index = user_index.dense_ids(inputs.user_info(spark, SF))
-    batch.build_region_hours(signal, cells, index, path)
-    first = rows_of(spark.read.parquet(path), "region_id", "produce_hour", "bitmap_id")
-    hour = str(spark.read.parquet(path).first().produce_hour)
+    batch.build_region_hours(signal, cells, index, path, "all")
+    first = rows_of(sink.read_hours(spark, path), "region_id", "produce_hour", "bitmap_id")
+    hour = sink.read_hours(spark, path).first().produce_hour
     again = inputs.signal(spark, SF, hour)
     assert 0 < again.count() < signal.count()
-    batch.build_region_hours(again, cells, index, path)
-    second = rows_of(spark.read.parquet(path), "region_id", "produce_hour", "bitmap_id")
+    batch.build_region_hours(again, cells, index, path, "again")
+    second = rows_of(sink.read_hours(spark, path), "region_id", "produce_hour", "bitmap_id")
     assert first == second
 
 
@@ -271,14 +293,13 @@ def test_serving_from_stored_tables(spark, tmp_path):
     index = spark.read.parquet(str(tmp_path / "index"))
     batch.build_portraits(users, index, str(tmp_path / "portraits"))
     batch.build_region_hours(
-        inputs.signal(spark, SF), inputs.region_cell(spark, SF), index, str(tmp_path / "hours")
+        inputs.signal(spark, SF), inputs.region_cell(spark, SF), index, str(tmp_path / "hours"), "a"
     )
-    members = spark.read.schema(
-        "region_id string, bitmap_id long, produce_hour string"
-    ).parquet(str(tmp_path / "hours"))
+    members = sink.read_hours(spark, str(tmp_path / "hours"))
     groups = spark.read.parquet(str(tmp_path / "portraits"))
     best = (
-        members.join(groups, "bitmap_id")
+        members.where("region_id is not null")
+        .join(groups, "bitmap_id")
         .groupBy("region_id", "produce_hour", "portrait_id")
         .count()
         .orderBy(F.desc("count"))
@@ -298,7 +319,7 @@ def test_serving_from_stored_tables(spark, tmp_path):
 
 def test_upsert_keeps_the_newest_and_repeats_safely(spark, tmp_path):
     path, schema = str(tmp_path / "live"), "k string, v int, t int"
-    read = lambda: rows_of(sink.read_upserted(spark, path, schema, ["k"], "t"), "k", "v", "t")
+    read = lambda: rows_of(sink.read_current(spark, path, schema), "k", "v", "t")
     frame = lambda rows: spark.createDataFrame(rows, schema)
     sink.upsert_slot(spark, frame([("a", 1, 1), ("b", 2, 1)]), path, ["k"], "t", 0)
     assert read() == [("a", 1, 1), ("b", 2, 1)]
@@ -309,6 +330,58 @@ def test_upsert_keeps_the_newest_and_repeats_safely(spark, tmp_path):
     assert read() == [("a", 5, 2), ("b", 2, 1), ("c", 7, 3)]
 
 
+def test_readers_open_finished_slots_only(spark, tmp_path):
+    path, schema = str(tmp_path / "live"), "k string, v int"
+    assert sink.read_current(spark, path, schema).collect() == []
+    for n in (0, 1):
+        sink.replace_slot(spark.createDataFrame([("a", n)], schema), path, n)
+    assert rows_of(sink.read_current(spark, path, schema), "k", "v") == [("a", 1)]
+    # A batch that is being written has no mark of success yet.
+    (tmp_path / "live" / "slot=1" / "_SUCCESS").unlink()
+    assert rows_of(sink.read_current(spark, path, schema), "k", "v") == [("a", 0)]
+
+
+def test_compacted_events_skip_other_days_and_regions(spark, tmp_path):
+    rows = [(f"u{i}", i % 2, f"R{i % 5}", "1", 30, dt.datetime(2024, 1, 1 + i % 3, i % 24)) for i in range(300)]
+    log = spark.createDataFrame(
+        rows, "imsi string, event_type int, region_id string, gender string, age int, event_ts timestamp"
+    )
+    path = str(tmp_path / "days")
+    for _ in range(2):
+        sink.compact_events(log.withColumn("batch_id", F.lit(1)), path)
+    newest = serving.latest_events(sink.read_events(spark, path, "20240103"), "R2", 50)
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "EqualTo(region_id,R2)" in plan
+    wanted = sorted(r[0] for r in rows if r[2] == "R2" and r[5].day == 3)
+    assert sorted(r.imsi for r in newest.collect()) == wanted
+    assert sink.read_events(spark, path).count() == 300
+
+
+def test_checkpoint_folder_of_this_machine_needs_a_local_master(monkeypatch, tmp_path):
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext, self.conf = Context(master), {"spark.checkpoint.dir": named}
+
+    local = Session("local[8]")
+    session.ensure_checkpoint_dir(local)
+    assert "towerlens-checkpoint-" in local.sparkContext.folder
+    named = Session("spark://host:7077", "hdfs://x/y")
+    session.ensure_checkpoint_dir(named)
+    assert named.sparkContext.folder == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session("yarn"))
+
+
 def test_heatmap_of_no_regions_is_zero(spark):
     schema = "region_id string, age_10_20 long, age_20_40 long, age_40 long, man long, women long"
     row = serving.heatmap_totals(spark.createDataFrame([], schema)).first()

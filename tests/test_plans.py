@@ -10,7 +10,12 @@ from towerlens.plans.catalog import QUERIES
 SF = f"{DATA}/sf0.001"
 
 # Queries whose last step has one row or a few by definition.
-SINGLE_ROW = {"parse_reject_count", "heatmap_totals", "portrait_region_hour_count"}
+SINGLE_ROW = {
+    "parse_reject_count",
+    "heatmap_totals",
+    "portrait_region_hour_count",
+    "stored_text_heatmap",
+}
 
 
 def plan_of(df):
@@ -55,6 +60,17 @@ def test_signals_shrink_before_they_meet_the_index(plans):
     assert plan.index("HashAggregate", index_join) > index_join
 
 
+def test_forced_heavy_forms_scan_the_signals_once(plans):
+    for name in ("region_hour_users_skewed", "flow_events_skewed"):
+        main = plans[name].split("== Initial Plan ==")[0]
+        assert main.count("events.parquet") == 1 and "Union" not in main
+        assert "_salt" in main
+
+
+def test_reject_counts_read_the_signals_once(plans):
+    assert plans["parse_reject_count"].split("== Initial Plan ==")[0].count("events.parquet") == 1
+
+
 def test_visits_need_one_shuffle(spark):
     changes = flow.region_changes(
         persona.user_region_flow(

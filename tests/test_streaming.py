@@ -134,7 +134,7 @@ def test_persona_equals_batch(spark, tmp_path):
         persona.user_region_flow(inputs.signal(spark, SF), user_info, cells), "1 hour"
     )
     wanted = latest.last_per_key(windows, ["region_id"], "window_start")
-    got = sink.read_upserted(spark, out, windows.schema, ["region_id"], "window_start")
+    got = sink.read_current(spark, out, windows.schema)
     assert rows_of(got, *COUNTERS) == rows_of(wanted, *COUNTERS)
 
 
@@ -252,6 +252,43 @@ def test_processing_time_stamp(spark, tmp_path):
     assert spark.table("stamped_windows").agg(F.sum("pep_cnt")).first()[0] == wanted
 
 
+def test_newest_batch_counts_not_the_newest_time(spark, tmp_path):
+    path = str(tmp_path / "totals")
+    schema = "imsi string, event_type int, region_id string, event_ts timestamp"
+    when = dt.datetime(2024, 1, 1)
+    steps = [[("u", 2, "A", when), ("v", 2, "A", when)], [("u", 3, "A", when - dt.timedelta(hours=1))], [("v", 3, "A", when - dt.timedelta(hours=2))]]
+    for n, rows in enumerate(steps):
+        writers.add_to_totals(spark.createDataFrame(rows, schema), path, n)
+        assert rows_of(writers.read_totals(spark, path), "stay_count") == [(2 - n,)]
+
+
+def test_stamped_signals_keep_the_order_of_the_feed(spark):
+    lines = spark.createDataFrame(
+        [(f"u|{c}|23.1|113.2|{1_700_000_000_000 + i}",) for i, c in enumerate("ABAC")], "line string"
+    )
+    rows = live.stamped_now(live.signals(lines)).orderBy("event_id").collect()
+    assert [r.laccell for r in rows] == list("ABAC")
+    with_offset = lines.withColumn("offset", F.lit(7).cast("long"))
+    assert {r.event_id for r in live.signals(with_offset).collect()} == {7}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    signal = inputs.signal(spark, SF)
+    user_info, cells = dims(spark)
+
+    def run():
+        placed = live.user_region_flow(stream_of(spark, src), user_info, cells, "1 hour")
+        query = writers.start_persona_log(placed, "1 hour", out, str(tmp_path / "c"), availableNow=True)
+        query.awaitTermination()
+        return writers.late_rows(query)
+
+    signal.where("event_id >= 500").coalesce(1).write.mode("append").parquet(src)
+    assert run() == 0
+    signal.where("event_id < 20").coalesce(1).write.mode("append").parquet(src)
+    assert run() > 0
+
+
 def test_batch_run_again_leaves_totals_unchanged(spark, tmp_path):
     path = str(tmp_path / "totals")
     schema = "imsi string, event_type int, region_id string, event_ts timestamp"

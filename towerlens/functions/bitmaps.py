@@ -61,6 +61,42 @@ def intersect(left, right, left_keys, right_keys):
     )
 
 
+def and_counts(left, right, left_keys, right_keys, name="n_users"):
+    """Sizes of all intersections that are not empty, per left and right key.
+
+    Each joined pair of buckets is intersected and counted at once on Arrow batches, so no pair
+    is unfolded and no bitmap is sorted; pairs without a common id go no further.
+    """
+    other = right.withColumnRenamed("bm", "_right")
+    if fits_broadcast(right):
+        other = F.broadcast(other)
+    pairs = left.withColumnRenamed("bm", "_left").join(other, "bucket")
+    keys = [*left_keys, *right_keys]
+    pairs = pairs.select(*keys, "_left", "_right")
+    schema = T.StructType([pairs.schema[key] for key in keys] + [T.StructField("_n", T.LongType())])
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def bits(column):
+            data = b"".join(column.to_pylist())
+            return np.frombuffer(data, dtype=np.uint64).reshape(len(column), -1)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                both = bits(part.column(len(keys))) & bits(part.column(len(keys) + 1))
+                n = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+                kept = pa.array(np.flatnonzero(n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i).take(kept) for i in range(len(keys))] + [pa.array(n).take(kept)],
+                    names=[*keys, "_n"],
+                )
+
+    return pairs.mapInArrow(count, schema).groupBy(*keys).agg(F.sum("_n").alias(name))
+
+
 def cardinality(bitmaps, keys, name="n_users"):
     """Number of ids per key, summed over the buckets."""
     return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bm")).alias(name))

@@ -6,30 +6,30 @@ from towerlens.functions import columns as C
 from towerlens.operators.skew import lookup_join
 
 
-def enrich(signal, user_info, heavy_users=None):
+def enrich(signal, user_info, heavy_users=None, limit=None):
     """Signals with gender and age; signals of unknown users are dropped."""
     return lookup_join(
-        signal, user_info.select("imsi", "gender", "age"), "imsi", heavy=heavy_users
+        signal, user_info.select("imsi", "gender", "age"), "imsi", heavy=heavy_users, limit=limit
     )
 
 
-def place(enriched, cells, heavy_cells=None):
+def place(enriched, cells, heavy_cells=None, limit=None):
     """Enriched signals with their region; signals of unmapped cells are dropped.
 
     ``cells`` has one region per cell (see ``latest.cell_map``).
     """
-    return lookup_join(enriched, cells, "laccell", heavy=heavy_cells)
+    return lookup_join(enriched, cells, "laccell", heavy=heavy_cells, limit=limit)
 
 
-def user_region_flow(signal, user_info, cells, heavy_users=None, heavy_cells=None):
+def user_region_flow(signal, user_info, cells, heavy_users=None, heavy_cells=None, limit=None):
     """Signals of known users in mapped cells: the input of all live operators.
 
     ``user_info`` has one row per user; ``latest.last_per_key`` makes it so for a feed of updates.
     The cell look-up comes first: its dimension is the smaller one, and what it drops need not
-    travel to the user look-up.
+    travel to the user look-up. ``limit`` replaces the size below which a dimension is broadcast.
     """
-    placed = place(signal, cells, heavy_cells)
-    return enrich(placed, user_info, heavy_users)
+    placed = place(signal, cells, heavy_cells, limit)
+    return enrich(placed, user_info, heavy_users, limit)
 
 
 def persona_windows(flow, length="60 seconds", distinct_users=False):

@@ -7,7 +7,7 @@ from towerlens.operators.skew import lookup_join
 
 
 def region_hour_members(
-    signal, region_cell, user_index, how="left", heavy_cells=None, fold_unknown=True
+    signal, region_cell, user_index, how="left", heavy_cells=None, fold_unknown=True, limit=None
 ):
     """``(region_id, produce_hour, bitmap_id)``, each row once.
 
@@ -24,7 +24,7 @@ def region_hour_members(
     if how == "inner":
         seen = seen.where(F.col("imsi").isNotNull())
     cells = region_cell.select("region_id", "laccell")
-    placed = lookup_join(seen, cells, "laccell", how, heavy_cells)
+    placed = lookup_join(seen, cells, "laccell", how, heavy_cells, limit)
     people = placed.select("imsi", "region_id", "_hour").distinct()
     named = people.join(user_index, "imsi", how).select("region_id", "_hour", "bitmap_id")
     if how == "left" and fold_unknown:

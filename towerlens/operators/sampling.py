@@ -3,15 +3,18 @@
 from pyspark.sql import functions as F
 
 from towerlens.operators.skew import with_neighbour
+from towerlens.session import materialise
 
 
-def drop_adjacent_repeats(df, order, value, rows_per_slice=1_000_000):
-    """Drop rows whose value equals that of the row before, in the order of an integer column.
+def drop_adjacent_repeats(df, order, value, slices=None):
+    """Drop rows whose value equals that of the row before, in the order of a column.
 
-    The order is global, so it is cut into slices of ``rows_per_slice`` order values; only the two
-    border rows of each slice meet in one task.
+    ``order`` is any sortable column, such as a number or the struct of ``files.read_lines``. The
+    order is global, so the rows are range-partitioned by it into slices of about equal size, which
+    are written once to keep their borders; only the two border rows of each slice meet in one task.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / rows_per_slice).cast("bigint"))
+    ranged = df.repartitionByRange(order) if slices is None else df.repartitionByRange(slices, order)
+    sliced = materialise(ranged.withColumn("_slice", F.spark_partition_id()))
     is_change = F.col("_before").isNull() | (F.col("_before") != F.col(value))
     kept = with_neighbour(
         sliced, [], [order], {"_before": value}, "previous", "_slice", is_change

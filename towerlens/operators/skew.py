@@ -10,6 +10,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HEAVY_FLOOR = 1_000_000
 # At most this many keys can be heavy, whatever the data (see heavy_keys).
 MAX_HEAVY_KEYS = 50_000
+# Into how many parts a look-up cuts the rows of one heavy key.
+SALTS = 64
 
 
 def measured_bytes(df):
@@ -33,6 +35,23 @@ def fits_broadcast(df, limit=None):
     return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
+def heavy_keys_of(df, keys, floor=HEAVY_FLOOR):
+    """``heavy_keys`` for several columns from one pass over ``df``."""
+    total = df.count()
+    if total <= floor:
+        return tuple(None for _ in keys)
+    threshold = max(floor, total // MAX_HEAVY_KEYS)
+    each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(k).cast("string").alias("k")) for n, k in enumerate(keys)])
+    counts = df.select(F.explode(each).alias("e")).groupBy("e.n", "e.k").agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.where(F.col("_n") > threshold).collect()
+    out = []
+    for n, key in enumerate(keys):
+        rows = [(r["k"],) for r in found if r["n"] == n]
+        frame = df.sparkSession.createDataFrame(rows, f"`{key}` string")
+        out.append(frame.select(F.col(key).cast(df.schema[key].dataType)) if rows else None)
+    return tuple(out)
+
+
 def heavy_keys(df, key, floor=HEAVY_FLOOR, total=None):
     """The keys that hold too many rows for one task, or None when there are none.
 
@@ -53,27 +72,28 @@ def heavy_keys(df, key, floor=HEAVY_FLOOR, total=None):
     return df.sparkSession.createDataFrame(found, counts.select(key).schema)
 
 
-def lookup_join(fact, dim, key, how="inner", heavy=None, limit=None):
+def lookup_join(fact, dim, key, how="inner", heavy=None, limit=None, salts=SALTS):
     """Join a large ``fact`` with a dimension on ``key``; ``how`` is inner or left.
 
     Without heavy keys this is a plain join: Spark broadcasts a side below its size threshold and
     shuffles both sides otherwise. ``heavy`` lists the keys of the fact found by ``heavy_keys``. A
-    dimension of checked small size is then broadcast; for a larger one the rows of the heavy keys
-    leave the shuffle and meet only the dimension rows of those keys, which are few and broadcast
-    after their own check. Null keys match nothing and leave the shuffle as well.
+    dimension of checked small size is then broadcast. For a larger one the rows of each heavy key,
+    and of the null key, which matches nothing, are dealt to ``salts`` parts by a hash of the whole
+    row, and only the dimension rows of heavy keys are repeated that often: one scan, one join.
     """
     if heavy is None:
         return fact.join(dim, key, how)
     if fits_broadcast(dim, limit):
         return fact.join(F.broadcast(dim), key, how)
-    flagged = fact.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
+    listed = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    part = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
     apart = F.col("_heavy").isNotNull() | F.col(key).isNull()
-    few = dim.join(F.broadcast(heavy), key, "left_semi")
-    if fits_broadcast(few, limit):
-        few = F.broadcast(few)
-    spread = flagged.where(apart).drop("_heavy").join(few, key, how)
-    rest = flagged.where(~apart).drop("_heavy").join(dim, key, how)
-    return rest.unionByName(spread)
+    left = fact.join(listed, key, "left").withColumn("_salt", F.when(apart, part).otherwise(0))
+    parts = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    right = dim.join(listed, key, "left").withColumn("_salt", F.explode(parts))
+    return left.drop("_heavy").join(right.drop("_heavy"), [key, "_salt"], how).drop("_salt")
 
 
 def with_slice(df, key, ts, heavy, slice_ms):

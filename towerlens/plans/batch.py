@@ -1,6 +1,7 @@
 """The batch jobs, from inputs to stored tables: user index, portraits, region hours."""
 
 from towerlens.operators import portraits, region_hours, user_index
+from towerlens.operators.skew import heavy_keys
 from towerlens.sinks import tables as sink
 
 
@@ -18,8 +19,8 @@ def build_portraits(user_info, index, path, scheme=portraits.STANDARD):
     sink.overwrite(portraits.portrait_members(labelled, scheme), path)
 
 
-def build_region_hours(signal, region_cell, index, path, how="inner"):
-    """Write region-hour membership; only the hours in ``signal`` are replaced."""
-    sink.overwrite_hours(
-        region_hours.region_hour_members(signal, region_cell, index, how), path
-    )
+def build_region_hours(signal, region_cell, index, path, load, how="left"):
+    """Write the region-hour membership that one load of signals gives (see ``overwrite_hours``)."""
+    heavy = heavy_keys(signal, "laccell")
+    members = region_hours.region_hour_members(signal, region_cell, index, how, heavy)
+    sink.overwrite_hours(members, path, load)

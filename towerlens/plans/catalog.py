@@ -13,10 +13,11 @@ from towerlens.operators import (
     sampling,
     user_index,
 )
-from towerlens.operators.skew import heavy_keys
-from towerlens.plans import inputs, serving
+from towerlens.operators.skew import heavy_keys, heavy_keys_of
+from towerlens.plans import batch, inputs, serving
 from towerlens.session import materialise, work_folder
-from towerlens.sources import lines
+from towerlens.sinks import tables as sink
+from towerlens.sources import lines, streams, tables
 from towerlens.streaming import live, writers
 
 # Parameters of the registered queries.
@@ -36,6 +37,7 @@ def _query(fn, name=None):
     """Register ``fn``, with the session pinned to UTC hours."""
 
     def run(spark, sf_dir):
+        # Lazy frames are analysed again when they run, so the setting has to stay.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
 
@@ -58,7 +60,7 @@ def scan_signal_hour(spark, sf_dir):
 
 @_query
 def scan_user_info(spark, sf_dir):
-    return inputs.user_info(spark, sf_dir)
+    return inputs.all_users(spark, sf_dir)
 
 
 @_query
@@ -93,8 +95,6 @@ def parse_user_info(spark, sf_dir):
 def parse_reject_count(spark, sf_dir):
     """Accepted and rejected lines of the strict and tolerant parsers."""
     parsed = {
-        "signal": lines.parse_signal(inputs.signal_lines(spark, sf_dir)),
-        "signal_cell": lines.parse_signal_cell(inputs.signal_lines(spark, sf_dir)),
         "user_info": lines.parse_user_info(inputs.user_lines(spark, sf_dir)),
         "region_cell": lines.parse_region_cell(inputs.cell_lines(spark, sf_dir)),
         "region_center": lines.parse_region_center(inputs.site_lines(spark, sf_dir)),
@@ -103,8 +103,18 @@ def parse_reject_count(spark, sf_dir):
         lines.reject_counts(frame).select(F.lit(name).alias("input"), "n_ok", "n_rejected")
         for name, frame in parsed.items()
     ]
-    result = counted[0]
-    for other in counted[1:]:
+    # The strict and the tolerant reading of signals come from one pass over their lines.
+    strict = lines.parse_signal(inputs.signal_lines(spark, sf_dir))
+    strict = strict.select("line", F.col("is_valid").alias("strict"))
+    both = lines.parse_signal_cell(strict).agg(
+        *[F.count_if(c).alias(f"{c}_ok") for c in ("strict", "is_valid")],
+        *[F.count_if(~F.col(c)).alias(f"{c}_bad") for c in ("strict", "is_valid")],
+    )
+    result = both.selectExpr(
+        "stack(2, 'signal', strict_ok, strict_bad, 'signal_cell', is_valid_ok, is_valid_bad)"
+        " AS (input, n_ok, n_rejected)"
+    )
+    for other in counted:
         result = result.unionByName(other)
     return result
 
@@ -123,7 +133,7 @@ def _index(spark, sf_dir):
     return user_index.dense_ids(inputs.user_info(spark, sf_dir))
 
 
-_query(_index, "user_index")
+_query(lambda spark, sf_dir: user_index.dense_ids(inputs.all_users(spark, sf_dir)), "user_index")
 
 
 @_query
@@ -137,14 +147,14 @@ def user_index_extended(spark, sf_dir):
 
 @_query
 def user_age_band(spark, sf_dir):
-    return inputs.user_info(spark, sf_dir).select(
+    return inputs.all_users(spark, sf_dir).select(
         "imsi", C.age_band(F.col("age")).alias("age_flag")
     )
 
 
 @_query
 def user_age_band_alt(spark, sf_dir):
-    return inputs.user_info(spark, sf_dir).select(
+    return inputs.all_users(spark, sf_dir).select(
         "imsi",
         C.age_band_closed_upper(F.col("age")).alias("age_flag"),
         C.gender_name(F.col("gender")).alias("gender_flag"),
@@ -156,9 +166,14 @@ def _labelled(spark, sf_dir, index=None, scheme=portraits.STANDARD):
     return portraits.user_portraits(inputs.user_info(spark, sf_dir), index, scheme)
 
 
+def _all_labelled(spark, sf_dir, scheme=portraits.STANDARD):
+    users = inputs.all_users(spark, sf_dir)
+    return portraits.user_portraits(users, user_index.dense_ids(users), scheme)
+
+
 def _portrait_query(scheme=portraits.STANDARD, kinds=("gender", "age")):
     def run(spark, sf_dir):
-        labelled = _labelled(spark, sf_dir, scheme=scheme)
+        labelled = _all_labelled(spark, sf_dir, scheme)
         return portraits.portrait_sizes(portraits.portrait_members(labelled, scheme, kinds))
 
     return run
@@ -172,7 +187,7 @@ _query(_portrait_query(portraits.CLOSED_UPPER), "portrait_alt")
 
 @_query
 def portrait_members(spark, sf_dir):
-    return portraits.portrait_members(_labelled(spark, sf_dir)).select("portrait_id", "bitmap_id")
+    return portraits.portrait_members(_all_labelled(spark, sf_dir)).select("portrait_id", "bitmap_id")
 
 
 # ---- region hours ------------------------------------------------------------------------------
@@ -200,6 +215,16 @@ def region_hour_users_inner(spark, sf_dir):
     return _members(spark, sf_dir, _index(spark, sf_dir), how="inner")
 
 
+@_query
+def region_hour_users_skewed(spark, sf_dir):
+    """The form for heavy cells and a dimension too large to broadcast, whatever the size."""
+    signals = inputs.signal(spark, sf_dir)
+    heavy = heavy_keys(signals, "laccell", floor=30)
+    return region_hours.region_hour_members(
+        signals, inputs.region_cell(spark, sf_dir), _index(spark, sf_dir), "left", heavy, limit=-1
+    )
+
+
 @_query
 def region_hour_count(spark, sf_dir):
     members = _members(spark, sf_dir, _index(spark, sf_dir), fold_unknown=False)
@@ -211,7 +236,7 @@ def region_hour_count(spark, sf_dir):
 
 @_query
 def bitmap_buckets(spark, sf_dir):
-    members = portraits.portrait_members(_labelled(spark, sf_dir))
+    members = portraits.portrait_members(_all_labelled(spark, sf_dir))
     built = bitmaps.build(members, ["portrait_id"])
     return built.select("portrait_id", "bucket", F.bitmap_count("bm").alias("n_bits"))
 
@@ -237,6 +262,16 @@ def bitmap_to_ids(spark, sf_dir):
 
 @_query
 def region_day_users(spark, sf_dir):
+    """Users per region and day, from the membership rows."""
+    members = _members(spark, sf_dir, _index(spark, sf_dir), fold_unknown=False)
+    people = members.where(F.col("bitmap_id").isNotNull()).select(
+        "region_id", C.day_text("produce_hour").alias("produce_day"), "bitmap_id"
+    )
+    return people.distinct().groupBy("region_id", "produce_day").agg(F.count("*").alias("n_users"))
+
+
+@_query
+def region_day_users_bitmap(spark, sf_dir):
     """Users per region and day: the bitmaps of the hours merged."""
     members = _members(spark, sf_dir, _index(spark, sf_dir), fold_unknown=False)
     hours = bitmaps.build(members, ["region_id", "produce_hour"])
@@ -258,8 +293,20 @@ def bitmap_and_count(spark, sf_dir):
         )
     )
     keys = ["region_id", "produce_hour"]
-    both = bitmaps.intersect(hours, groups, keys, ["portrait_id"])
-    return bitmaps.cardinality(both, keys + ["portrait_id"]).where(F.col("n_users") > 0)
+    return bitmaps.and_counts(hours, groups, keys, ["portrait_id"])
+
+
+@_query
+def bitmap_and_ids(spark, sf_dir):
+    """The users themselves of every portrait in one region and hour, as intersected bitmaps."""
+    index = _index(spark, sf_dir)
+    members = _members(spark, sf_dir, index, "inner", HOUR).where(F.col("region_id") == REGION)
+    hours = bitmaps.build(members, ["region_id", "produce_hour"])
+    groups = materialise(
+        bitmaps.build(portraits.portrait_members(_labelled(spark, sf_dir, index)), ["portrait_id"])
+    )
+    keys = ["region_id", "produce_hour", "portrait_id"]
+    return bitmaps.expand(bitmaps.intersect(hours, groups, keys[:2], keys[2:]), keys)
 
 
 # ---- serving: intersections --------------------------------------------------------------------
@@ -308,9 +355,7 @@ def _cells(spark, sf_dir):
 
 def _heavy(spark, sf_dir):
     """Subscribers and cells with too many signals for one task."""
-    signals = inputs.signal(spark, sf_dir)
-    total = signals.count()
-    return tuple(heavy_keys(signals, key, total=total) for key in ("imsi", "laccell"))
+    return heavy_keys_of(inputs.signal(spark, sf_dir), ("imsi", "laccell"))
 
 
 def _flow(spark, sf_dir, heavy=None):
@@ -378,6 +423,22 @@ def flow_events(spark, sf_dir):
     return _flow_events(spark, sf_dir)
 
 
+@_query
+def flow_events_skewed(spark, sf_dir):
+    """The form for heavy subscribers and cells and large dimensions, whatever the size."""
+    heavy = heavy_keys_of(inputs.signal(spark, sf_dir), ("imsi", "laccell"), floor=20)
+    placed = persona.user_region_flow(
+        inputs.signal(spark, sf_dir),
+        inputs.user_info(spark, sf_dir),
+        _cells(spark, sf_dir),
+        *heavy,
+        limit=-1,
+    )
+    return flow.flow_events(
+        flow.region_changes(placed, heavy[0]), inputs.target_region(spark, sf_dir)
+    )
+
+
 @_query
 def flow_events_all(spark, sf_dir):
     return flow.flow_events(_changes(spark, sf_dir))
@@ -417,27 +478,52 @@ def stay_total(spark, sf_dir):
 # ---- live operators as streams -----------------------------------------------------------------
 
 
-def _placed_stream(spark, sf_dir):
-    """The signals as a stream; the operators see them once the watermark has passed."""
-    return live.user_region_flow(
-        inputs.signal_stream(spark, sf_dir),
-        inputs.user_info(spark, sf_dir),
-        _cells(spark, sf_dir),
-        WATERMARK_DELAY,
+def _replay(spark, sf_dir, start, beyond="0 seconds"):
+    """Run a bounded stream to its very end; returns the folder it wrote to.
+
+    ``start(placed, folder)`` starts a query on the placed signals. It runs once over all signals.
+    Then one row of an unknown subscriber and cell arrives, so far in the future that the watermark
+    passes the newest signal by ``beyond`` and a millisecond, and the query, continued from its
+    checkpoint, releases what still waited. The inner joins drop that row.
+    """
+    folder = work_folder(spark)
+    signals = inputs.signal(spark, sf_dir)
+    signals.limit(0).write.parquet(f"{folder}/end")
+    stream = inputs.signal_stream(spark, sf_dir).unionByName(
+        streams.file_table(spark, f"{folder}/end", signals.schema)
+    )
+    placed = live.user_region_flow(
+        stream, inputs.user_info(spark, sf_dir), _cells(spark, sf_dir), WATERMARK_DELAY
     )
+    start(placed, folder).awaitTermination()
+    after = F.max("event_ts") + F.expr(
+        f"INTERVAL {WATERMARK_DELAY} + INTERVAL {beyond} + INTERVAL '0.001' SECOND"
+    )
+    end = signals.agg(F.date_trunc("millisecond", after).alias("event_ts"))
+    # Not null, as rows of null keys are filtered before they reach the watermark.
+    unknown = {"imsi": F.lit(""), "laccell": F.lit("")}
+    end.select(
+        *[
+            (F.col(f.name) if f.name == "event_ts" else unknown.get(f.name, F.lit(-1)).cast(f.dataType)).alias(f.name)
+            for f in signals.schema
+        ]
+    ).write.mode("append").parquet(f"{folder}/end")
+    start(placed, folder).awaitTermination()
+    return folder
 
 
 def _run_visits(spark, sf_dir):
-    folder = work_folder(spark)
-    writers.start_visits(
-        _placed_stream(spark, sf_dir),
-        inputs.target_region(spark, sf_dir),
-        STAY_MS,
-        f"{folder}/tables",
-        f"{folder}/checkpoint",
-        availableNow=True,
-    ).awaitTermination()
-    return f"{folder}/tables"
+    def start(placed, folder):
+        return writers.start_visits(
+            placed,
+            inputs.target_region(spark, sf_dir),
+            STAY_MS,
+            f"{folder}/tables",
+            f"{folder}/checkpoint",
+            availableNow=True,
+        )
+
+    return f"{_replay(spark, sf_dir, start)}/tables"
 
 
 @_query
@@ -457,18 +543,107 @@ def stream_stay_totals(spark, sf_dir):
 
 @_query
 def stream_persona_windows(spark, sf_dir):
-    """Finished audience windows as the stream query writes them."""
-    folder = work_folder(spark)
-    writers.start_persona_log(
-        _placed_stream(spark, sf_dir),
-        PERSONA_WINDOW,
-        f"{folder}/windows",
-        f"{folder}/checkpoint",
-        availableNow=True,
-    ).awaitTermination()
+    """Audience windows as the stream query writes them; a later row ends the last window too."""
+
+    def start(placed, folder):
+        return writers.start_persona_log(
+            placed, PERSONA_WINDOW, f"{folder}/windows", f"{folder}/checkpoint", availableNow=True
+        )
+
+    folder = _replay(spark, sf_dir, start, PERSONA_WINDOW)
     return spark.read.parquet(f"{folder}/windows").drop("batch_id", "window_end")
 
 
+# ---- stored tables -----------------------------------------------------------------------------
+
+
+@_query
+def stored_region_hours(spark, sf_dir):
+    """Two overlapping loads into the stored hours, one of them twice: every member is there."""
+    folder = work_folder(spark)
+    batch.build_user_index(inputs.user_info(spark, sf_dir), f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index")
+    signals, cells = inputs.signal(spark, sf_dir), inputs.region_cell(spark, sf_dir)
+    loads = {"a": F.col("event_id") % 3 != 0, "b": F.col("event_id") % 3 != 1}
+    for load in ("a", "b", "a"):
+        batch.build_region_hours(signals.where(loads[load]), cells, index, f"{folder}/hours", load)
+    return sink.read_hours(spark, f"{folder}/hours")
+
+
+@_query
+def stored_index_extended(spark, sf_dir):
+    """The stored user index after a second load that brings unknown subscribers."""
+    path = f"{work_folder(spark)}/index"
+    batch.build_user_index(inputs.user_info(spark, sf_dir), path)
+    batch.build_user_index(inputs.signal(spark, sf_dir), path, spark.read.parquet(path))
+    return spark.read.parquet(path).select("imsi", "bitmap_id")
+
+
+@_query
+def stored_portraits(spark, sf_dir):
+    """Sizes of the stored portraits; the second build replaces the first."""
+    folder = work_folder(spark)
+    users = inputs.all_users(spark, sf_dir)
+    batch.build_user_index(users, f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index")
+    for _ in range(2):
+        batch.build_portraits(users, index, f"{folder}/portraits")
+    return portraits.portrait_sizes(spark.read.parquet(f"{folder}/portraits"))
+
+
+@_query
+def stored_latest_events(spark, sf_dir):
+    """The newest events of a region from the stored log of the stream, laid out for serving."""
+    out = _run_visits(spark, sf_dir)
+    sink.compact_events(spark.read.parquet(f"{out}/flow_events"), f"{out}/flow_by_day")
+    return serving.latest_events(sink.read_events(spark, f"{out}/flow_by_day"), REGION, NEWEST)
+
+
+@_query
+def stored_region_portrait(spark, sf_dir):
+    """The current portraits as the stream keeps them, with the regions' names."""
+
+    def start(placed, folder):
+        return writers.start_persona(
+            placed, PERSONA_WINDOW, f"{folder}/current", f"{folder}/checkpoint", availableNow=True
+        )
+
+    folder = _replay(spark, sf_dir, start, PERSONA_WINDOW)
+    schema = _persona(spark, sf_dir).schema
+    current = sink.read_current(spark, f"{folder}/current", schema).drop("window_end")
+    return serving.region_portrait(current, _centers(spark, sf_dir))
+
+
+@_query
+def stored_text_heatmap(spark, sf_dir):
+    """Heat map totals over counters that a keyed store gives as text, some of them no numbers."""
+    path = f"{work_folder(spark)}/text"
+    names = serving.TOTALLED
+    rows = _current(spark, sf_dir)
+    broken = F.when(F.col("region_id") == REGION, "n/a").otherwise(F.col("man").cast("string"))
+    texts = rows.select("region_id", *[F.col(n).cast("string").alias(n) for n in names if n != "man"], broken.alias("man"))
+    sink.overwrite(texts, path)
+    return serving.heatmap_totals(serving.numeric_cells(spark.read.parquet(path), names))
+
+
+@_query
+def served_by_parameters(spark, sf_dir):
+    """One answer through a SQL text with named parameters over the stored hours."""
+    folder = work_folder(spark)
+    index = _index(spark, sf_dir)
+    batch.build_region_hours(
+        inputs.signal(spark, sf_dir), inputs.region_cell(spark, sf_dir), index, f"{folder}/hours", "all"
+    )
+    view = f"hours_{folder.rpartition('-')[2]}"
+    tables.register(**{view: sink.read_hours(spark, f"{folder}/hours")})
+    return tables.query(
+        spark,
+        f"SELECT bitmap_id FROM {view} WHERE region_id = :region AND produce_hour = :hour",
+        region=REGION,
+        hour=HOUR,
+    )
+
+
 # ---- serving: regions --------------------------------------------------------------------------
 
 

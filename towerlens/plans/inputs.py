@@ -58,7 +58,7 @@ def _signal_of(events):
 
 
 def user_info(spark, sf_dir):
-    """Subscribers: every tenth customer is missing, ages run from 0 to 89."""
+    """Subscribers who are known to the signals: every tenth is not, ages run from 0 to 89."""
     return (
         table(spark, sf_dir, "customer")
         .where(F.col("c_custkey") % 10 != 9)
@@ -70,6 +70,15 @@ def user_info(spark, sf_dir):
     )
 
 
+def all_users(spark, sf_dir):
+    """Every customer as a subscriber; a third of them have a gender code that is neither 0 nor 1."""
+    return table(spark, sf_dir, "customer").select(
+        _text("c_custkey").alias("imsi"),
+        (F.col("c_custkey") % 3).cast("string").alias("gender"),
+        ((F.col("c_custkey") * 37) % 90).cast("int").alias("age"),
+    )
+
+
 def region_cell(spark, sf_dir):
     """The cell dimension in file order (``line_no``)."""
     return table(spark, sf_dir, "nation").select(

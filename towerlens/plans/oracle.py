@@ -57,6 +57,17 @@ portrait_members AS (
   UNION ALL
   SELECT CASE WHEN age < 20 THEN 3 WHEN age < 40 THEN 4 ELSE 5 END, bitmap_id
   FROM user_info u JOIN user_index i ON u.imsi = i.imsi WHERE age >= 10),
+all_users AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS imsi, CAST(c_custkey % 3 AS VARCHAR) AS gender,
+         CAST((c_custkey * 37) % 90 AS INTEGER) AS age FROM customer),
+all_index AS (
+  SELECT imsi, row_number() OVER (ORDER BY imsi) AS bitmap_id FROM (SELECT DISTINCT imsi FROM all_users)),
+all_portrait_members AS (
+  SELECT CASE gender WHEN '1' THEN 1 WHEN '0' THEN 2 END AS portrait_id, bitmap_id
+  FROM all_users u JOIN all_index i ON u.imsi = i.imsi WHERE age >= 10 AND gender IN ('0', '1')
+  UNION ALL
+  SELECT CASE WHEN age < 20 THEN 3 WHEN age < 40 THEN 4 ELSE 5 END, bitmap_id
+  FROM all_users u JOIN all_index i ON u.imsi = i.imsi WHERE age >= 10),
 portrait_names(portrait_id, portrait_value, comment) AS (
   VALUES (1, '1', '男性'), (2, '0', '女性'), (3, '10', '10-20岁人员'),
          (4, '20', '20-40岁人员'), (5, '40', '40岁以上人员')),
@@ -99,23 +110,6 @@ stays AS (
 deltas AS (
   SELECT imsi, region_id, event_ts, event_type,
          CAST(CASE event_type WHEN 2 THEN 1 ELSE -1 END AS BIGINT) AS delta FROM stays),
--- What a stream has finished when its input ends: everything up to the watermark.
-mark AS (
-  SELECT make_timestamp((max(start_ms) - 2 * 3600000) * 1000) AS w FROM signal),
-seen AS (
-  SELECT *, lag(region_id) OVER (PARTITION BY imsi ORDER BY event_ts, event_id) AS prev
-  FROM urf WHERE event_ts <= (SELECT w FROM mark)),
-seen_chg AS (
-  SELECT *, lead(event_ts) OVER (PARTITION BY imsi ORDER BY event_ts, event_id) AS exit_ts
-  FROM seen WHERE prev IS NULL OR prev <> region_id),
-seen_visits AS (
-  SELECT * FROM seen_chg WHERE region_id IN (SELECT region_id FROM target_region)),
-seen_stays AS (
-  SELECT imsi, 2 AS event_type, region_id, gender, age, event_ts + INTERVAL 24 HOUR AS event_ts FROM seen_visits
-  WHERE event_ts + INTERVAL 24 HOUR <= coalesce(exit_ts, (SELECT w FROM mark))
-  UNION ALL
-  SELECT imsi, 3, region_id, gender, age, exit_ts FROM seen_visits
-  WHERE exit_ts IS NOT NULL AND event_ts + INTERVAL 24 HOUR <= exit_ts),
 region_list AS (
   SELECT seq, region_id FROM (
     SELECT line_no AS seq, trim(split_part(line, '|', 1)) AS region_id,
@@ -125,7 +119,7 @@ region_list AS (
 
 _PORTRAIT_SIZES = """
 SELECT n.portrait_id, n.portrait_value, n.comment, count(*) AS n_users
-FROM portrait_members p JOIN portrait_names n ON p.portrait_id = n.portrait_id
+FROM all_portrait_members p JOIN portrait_names n ON p.portrait_id = n.portrait_id
 WHERE n.portrait_id IN ({ids}) GROUP BY ALL
 """
 
@@ -144,7 +138,7 @@ _QUERIES = {
     "scan_signal_hour": """
 SELECT event_id, imsi, laccell, start_ms, event_ts FROM signal
 WHERE strftime(event_ts, '%Y%m%d%H') = '2024011108'""",
-    "scan_user_info": "SELECT imsi, gender, age FROM user_info",
+    "scan_user_info": "SELECT imsi, gender, age FROM all_users",
     "scan_region_cell": """
 SELECT split_part(line, '|', 1) AS region_id, split_part(line, '|', 2) AS laccell
 FROM cell_lines WHERE len(string_split(line, '|')) >= 2""",
@@ -180,7 +174,7 @@ UNION ALL
 SELECT 'region_center', count(*) FILTER (WHERE len(string_split(line, '|')) = 4),
        count(*) FILTER (WHERE len(string_split(line, '|')) <> 4) FROM site_lines""",
     "signal_hour": "SELECT event_id, strftime(event_ts, '%Y%m%d%H') AS produce_hour FROM signal",
-    "user_index": "SELECT imsi, bitmap_id FROM user_index",
+    "user_index": "SELECT imsi, bitmap_id FROM all_index",
     "user_index_extended": """
 SELECT imsi, bitmap_id FROM user_index
 UNION ALL
@@ -188,25 +182,25 @@ SELECT imsi, (SELECT max(bitmap_id) FROM user_index) + row_number() OVER (ORDER
 FROM (SELECT DISTINCT imsi FROM signal WHERE imsi NOT IN (SELECT imsi FROM user_index))""",
     "user_age_band": """
 SELECT imsi, CASE WHEN age >= 10 AND age < 20 THEN '10' WHEN age >= 20 AND age < 40 THEN '20'
-       WHEN age >= 40 THEN '40' END AS age_flag FROM user_info""",
+       WHEN age >= 40 THEN '40' END AS age_flag FROM all_users""",
     "user_age_band_alt": """
 SELECT imsi, CASE WHEN age <= 20 THEN 'age20down' WHEN age <= 40 THEN 'age20-40' ELSE 'age40up' END AS age_flag,
-       CASE gender WHEN '1' THEN 'boy' WHEN '0' THEN 'girl' ELSE 'none' END AS gender_flag FROM user_info""",
+       CASE gender WHEN '1' THEN 'boy' WHEN '0' THEN 'girl' ELSE 'none' END AS gender_flag FROM all_users""",
     "portrait_gender": _PORTRAIT_SIZES.format(ids="1, 2"),
     "portrait_age": _PORTRAIT_SIZES.format(ids="3, 4, 5"),
     "portraits": _PORTRAIT_SIZES.format(ids="1, 2, 3, 4, 5"),
     "portrait_alt": """
 SELECT n.portrait_id, v.portrait_value, n.comment, count(*) AS n_users FROM (
   SELECT CASE gender WHEN '1' THEN 'boy' WHEN '0' THEN 'girl' ELSE 'none' END AS portrait_value
-  FROM user_info u JOIN user_index i ON u.imsi = i.imsi
+  FROM all_users u JOIN all_index i ON u.imsi = i.imsi
   UNION ALL
   SELECT CASE WHEN age <= 20 THEN 'age20down' WHEN age <= 40 THEN 'age20-40' ELSE 'age40up' END
-  FROM user_info u JOIN user_index i ON u.imsi = i.imsi) v
+  FROM all_users u JOIN all_index i ON u.imsi = i.imsi) v
 LEFT JOIN (VALUES (1, 'boy', '男孩'), (2, 'girl', '女孩'), (3, 'age20down', '年龄小于20岁'),
            (4, 'age20-40', '年龄20到40岁'), (5, 'age40up', '年龄40岁以上'))
   AS n(portrait_id, portrait_value, comment) ON v.portrait_value = n.portrait_value
 GROUP BY ALL""",
-    "portrait_members": "SELECT portrait_id, bitmap_id FROM portrait_members",
+    "portrait_members": "SELECT portrait_id, bitmap_id FROM all_portrait_members",
     "region_hour_users": "SELECT region_id, produce_hour, bitmap_id FROM region_hour_members",
     "region_hour_users_inner": """
 SELECT region_id, produce_hour, bitmap_id FROM region_hour_members
@@ -215,7 +209,7 @@ WHERE region_id IS NOT NULL AND bitmap_id IS NOT NULL""",
 SELECT region_id, produce_hour, count(bitmap_id) AS n_users FROM region_hour_members GROUP BY 1, 2""",
     "bitmap_buckets": """
 SELECT portrait_id, (bitmap_id - 1) // 32768 + 1 AS bucket, count(DISTINCT bitmap_id) AS n_bits
-FROM portrait_members GROUP BY 1, 2""",
+FROM all_portrait_members GROUP BY 1, 2""",
     "bitmap_buckets_wide": """
 SELECT o_orderstatus AS status, (o_orderkey * 101 + 5000000000 - 1) // 32768 + 1 AS bucket,
        count(DISTINCT o_orderkey) AS n_bits FROM orders GROUP BY 1, 2""",
@@ -255,16 +249,38 @@ SELECT region_id, event_ts, imsi, event_type,
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stay_count FROM deltas""",
     "stay_total": "SELECT region_id, CAST(sum(delta) AS BIGINT) AS stay_count FROM deltas GROUP BY 1",
     "stream_visit_events": """
-SELECT imsi, 0 AS event_type, prev AS region_id, gender, age, event_ts FROM seen_chg
-WHERE prev IN (SELECT region_id FROM target_region)
-UNION ALL SELECT imsi, 1, region_id, gender, age, event_ts FROM seen_visits
-UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM seen_stays""",
+SELECT imsi, event_type, region_id, gender, age, event_ts FROM flow
+UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM stays""",
     "stream_stay_totals": """
-SELECT region_id, CAST(sum(CASE event_type WHEN 2 THEN 1 ELSE -1 END) AS BIGINT) AS stay_count,
-       max(event_ts) AS ts FROM seen_stays GROUP BY 1""",
+SELECT region_id, CAST(sum(delta) AS BIGINT) AS stay_count, max(event_ts) AS ts FROM deltas GROUP BY 1""",
     "stream_persona_windows": """
-SELECT region_id, window_start, man, women, age_10_20, age_20_40, age_40, pep_cnt FROM persona
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT w FROM mark)""",
+SELECT region_id, window_start, man, women, age_10_20, age_20_40, age_40, pep_cnt FROM persona""",
+    "region_hour_users_skewed": "SELECT region_id, produce_hour, bitmap_id FROM region_hour_members",
+    "flow_events_skewed": "SELECT imsi, event_type, region_id, gender, age, event_ts FROM flow",
+    "region_day_users_bitmap": """
+SELECT region_id, substr(produce_hour, 1, 8) AS produce_day, count(DISTINCT bitmap_id) AS n_users
+FROM region_hour_members WHERE bitmap_id IS NOT NULL GROUP BY 1, 2""",
+    "bitmap_and_ids": """
+SELECT m.region_id, m.produce_hour, p.portrait_id, m.bitmap_id
+FROM region_hour_members m JOIN portrait_members p ON m.bitmap_id = p.bitmap_id
+WHERE m.region_id = 'R0' AND m.produce_hour = '2024011108'""",
+    "stored_region_hours": "SELECT region_id, produce_hour, bitmap_id FROM region_hour_members",
+    "stored_index_extended": """
+SELECT imsi, bitmap_id FROM user_index
+UNION ALL
+SELECT imsi, (SELECT max(bitmap_id) FROM user_index) + row_number() OVER (ORDER BY imsi)
+FROM (SELECT DISTINCT imsi FROM signal WHERE imsi NOT IN (SELECT imsi FROM user_index))""",
+    "stored_portraits": _PORTRAIT_SIZES.format(ids="1, 2, 3, 4, 5"),
+    "stored_latest_events": _LATEST.format(source="flow"),
+    "stored_region_portrait": """
+SELECT c.*, n.name FROM current_persona c LEFT JOIN region_center n ON c.region_id = n.region_id""",
+    "stored_text_heatmap": """
+SELECT CAST(coalesce(sum(age_10_20), 0) AS BIGINT) AS age_10_20, CAST(coalesce(sum(age_20_40), 0) AS BIGINT) AS age_20_40,
+       CAST(coalesce(sum(age_40), 0) AS BIGINT) AS age_40,
+       CAST(coalesce(sum(man) FILTER (WHERE region_id <> 'R0'), 0) AS BIGINT) AS man,
+       CAST(coalesce(sum(women), 0) AS BIGINT) AS women FROM current_persona""",
+    "served_by_parameters": """
+SELECT bitmap_id FROM region_hour_members WHERE region_id = 'R0' AND produce_hour = '2024011108'""",
     "region_portrait": """
 SELECT c.*, n.name FROM current_persona c LEFT JOIN region_center n ON c.region_id = n.region_id""",
     "region_stay_total": """

@@ -1,5 +1,7 @@
 """Session set-up shared by the entry file, the benchmark and the tests."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,12 +27,19 @@ def local_session(cores="8", app="towerlens", shuffle_partitions=None, **conf):
 def ensure_checkpoint_dir(spark):
     """Use the folder the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session has none, which is the case in local tests.
+    A folder of this machine is used only where none is named and the master is local, as in
+    tests; it is removed when the program ends. On a cluster each executor would see its own disk,
+    so a missing setting is an error there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="towerlens-checkpoint-"))
+        if named is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="towerlens-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
 
 
 def work_folder(spark):

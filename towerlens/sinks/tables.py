@@ -1,6 +1,6 @@
-"""Batch table writers. Each of them may be run again without changing the result."""
+"""Batch table writers. All but an appending ``write_jdbc`` may be run again without changing the result."""
 
-from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from towerlens.operators.latest import last_per_key
 
@@ -10,21 +10,31 @@ def overwrite(df, path):
     df.write.mode("overwrite").parquet(path)
 
 
-def overwrite_hours(members, path):
-    """Write region-hour rows into one folder per hour, replacing only the hours in ``members``.
+def overwrite_hours(members, path, load):
+    """Write the region-hour rows of one load, into a folder per hour and load.
 
-    The rebalance hint sizes the output files: it joins small partitions and splits an hour that
-    holds a large share of the rows.
+    ``load`` names the input, such as its folder. The same load again replaces its own rows; rows
+    that other loads gave for the same hour stay, so a straggler adds to its hour. The rebalance
+    hint sizes the output files: it joins small partitions and splits an hour that holds a large
+    share of the rows.
     """
     (
-        members.hint("rebalance", "produce_hour")
+        members.withColumn("load", F.lit(load))
+        .hint("rebalance", "produce_hour")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("produce_hour")
+        .partitionBy("produce_hour", "load")
         .parquet(path)
     )
 
 
+def read_hours(spark, path):
+    """Region-hour rows of all loads, each once. Filters on the hour select folders."""
+    schema = "region_id string, bitmap_id bigint, produce_hour string, load string"
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.select("region_id", "produce_hour", "bitmap_id").distinct()
+
+
 def append_index(new_ids, path):
     """Add ids of unseen subscribers to the user index."""
     new_ids.write.mode("append").parquet(path)
@@ -62,8 +72,8 @@ def upsert_slot(spark, updates, path, keys, version, batch_id):
     """Merge keyed ``updates`` into the table at ``path``; the row with the greatest version wins.
 
     The table has two folders used in turn: batch n reads the one that batch n-1 wrote and
-    replaces the other. A batch that is run again therefore starts from the same state, and a
-    reader always finds one complete folder.
+    replaces the other. A batch that is run again therefore starts from the same state. A folder
+    carries the number of its batch, and readers open finished folders only.
     """
     before = _read_slot(spark, path, batch_id - 1, updates.schema)
     rows = updates if before is None else before.unionByName(updates)
@@ -72,14 +82,19 @@ def upsert_slot(spark, updates, path, keys, version, batch_id):
 
 def replace_slot(df, path, batch_id):
     """Write the whole table as it is after batch ``batch_id``."""
-    df.write.mode("overwrite").parquet(_slot(path, batch_id))
+    df.withColumn(_BATCH, F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+        _slot(path, batch_id)
+    )
 
 
-def read_upserted(spark, path, schema, keys, version):
-    """The current rows of a table written by ``upsert_slot``."""
-    slots = [s for s in (_read_slot(spark, path, n, schema) for n in (0, 1)) if s is not None]
-    rows = slots[0] if len(slots) == 1 else slots[0].unionByName(slots[1])
-    return last_per_key(rows, keys, version)
+def read_current(spark, path, schema):
+    """The table as the newest finished batch left it; empty before the first batch."""
+    slots = [s for s in (_read_slot(spark, path, n, schema, _BATCH) for n in (0, 1)) if s is not None]
+    if not slots:
+        return spark.createDataFrame([], schema)
+    numbers = [s.agg(F.max(_BATCH)).first()[0] for s in slots]
+    newest = max(range(len(slots)), key=lambda i: -1 if numbers[i] is None else numbers[i])
+    return slots[newest].drop(_BATCH)
 
 
 def previous_slot(spark, path, batch_id, schema):
@@ -87,19 +102,49 @@ def previous_slot(spark, path, batch_id, schema):
     return _read_slot(spark, path, batch_id - 1, schema)
 
 
+def compact_events(events, path):
+    """Lay an event log out for serving: a folder per day, sorted by region and time inside files.
+
+    The whole log is written anew, so it may be done again at any time. Readers of one region skip
+    other days by folder and other regions by the minima and maxima of row groups.
+    """
+    days = events.drop("batch_id").withColumn("day", F.date_format("event_ts", "yyyyMMdd"))
+    (
+        days.repartition("day", "region_id")
+        .sortWithinPartitions("day", "region_id", F.desc("event_ts"))
+        .write.mode("overwrite")
+        .partitionBy("day")
+        .parquet(path)
+    )
+
+
+def read_events(spark, path, first_day=None):
+    """Events of a compacted log, from ``first_day`` (yyyyMMdd) on if it is given."""
+    rows = spark.read.parquet(path)
+    if first_day is not None:
+        rows = rows.where(F.col("day").cast("string") >= first_day)
+    return rows.drop("day")
+
+
 def append_batch(df, path, batch_id):
     """Append one micro-batch; running the batch again replaces its own folder."""
     df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+_BATCH = "_batch"
+
+
 def _slot(path, batch_id):
     return f"{path}/slot={batch_id % 2}"
 
 
-def _read_slot(spark, path, batch_id, schema):
-    try:
-        return spark.read.schema(schema).parquet(_slot(path, batch_id))
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _read_slot(spark, path, batch_id, schema, *more):
+    """A slot that is there and finished, or None. A writer removes the mark of success first."""
+    folder = _slot(path, batch_id)
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark):
+        return None
+    text = schema if isinstance(schema, str) else ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields
+    )
+    return spark.read.schema(", ".join([text, *(f"{name} bigint" for name in more)])).parquet(folder)

@@ -1,4 +1,4 @@
-"""Streaming sources. All of them give one column ``line``."""
+"""Streaming sources. All of them give a column ``line``; Kafka adds ``partition`` and ``offset``."""
 
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ def kafka_options(servers, topic, starting="latest", group=None, **extra):
 def kafka_lines(spark, options):
     """Message values of a Kafka topic. Needs the Kafka connector on the class path."""
     raw = spark.readStream.format("kafka").options(**options).load()
-    return raw.select(F.col("value").cast("string").alias("line"))
+    return raw.select(F.col("value").cast("string").alias("line"), "partition", "offset")
 
 
 def file_lines(spark, path, files_per_trigger=None):

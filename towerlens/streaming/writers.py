@@ -1,5 +1,7 @@
 """Starting the live queries: sources of state on disk, micro-batch writers, checkpoints."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from towerlens.operators import flow, persona
@@ -32,15 +34,17 @@ def start_visits(
     def write(batch, batch_id):
         # Three writers read the batch; keeping it spares two runs of the stateful step.
         batch = batch.persist()
-        sink.append_batch(
-            batch.where(F.col("event_type").isin(flow.LEAVE, flow.ENTER)),
-            f"{out}/flow_events",
-            batch_id,
-        )
-        stays = batch.where(F.col("event_type").isin(flow.STAY_BEGAN, flow.STAY_ENDED))
-        sink.append_batch(stays, f"{out}/stay_events", batch_id)
-        add_to_totals(stays, f"{out}/stay_totals", batch_id)
-        batch.unpersist()
+        try:
+            sink.append_batch(
+                batch.where(F.col("event_type").isin(flow.LEAVE, flow.ENTER)),
+                f"{out}/flow_events",
+                batch_id,
+            )
+            stays = batch.where(F.col("event_type").isin(flow.STAY_BEGAN, flow.STAY_ENDED))
+            sink.append_batch(stays, f"{out}/stay_events", batch_id)
+            add_to_totals(stays, f"{out}/stay_totals", batch_id)
+        finally:
+            batch.unpersist()
 
     return _start(events, write, checkpoint, trigger)
 
@@ -57,7 +61,7 @@ def add_to_totals(stays, path, batch_id):
 
 
 def read_totals(spark, path):
-    return sink.read_upserted(spark, path, TOTAL_SCHEMA, ["region_id"], "ts")
+    return sink.read_current(spark, path, TOTAL_SCHEMA)
 
 
 def start_persona(stream, length, out, checkpoint, **trigger):
@@ -99,6 +103,20 @@ def start_enrichment(stream, load_dimensions, out, checkpoint, **trigger):
     return _start(stream, write, checkpoint, trigger)
 
 
+def late_rows(query):
+    """Rows that a query has dropped because they came behind the watermark, as far as its kept
+    progress reports reach."""
+    return sum(
+        state.get("numRowsDroppedByWatermark", 0)
+        for report in map(_as_dict, query.recentProgress)
+        for state in report.get("stateOperators", [])
+    )
+
+
+def _as_dict(report):
+    return report if isinstance(report, dict) else json.loads(report.json)
+
+
 def start_console(stream, n=10, **trigger):
     writer = stream.writeStream.format("console").option("numRows", n).option("truncate", False)
     return writer.trigger(**trigger).start() if trigger else writer.start()

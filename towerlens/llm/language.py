@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from towerlens.llm.memory import release
+
 UNKNOWN = "und"
 SAMPLE_TEXTS = 400
 DICTIONARY_BYTES = 384 << 10
@@ -29,17 +31,27 @@ SCHEMA = "lang_pred string, score double, accepted boolean"
 def fit(docs, key="doc_id", text="text", lang="lang", sample_texts=SAMPLE_TEXTS, dictionary_bytes=DICTIONARY_BYTES):
     """Dictionaries {language: bytes} from labelled ``docs``.
 
-    Per language the texts with the least hashes of their key are taken, up to ``sample_texts``;
-    texts longer than an eighth of the dictionary come last, as few of them would fill it.
+    Per language the texts with the least hashes are taken, up to ``sample_texts``; texts longer
+    than an eighth of the dictionary come last, as few of them would fill it. Texts are counted
+    first, and only those whose hash lies below a share that holds about three times the sample
+    are ranked, so what is ranked does not grow with the input.
     """
     rows = docs.select(
         F.col(lang).alias("lang"),
         F.col(text).alias("text"),
         (F.octet_length(F.col(text)) * 8 > dictionary_bytes).cast("int").alias("long"),
-        F.xxhash64(F.col(key)).alias("h"),
+        (F.xxhash64(F.col(key), F.col(text)) / F.lit(2.0**64) + 0.5).alias("h"),
     ).filter("lang is not null and text is not null and text != ''")
+    shares, short = [], {}
+    for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).orderBy("long").collect():
+        want = sample_texts - short.get(r["lang"], 0)
+        if want > 0:
+            shares.append((r["lang"], r["long"], 3.0 * want / r["n"]))
+            short[r["lang"]] = r["n"]
+    limits = docs.sparkSession.createDataFrame(shares, "lang string, long int, share double")
+    few = rows.join(F.broadcast(limits), ["lang", "long"]).filter("h < share")
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
-    chosen = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_texts)
+    chosen = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_texts)
     cut = F.substring(F.encode(F.lower("text"), "UTF-8"), 1, dictionary_bytes)
     found = {}
     for row in chosen.select("lang", "n", cut.alias("data")).orderBy("lang", "n").toLocalIterator():
@@ -114,6 +126,8 @@ def predict(docs, dictionaries, text="text", margin=MARGIN):
                 ],
                 names=[*[f"c{i}" for i in range(len(kept))], "lang_pred", "score", "accepted"],
             )
+            del batch
+            release()
 
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)]
     return rows.mapInArrow(run, ", ".join([*fields, SCHEMA])).toDF(

@@ -200,6 +200,46 @@ def test_dimensions_are_read_again_for_each_batch(spark, tmp_path):
     ]
 
 
+def test_watch_list_is_read_again_for_each_batch(spark, tmp_path):
+    schema = inputs.signal(spark, SF).schema
+    src, placed = str(tmp_path / "src"), str(tmp_path / "placed")
+    users = spark.createDataFrame([("u1", "1", 30), ("u2", "0", 40)], "imsi string, gender string, age int")
+    cells = spark.createDataFrame([("c1", "R1"), ("c2", "R2")], "laccell string, region_id string")
+    listed = ["R1"]
+
+    def signals(first, rows):
+        made = [(first + n, u, c, 0, dt.datetime(2024, 1, 1, 0, m)) for n, (u, c, m) in enumerate(rows)]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def load():
+        return users, cells, spark.createDataFrame([(r,) for r in listed], "region_id string")
+
+    def run():
+        writers.start_enrichment(
+            stream_of(spark, src), load, placed, str(tmp_path / "c1"), availableNow=True
+        ).awaitTermination()
+        kept = spark.read.parquet(placed).drop("batch_id").schema
+        flow_stream = streams.file_table(spark, f"{placed}/batch_id=*", kept).withWatermark("event_ts", "0 seconds")
+        writers.start_visits(
+            flow_stream, None, 3_600_000, str(tmp_path / "out"), str(tmp_path / "c2"), availableNow=True
+        ).awaitTermination()
+
+    signals(1, [("u1", "c1", 0), ("u1", "c2", 1), ("u2", "c1", 2), ("u2", "c1", 3)])
+    run()
+    listed[:] = ["R2"]
+    # u2 leaves R1, whose visit began while R1 was listed; u1 leaves R2, entered before R2 was listed.
+    signals(10, [("u2", "c2", 4), ("u1", "c1", 5), ("u1", "c2", 6), ("u1", "c2", 59)])
+    run()
+    signals(20, [("u1", "c2", 59)])
+    run()
+    got = spark.read.parquet(str(tmp_path / "out" / "flow_events"))
+    found = sorted((r.imsi, r.event_type, r.region_id, r.event_ts.minute) for r in got.collect())
+    assert found == [
+        ("u1", 0, "R1", 1), ("u1", 1, "R1", 0), ("u1", 1, "R2", 6),
+        ("u2", 0, "R1", 4), ("u2", 1, "R1", 2), ("u2", 1, "R2", 4),
+    ]
+
+
 def test_processing_time_visits_with_state_ttl(spark, tmp_path):
     """With no threshold every entry is a long stay at once, whatever the clock says."""
     src, out = str(tmp_path / "src"), str(tmp_path)

@@ -25,6 +25,9 @@ class Value:
     def update(self, value):
         self.held = value
 
+    def clear(self):
+        self.held = None
+
 
 class Rows:
     def __init__(self):
@@ -150,3 +153,24 @@ def test_processing_time_reports_when_the_clock_says_so():
         tracker.handleInputRows(("u",), rows([(1, "X", 40)]), Clock(start + 41_000))
     )
     assert [event[1] for event in left] == [3, 0]
+
+
+def test_state_of_the_gone_expires_by_timer():
+    tracker = VisitTracker(THRESHOLD * 1000, expire_ms=100_000)
+    handle = Handle()
+    tracker.init(handle)
+    row = Row("event_us", "event_id", "region_id", "watched", "gender", "age")
+    seen = [row(us(s), n, r, True, "1", 30) for n, (s, r) in enumerate([(0, "A"), (10, "A"), (20, "A")])]
+    assert list(tracker.handleInputRows(("u",), iter(seen), Clock(0))) == []
+    base = START_US // 1000
+    kinds = [e.event_type for e in tracker.handleExpiredTimer(("u",), Clock(base + 60_000), None)]
+    assert kinds == [1, 2] and tracker.visit.exists()
+    assert base + 120_000 in handle.timers
+    assert list(tracker.handleExpiredTimer(("u",), Clock(base + 119_999), None)) == []
+    assert tracker.visit.exists()
+    assert list(tracker.handleExpiredTimer(("u",), Clock(base + 120_000), None)) == []
+    assert not tracker.visit.exists()
+    again = [row(us(300), 9, "B", True, "1", 30)]
+    list(tracker.handleInputRows(("u",), iter(again), Clock(0)))
+    kinds = [e.event_type for e in tracker.handleExpiredTimer(("u",), Clock(base + 301_000), None)]
+    assert kinds == [1]

@@ -42,7 +42,10 @@ def user_region_flow(stream, user_info, cells, delay):
 
 
 def with_watch_flag(flow, targets):
-    """Add ``watched``: is the region on the watch list? Without a list every region is."""
+    """Add ``watched``: is the region on the watch list? Without a list every region is, unless
+    the flow brings the flag along."""
+    if targets is None and "watched" in flow.columns:
+        return flow
     if targets is None:
         return flow.withColumn("watched", F.lit(True))
     listed = targets.select("region_id").distinct().withColumn("_listed", F.lit(True))

@@ -24,12 +24,13 @@ _PENDING_SCHEMA = (
     "watched array<boolean>, gender array<string>, age array<int>"
 )
 _VISIT_SCHEMA = (
-    "region_id string, watched boolean, due_us long, reported boolean, gender string, age int"
+    "region_id string, watched boolean, due_us long, reported boolean, gender string, age int, "
+    "seen_us long"
 )
 
 _Signal = namedtuple("_Signal", "event_us event_id region_id watched gender age")
 _Event = Row("imsi", "event_type", "region_id", "gender", "age", "event_us")
-_Visit = namedtuple("_Visit", "region_id watched due_us reported gender age")
+_Visit = namedtuple("_Visit", "region_id watched due_us reported gender age seen_us")
 
 
 class VisitTracker(StatefulProcessor):
@@ -41,12 +42,16 @@ class VisitTracker(StatefulProcessor):
 
     A visit becomes a long stay at ``due_us``. Before any signal is handled, a visit that is
     already due is reported; a timer covers visits that see no further signal.
+
+    In event time, ``expire_ms`` forgets a subscriber whose last signal lies that far behind the
+    watermark: the state goes without an event, and the next signal counts as a first sighting.
     """
 
-    def __init__(self, threshold_ms, event_time=True, ttl_ms=None):
+    def __init__(self, threshold_ms, event_time=True, ttl_ms=None, expire_ms=None):
         self.threshold_us = threshold_ms * 1000
         self.event_time = event_time
         self.ttl_ms = ttl_ms
+        self.expire_us = expire_ms * 1000 if event_time and expire_ms is not None else None
 
     def init(self, handle):
         self.handle = handle
@@ -82,6 +87,10 @@ class VisitTracker(StatefulProcessor):
             else:
                 self.pending.clear()
         yield from self._advance(key[0], ready, now_us)
+        if self.expire_us is not None and not later:
+            visit = self.visit.get()
+            if visit is not None and _Visit(*visit).seen_us + self.expire_us <= now_us:
+                self.visit.clear()
 
     def close(self):
         pass
@@ -97,6 +106,8 @@ class VisitTracker(StatefulProcessor):
             clock = signal.event_us if self.event_time else now_us
             visit = self._report(imsi, visit, clock, events)
             if visit is not None and visit.region_id == signal.region_id:
+                if self.expire_us is not None:
+                    visit = visit._replace(seen_us=signal.event_us)
                 continue
             person = (signal.gender, signal.age, signal.event_us)
             if visit is not None and visit.watched:
@@ -112,12 +123,15 @@ class VisitTracker(StatefulProcessor):
                 False,
                 signal.gender,
                 signal.age,
+                signal.event_us,
             )
         visit = self._report(imsi, visit, now_us, events)
         if visit != before:
             self.visit.update(tuple(visit))
         if visit is not None and visit.watched and not visit.reported:
             self._wake(visit.due_us)
+        if self.expire_us is not None and signals:
+            self._wake(visit.seen_us + self.expire_us)
         yield from (_Event(*event) for event in events)
 
     @staticmethod
@@ -133,11 +147,11 @@ def _packed(signals):
     return tuple(map(list, zip(*signals)))
 
 
-def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None):
+def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None, expire_ms=None):
     """The event stream of a flow with a ``watched`` flag (see ``live.with_watch_flag``).
 
     ``ttl_ms`` drops the state of subscribers not seen for that long; Spark offers it in
-    processing time only.
+    processing time only. ``expire_ms`` does so in event time, by timers.
     """
     rows = flow.select(
         "imsi",
@@ -150,7 +164,7 @@ def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None):
         "age",
     )
     events = rows.groupBy("imsi").transformWithState(
-        statefulProcessor=VisitTracker(threshold_ms, event_time, ttl_ms),
+        statefulProcessor=VisitTracker(threshold_ms, event_time, ttl_ms, expire_ms),
         outputStructType=EVENT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime" if event_time else "ProcessingTime",

@@ -19,16 +19,25 @@ def use_rocksdb(spark):
 
 
 def start_visits(
-    stream, targets, threshold_ms, out, checkpoint, event_time=True, ttl_ms=None, **trigger
+    stream,
+    targets,
+    threshold_ms,
+    out,
+    checkpoint,
+    event_time=True,
+    ttl_ms=None,
+    expire_ms=None,
+    **trigger,
 ):
     """One query, three tables below ``out``: flow events, stay events, stay totals.
 
-    ``stream`` is a placed stream (see ``live.user_region_flow``). ``trigger`` is passed on, for
+    ``stream`` is a placed stream (see ``live.user_region_flow``), or the output of
+    ``start_enrichment`` with a watch list, whose flags then count. ``trigger`` is passed on, for
     example ``availableNow=True`` or ``processingTime='10 seconds'``.
     """
     use_rocksdb(stream.sparkSession)
     events = visits.visit_events(
-        live.with_watch_flag(stream, targets), threshold_ms, event_time, ttl_ms
+        live.with_watch_flag(stream, targets), threshold_ms, event_time, ttl_ms, expire_ms
     )
 
     def write(batch, batch_id):
@@ -90,14 +99,19 @@ def start_persona_log(stream, length, out, checkpoint, **trigger):
 def start_enrichment(stream, load_dimensions, out, checkpoint, **trigger):
     """Place signals with dimensions that are read again for every micro-batch.
 
-    ``load_dimensions()`` returns (user_info, cells) and is called once per batch, so changed
-    files count from the next batch on. The placed signals are appended to ``out``, which the
-    stateful queries then read as a stream of files.
+    ``load_dimensions()`` returns (user_info, cells) or (user_info, cells, targets) and is called
+    once per batch, so changed files count from the next batch on. The placed signals are appended
+    to ``out``, which the stateful queries then read as a stream of files. With a watch list they
+    carry ``watched``, the list's answer when the signal came. A visit keeps the answer of the
+    signal that opened it: a region added to the list counts from the next entry on, and visits
+    that are open when a region leaves the list still report their stay and their end.
     """
 
     def write(batch, batch_id):
-        user_info, cells = load_dimensions()
+        user_info, cells, *targets = load_dimensions()
         placed = persona.user_region_flow(batch, user_info, cells)
+        if targets:
+            placed = live.with_watch_flag(placed, targets[0])
         sink.append_batch(placed, out, batch_id)
 
     return _start(stream, write, checkpoint, trigger)

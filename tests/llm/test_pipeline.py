@@ -1,0 +1,95 @@
+"""The pipeline stage by stage against plain versions, each on what the stage before kept."""
+
+import collections
+
+import pytest
+
+import corpus_pipeline as pipeline
+from tests.conftest import DATA
+from tests.llm.helpers import no_docs, odd_docs, words
+from tests.llm.test_dedup import plain_links, plain_norm
+
+SF = f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Rows before and after each stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {}
+    for name, stage in pipeline.STAGES:
+        path = f"file://{tmp_path_factory.mktemp('pipeline')}/{name}"
+        out = stage(spark, docs, SF)
+        if name != "pack":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        out.write.parquet(path)
+        before, docs = docs.collect(), spark.read.parquet(path)
+        found[name] = before, docs.collect()
+    return found
+
+
+def test_order():
+    assert [n for n, _ in pipeline.STAGES] == ["language", "exact", "near", "mix", "pack"]
+
+
+def test_language_keeps_clean_documents(stages):
+    before, after = stages["language"]
+    assert set(after) <= set(before) and len(after) >= 0.95 * len(before)
+    gone = {r.doc_id for r in before} - {r.doc_id for r in after}
+    long = {r.doc_id for r in before if len(set(words(r.text))) >= 50}
+    assert not gone & long
+
+
+def test_exact_keeps_the_longest_then_smallest(stages):
+    before, after = stages["exact"]
+    groups = collections.defaultdict(list)
+    for r in before:
+        groups[plain_norm(r.text)].append((-len(r.text), r.doc_id))
+    assert sorted(r.doc_id for r in after) == sorted(min(g)[1] for g in groups.values())
+
+
+def test_near_keeps_one_of_each_class(stages):
+    before, after = stages["near"]
+    classes = plain_links([(r.doc_id, r.text) for r in before])
+    assert sorted(r.doc_id for r in after) == sorted({c for c, _ in classes.values()})
+
+
+def test_mix_takes_words_of_the_documents(stages):
+    before, after = stages["mix"]
+    text = {r.doc_id: words(r.text) for r in before}
+    turns, taken = collections.Counter(), collections.Counter()
+    for r in after:
+        turns[r.doc_id] += 1
+        taken[r.source] += len(words(r.text))
+        assert not collections.Counter(words(r.text)) - collections.Counter(text[r.doc_id])
+    assert max(turns.values()) == 2
+    total = sum(map(len, text.values()))
+    assert abs(sum(taken.values()) - 1.5 * total) <= 256 * len(taken)
+
+
+def test_pack_fills_sequences(stages):
+    before, after = stages["pack"]
+    assert sum(r.piece == 0 for r in after) == len(before)
+    bins = collections.defaultdict(list)
+    for r in after:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= pipeline.CAPACITY
+    assert len(bins) <= -(-sum(r.length for r in after) // pipeline.CAPACITY) + 1
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    got = pipeline.run(spark, SF)
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, got.collect())) == sorted(map(key, stages["pack"][1]))
+
+
+def test_stages_take_odd_and_empty_tables(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, no_docs(spark).select(*names), SF).count() == 0
+        assert stage(spark, odd_docs(spark).select(*names), SF).count() > 0

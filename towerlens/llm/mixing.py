@@ -118,7 +118,7 @@ class Plan:
 def numbered(rows, plan):
     """``rows`` with source_no, group_no, row_no and first, the words of the source before it."""
     table = plan.table()
-    rows = rows.join(F.broadcast(table), rows["_source"].eqNullSafe(table["_source"])).drop(table["_source"])
+    rows = rows.join(table, rows["_source"].eqNullSafe(table["_source"])).drop(table["_source"])
     rows = rows.withColumn("group_no", F.pmod(F.xxhash64("_key", F.lit(11)), F.lit(plan.groups)))
     group = Window.partitionBy("source_no", "group_no")
     order = group.orderBy("_key", "_size", "_hash")
@@ -159,7 +159,7 @@ def draws(plan, seed, shard_slots=SHARD_SLOTS):
 
     drawn = plan.spark.range(shards).mapInArrow(run, "source_no int, shard long, drawn long")
     quota = plan.spark.createDataFrame(list(enumerate(plan.quotas)), "source_no int, quota long")
-    drawn = drawn.join(F.broadcast(quota), "source_no")
+    drawn = drawn.join(quota, "source_no")
     shard = Window.partitionBy("source_no").orderBy("shard")
     whole = Window.partitionBy("source_no")
     drawn = drawn.withColumn("before", F.sum("drawn").over(shard) - F.col("drawn"))

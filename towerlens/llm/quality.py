@@ -365,6 +365,6 @@ def judged(docs, key="doc_id", text="text", lang="lang", folder=None, band=BAND)
     inside = F.col("score").between(
         F.col("middle") - width * F.col("below"), F.col("middle") + width * F.col("above")
     )
-    return rows.join(F.broadcast(limits), "lang", "left").withColumn(
+    return rows.join(limits, "lang", "left").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     )

@@ -120,15 +120,27 @@ def test_near_representatives_of_odd_rows(spark):
 
 def test_substrings_keep_the_first_and_the_offsets(spark):
     long = " ".join(f"p{i}" for i in range(60))
-    texts = [(2, f"start\n{long}\nend"), (1, f"{long.upper()}\nother"), (3, f"ü\n{long}  \n\n{long}"), (None, long), (4, "end\nstart"), (5, None), (1, f"{long.upper()}\nother")]
+    texts = [(2, f"start\n{long}\nend"), (1, f"{long.upper()}\nother one of four"), (3, f"ü\n{long}  \n\n{long}"), (None, long), (4, "end\nstart"), (5, None), (1, f"{long.upper()}\nother one of four")]
     docs = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, row string, start int")
     spans = substring_dedup.removed_spans(docs).collect()
     assert sorted((str(r.doc_id), r.start, r.stop, r.n_words, r.keep_id) for r in spans) == sorted(
         [("2", 6, 6 + len(long), 60, 1), ("3", 2, 2 + 2 * len(long) + 4, 120, 1), ("None", 0, len(long), 60, 1),
-         ("1", 0, len(long) + 6, 61, 1)]
+         ("1", 0, len(texts[1][1]), 64, 1)]
     )
     rows = {(r.doc_id, r.text): r.kept_starts for r in substring_dedup.cleaned(docs).collect()}
     assert rows[2, "start\n\nend"] == [0, 6 + len(long)] and rows[3, "ü\n"] == [0]
     assert rows[1, texts[1][1]] == [0] and rows[5, None] == []
     assert substring_dedup.removed_spans(odd_docs(spark)).columns[0] == "doc_id"
     assert substring_dedup.cleaned(no_docs(spark)).count() == 0
+
+
+def test_passages_inside_lines_are_found(spark):
+    passage = " ".join(f"A{i} sentence of the passage{i} with eight words." for i in range(8)) + " Yes. No."
+    texts = [f"Own words {i} come first and stay here. {passage} Own words {i} again, at the very end." for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "Own text without any of it."])), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.removed_spans(docs).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    for i, r in got.items():
+        assert texts[i][r.start : r.stop] == passage.removesuffix(" Yes. No.") and r.keep_id == 0
+    lines = substring_dedup.removed_spans(docs, separator=substring_dedup.LINE)
+    assert lines.count() == 0

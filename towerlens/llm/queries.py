@@ -39,7 +39,8 @@ def op2_substring_dedup(spark, sf_dir):
 
 OP2_SQL = r"""
 WITH t AS (
-    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS lines
+    FROM documents
 ), l AS (
     SELECT doc_id, unnest(range(1, len(lines) + 1)) AS unit, unnest(lines) AS line FROM t
 ), o AS (
@@ -50,7 +51,7 @@ WITH t AS (
 ), u AS (
     SELECT doc_id, unit, start, start + length(line) AS stop, len(w) AS n_words,
            array_to_string(w, ' ') AS g, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS n
-    FROM o WHERE len(w) > 0
+    FROM o WHERE len(w) >= 4
 ), r AS (
     SELECT *, first_value(doc_id) OVER (PARTITION BY g ORDER BY doc_id, unit) AS keep_id,
            row_number() OVER (PARTITION BY g ORDER BY doc_id, unit) AS place

@@ -1,14 +1,14 @@
-"""Substring de-duplication by line (or paragraph) hashing.
+"""Substring de-duplication by line hashing, with a sentence, a line or a paragraph as the unit.
 
 Texts are cut at a separator. Each unit is normalised (lower case, runs of white space as one
 space, none at the ends) and hashed to 128 bits; digests are grouped over all documents. The
 occurrence with the smallest key, then the earliest place, stays; the others are repeats.
 Neighbouring repeats form a run, and runs of at least ``min_words`` words are removed, so passages
-that span several short lines go, while a short line that many texts share stays. Spans carry
-character offsets into the original text.
+that span several short units go, also inside a longer line, while a short unit that many texts
+share stays. Spans carry character offsets into the original text.
 
-Defined cases: a null text is empty; units without a word are never repeats and end no run; null
-keys rank last; repeated rows rank by their place in the table, so the first keeps its units; an
+Defined cases: a null text is empty; units of fewer than ``UNIT_WORDS`` words are never repeats by
+themselves and end no run, so they go with a run around them; null keys rank last; repeated rows rank by their place in the table, so the first keeps its units; an
 empty table gives an empty result. Other columns are kept by ``cleaned`` only.
 """
 
@@ -20,32 +20,37 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from towerlens.session import materialise
+from towerlens.session import materialise, work_folder
 
 MIN_WORDS = 25
-LINE = "\n"
-PARAGRAPH = "\n\n"
+UNIT_WORDS = 4
+# Separators: a line feed; an empty line; a line feed or the space behind the end of a sentence.
+LINE = r"\n"
+PARAGRAPH = r"\n\n"
+SENTENCE = r"\n|(?<=[.!?]) "
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-UNITS = "row long, doc_id long, unit int, start long, stop long, n_words long, digest binary"
+UNITS = "row long, doc_id long, unit int, start int, stop int, n_words int, digest binary"
 
 
 def cut(text, separator):
-    """(unit number, start, stop, words) of every unit with a word."""
-    at = 0
-    for number, unit in enumerate(text.split(separator)):
-        found = _WORD.findall(unit.lower())
-        if found:
-            yield number, at, at + len(unit), found
-        at += len(unit) + len(separator)
+    """(number, start, stop, words) of every unit of at least UNIT_WORDS words."""
+    number, at = 0, 0
+    ends = [m.span() for m in re.finditer(separator, text)]
+    for stop, after in [*ends, (len(text), len(text))]:
+        found = _WORD.findall(text[at:stop].lower())
+        if len(found) >= UNIT_WORDS:
+            yield number, at, stop, found
+            number += 1
+        at = after
 
 
-def units(rows, separator=LINE):
-    """One row per unit with a word of ``rows`` (row, doc_id, text)."""
+def units(rows, separator=SENTENCE):
+    """One row per unit of ``rows`` (row, doc_id, text), written once to the shared folder."""
 
     def run(batches):
         names = [x.split()[0] for x in UNITS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             out = []
             for row, key, text in zip(*batch.columns):
@@ -59,7 +64,9 @@ def units(rows, separator=LINE):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return rows.mapInArrow(run, UNITS)
+    path = f"{work_folder(rows.sparkSession)}/units"
+    rows.mapInArrow(run, UNITS).write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def repeats(found, min_words=MIN_WORDS):
@@ -67,17 +74,14 @@ def repeats(found, min_words=MIN_WORDS):
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "unit")
     ranked = found.withColumn("rank", rank)
     shared = ranked.groupBy("digest").agg(F.count("*").alias("n"), F.min("rank").alias("best"))
-    shared = shared.filter("n > 1").select("digest", "best")
+    # Written once, so the join below has two shuffled sides and Spark may split a common line.
+    shared = materialise(shared.filter("n > 1").select("digest", "best"))
     marked = ranked.join(shared, "digest").filter(F.col("rank") != F.col("best"))
-    # Numbers of units with a word, so blank units between two repeats do not part them.
-    text = Window.partitionBy("row").orderBy("unit")
-    every = found.select("row", "unit", F.row_number().over(text).alias("n"))
-    marked = marked.join(every, ["row", "unit"]).withColumn(
-        "run", F.col("n") - F.row_number().over(Window.partitionBy("row").orderBy("n"))
-    )
+    place = F.row_number().over(Window.partitionBy("row").orderBy("unit"))
+    marked = marked.withColumn("run", F.col("unit") - place)
     runs = marked.groupBy("row", "doc_id", "run").agg(
-        F.min("start").alias("start"),
-        F.max("stop").alias("stop"),
+        F.min("start").cast("long").alias("start"),
+        F.max("stop").cast("long").alias("stop"),
         F.sum("n_words").alias("n_words"),
         F.count("*").alias("n_units"),
         F.min(F.struct("unit", "best.doc_id")).alias("first"),
@@ -95,9 +99,9 @@ def _rows(docs, key, text):
     )
 
 
-def removed_spans(docs, key="doc_id", text="text", separator=LINE, min_words=MIN_WORDS):
+def removed_spans(docs, key="doc_id", text="text", separator=SENTENCE, min_words=MIN_WORDS):
     """The spans that go: doc_id, start, stop, n_words, n_units, keep_id."""
-    found = materialise(units(_rows(docs, key, text), separator))
+    found = units(_rows(docs, key, text), separator)
     return repeats(found, min_words).drop("row")
 
 
@@ -112,13 +116,13 @@ def cut_out(text, spans):
     return "".join(parts), starts
 
 
-def cleaned(docs, key="doc_id", text="text", separator=LINE, min_words=MIN_WORDS):
+def cleaned(docs, key="doc_id", text="text", separator=SENTENCE, min_words=MIN_WORDS):
     """``docs`` without the spans, with ``kept_starts``: where each kept part began."""
     names = docs.columns
     flat = docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     flat = materialise(flat)
     at, body = f"c{names.index(key)}", f"c{names.index(text)}"
-    found = materialise(units(flat.select("row", F.col(at).cast("long").alias("doc_id"), F.col(body).alias("text")), separator))
+    found = units(flat.select("row", F.col(at).cast("long").alias("doc_id"), F.col(body).alias("text")), separator)
     spans = repeats(found, min_words).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     kept = [f"c{i}" for i in range(len(names))]
     place = names.index(text)

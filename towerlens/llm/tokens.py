@@ -17,11 +17,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from towerlens.llm.memory import release
+
 END_ID = 0
 # Words that one worker remembers; beyond that it starts anew. Results do not depend on it.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 # Bytes of text that are handled at once, and of words that are encoded in one call.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 CALL_BYTES = 1000
 
 _UNSAFE = (
@@ -154,6 +156,8 @@ class WordTokenizer:
         for start, stop in row_blocks(sizes, BLOCK_BYTES):
             ids, lengths = self._block(texts.slice(start, stop - start))
             yield start, ids, lengths
+            del ids, lengths
+            release()
 
 
 def row_blocks(sizes, most):

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from towerlens.llm.memory import release
+
 # Bytes of text that are handled at once; a longer text stands alone.
 BLOCK_BYTES = 2 << 20
 # Bytes of one prefix sum.
@@ -59,6 +61,7 @@ def text_blocks(texts, most=BLOCK_BYTES):
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         yield start, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         start = stop
+    release()
 
 
 def word_bounds(data, offsets):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from towerlens.llm.memory import release
+from towerlens.llm.memory import checked, release
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 400
@@ -49,7 +49,7 @@ def fit(docs, key="doc_id", text="text", lang="lang", sample_texts=SAMPLE_TEXTS,
             shares.append((r["lang"], r["long"], 3.0 * want / r["n"]))
             short[r["lang"]] = r["n"]
     limits = docs.sparkSession.createDataFrame(shares, "lang string, long int, share double")
-    few = rows.join(limits, ["lang", "long"]).filter("h < share")
+    few = rows.join(checked(limits, len(shares)), ["lang", "long"]).filter("h < share")
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     chosen = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_texts)
     cut = F.substring(F.encode(F.lower("text"), "UTF-8"), 1, dictionary_bytes)

@@ -1,8 +1,13 @@
-"""Giving memory back between batches, as workers of several stages live side by side."""
+"""Giving memory back between batches, as workers of several stages live side by side, and the
+check of a table's size before it is broadcast."""
 
 import ctypes
 
 import pyarrow as pa
+from pyspark.sql import functions as F
+
+# Rows of a few numbers and a name each, so some megabytes.
+BROADCAST_ROWS = 100_000
 
 
 def release():
@@ -12,3 +17,9 @@ def release():
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # a C library without it
         pass
+
+
+def checked(frame, rows):
+    """``frame``, whose number of rows is known, to be broadcast if that is small, and to be shuffled
+    otherwise."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from towerlens.llm import words
+from towerlens.llm.memory import checked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -118,7 +119,7 @@ class Plan:
 def numbered(rows, plan):
     """``rows`` with source_no, group_no, row_no and first, the words of the source before it."""
     table = plan.table()
-    rows = rows.join(table, rows["_source"].eqNullSafe(table["_source"])).drop(table["_source"])
+    rows = rows.join(checked(table, len(plan.names)), rows["_source"].eqNullSafe(table["_source"])).drop(table["_source"])
     rows = rows.withColumn("group_no", F.pmod(F.xxhash64("_key", F.lit(11)), F.lit(plan.groups)))
     group = Window.partitionBy("source_no", "group_no")
     order = group.orderBy("_key", "_size", "_hash")
@@ -159,7 +160,7 @@ def draws(plan, seed, shard_slots=SHARD_SLOTS):
 
     drawn = plan.spark.range(shards).mapInArrow(run, "source_no int, shard long, drawn long")
     quota = plan.spark.createDataFrame(list(enumerate(plan.quotas)), "source_no int, quota long")
-    drawn = drawn.join(quota, "source_no")
+    drawn = drawn.join(checked(quota, len(plan.quotas)), "source_no")
     shard = Window.partitionBy("source_no").orderBy("shard")
     whole = Window.partitionBy("source_no")
     drawn = drawn.withColumn("before", F.sum("drawn").over(shard) - F.col("drawn"))
@@ -223,7 +224,10 @@ def spans(docs, seed=0, plan=None, shard_slots=SHARD_SLOTS, key="doc_id", text="
     rows = sized(docs, key, text, source).select("_key", "_source", "_size", "_hash")
     plan = plan or Plan(rows)
     pieces = block_pieces(numbered(rows, plan), plan)
-    return pieces.join(slots(plan, seed, shard_slots), ["source_no", "block"], "left")
+    # The size of the slots can't be seen from the draws they come from, so it is not left to Spark
+    # to broadcast them.
+    taken_by = slots(plan, seed, shard_slots).hint("merge")
+    return pieces.join(taken_by, ["source_no", "block"], "left")
 
 
 def taken(docs, seed=0, **kw):

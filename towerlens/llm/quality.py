@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from towerlens.llm import words
+from towerlens.llm.memory import checked
 from towerlens.session import materialise, work_folder
 
 ORDER = 4
@@ -42,6 +43,7 @@ LEAST_WORDS = 20
 REPEAT_WINDOW = 8
 MOST_REPEATED = 30
 NO_LANGUAGE = ""
+PARTS = 256
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -176,7 +178,11 @@ def probabilities(counts):
     grams_, contexts, below = [], [], None
     for order in range(1, ORDER + 1):
         table = tables[order]
-        rows = table.join(_discounts(table), "lang").withColumn("context", F.floor(F.col("gram") / 256))
+        # Discounts are repeated over parts, so the grams of one language are joined by many tasks.
+        part = F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int")
+        cuts = _discounts(table).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = table.withColumn("part", part).join(cuts, ["lang", "part"]).drop("part")
+        rows = rows.withColumn("context", F.floor(F.col("gram") / 256))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumn("cut", cut)
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
@@ -365,6 +371,6 @@ def judged(docs, key="doc_id", text="text", lang="lang", folder=None, band=BAND)
     inside = F.col("score").between(
         F.col("middle") - width * F.col("below"), F.col("middle") + width * F.col("above")
     )
-    return rows.join(limits, "lang", "left").withColumn(
+    return rows.join(checked(limits, len(table)), "lang", "left").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     )

@@ -68,7 +68,8 @@ def directory(entries, capacity=CAPACITY):
     levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {MAX_DEPTH} - depth)"))
     totals = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("total"))
     fits = totals.filter((F.col("total") <= capacity) | (F.col("depth") == MAX_DEPTH))
-    found = levels.join(fits, ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
+    # At most 2**(MAX_DEPTH + 1) prefixes, so they may be broadcast.
+    found = levels.join(F.broadcast(fits), ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
     free = F.expr(f"shiftleft(1, {MAX_DEPTH} - depth)")
     return found.withColumn("bucket", F.col("slot") - F.col("slot") % free)
 

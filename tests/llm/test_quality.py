@@ -58,6 +58,29 @@ def test_scores_match_a_plain_model(spark, tmp_path):
     assert sum(p(b"the" + bytes([i])) for i in range(256)) == pytest.approx(1)
 
 
+def test_every_gram_is_kept_and_an_unseen_one_finds_nothing(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(33 + c) for c in rng.integers(0, 90, 4000)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    folder = f"file://{tmp_path}/model"
+    monkeypatch.setattr(quality, "PART_ROWS", 50_000)
+    quality.write_model(docs, folder)
+    seen = {(t, k, b[i - k : i]) for j, x in enumerate(texts) for t in [j % 2] for b in [b"\n" * 3 + x.encode()] for k in (1, 2, 3, 4) for i in range(max(k, 4), len(b) + 1)}
+    lines = spark.read.parquet(f"{folder}/grams")
+    assert lines.count() == len(seen)
+    every = quality.Model(folder)
+    monkeypatch.setattr(quality, "HELD_BYTES", 1_000_000)
+    few = quality.Model(folder)
+    assert len(few.parts["grams"]) > 4
+    gram = rng.integers(0, 1 << 32, 200_000).astype(np.uint32)
+    language = rng.integers(-1, 2, len(gram))
+    known = np.array([(t, 4, int(g).to_bytes(4, "big")) in seen for t, g in zip(language, gram)])
+    keys = quality.keys(gram.astype(np.int64), 4, language)
+    assert (every._find("grams", keys)[0] == known).all()
+    assert (every.scores(gram, language) == few.scores(gram, language)).all()
+    assert 0 < sum(x.nbytes for part in few.held.values() for x in part) <= 1_000_000
+
+
 def test_model_is_the_same_for_any_layout(spark, tmp_path):
     docs = odd_docs(spark)
     kept = []

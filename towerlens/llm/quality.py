@@ -4,9 +4,11 @@ The model predicts each byte of a text from the three before it, per language. T
 grams of their texts, Spark adds them up over all documents, and each lower order counts how many
 grams of the next order end in it. Discounts come from the counts of counts of a language and
 order. The probabilities, interpolated from below, and the back-off weights of contexts are stored
-as arrays sorted by a hash of ``HASH_BITS`` bits, so a model has at most 2**HASH_BITS entries of
-each kind (128 MiB) whatever the corpus; where two grams share a hash the more frequent one
-counts. Tasks read the arrays from the shared folder.
+as arrays sorted by their whole key, which is the language's number, the order and the gram, so
+every gram of the corpus is kept and an unseen one finds nothing. The arrays lie in files of at most
+``PART_ROWS`` entries and disjoint ranges of keys. Tasks read the files from the shared folder, those
+a block of text asks for; ``HELD_BYTES`` of them stay in memory, and files beyond that are read
+again by each block.
 
 A document's score is the negative log probability of its bytes per word with a letter. It is
 rejected outside its language's band: the median plus or minus ``BAND`` times the median distance
@@ -33,7 +35,9 @@ from towerlens.llm.memory import checked
 from towerlens.session import materialise, work_folder
 
 ORDER = 4
-HASH_BITS = 24
+# Entries of one file of the model, and bytes of files that a worker keeps.
+PART_ROWS = 1 << 20
+HELD_BYTES = 256 << 20
 BAND = 8.0
 # A text of so many words has a band wider by the root of two.
 SHORT_WORDS = 50
@@ -202,85 +206,91 @@ def probabilities(counts):
     return first(grams_), first(contexts)
 
 
-def _language_number(name):
-    data = np.frombuffer(name.encode(), np.uint8)
-    out = np.uint64(len(data))
-    for b in data:
-        out = words.mix(np.array([out ^ np.uint64(int(b) << 7)], np.uint64))[0]
-    return out
-
-
-def slots(gram, order, language):
-    """Hashes of HASH_BITS bits; ``language`` is a number or an array of numbers."""
-    mixed = words.mix(np.asarray(gram, np.uint64) ^ (np.uint64(order) << np.uint64(8 * ORDER)))
-    return (words.mix(mixed ^ language) >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
+def keys(gram, order, language):
+    """Language, order and gram as one number; unknown languages (-1) give numbers below zero."""
+    return (language << (8 * ORDER + 3)) + (order << 8 * ORDER) + gram
 
 
 def write_model(docs, folder, text="text", lang="lang"):
     """Count, estimate and store the model of ``docs`` in ``folder``."""
     found, contexts = probabilities(gram_counts(docs, text, lang))
-
-    def hashed(frame, gram, value, weight):
-        def run(batches):
-            known = {}
-            for batch in batches:
-                langs = batch.column(0).to_pylist()
-                number = np.array([known[x] if x in known else known.setdefault(x, _language_number(x)) for x in langs], np.uint64)
-                order = batch.column(1).to_numpy().astype(np.uint64)
-                slot = slots(batch.column(2).to_numpy(), order, number)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot.astype(np.int32)), batch.column(3), batch.column(4)], names=["slot", "value", "weight"]
-                )
-
-        rows = frame.select("lang", "order", F.col(gram), F.log(F.greatest(F.col(value), F.lit(1e-12))).alias("value"), F.col(weight).alias("weight"))
-        rows = rows.mapInArrow(run, "slot int, value double, weight long")
-        best = rows.groupBy("slot").agg(F.max(F.struct("weight", "value")).alias("best"))
-        return best.select("slot", F.col("best.value").cast("float").alias("value"))
-
-    for name, frame in (
-        ("grams", hashed(found, "gram", "p", "n")),
-        ("contexts", hashed(contexts, "context", "gamma", "total")),
-    ):
-        frame.repartitionByRange("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(f"{folder}/{name}")
+    # Every language has grams of order 1, at most 256 of them.
+    names = sorted(r["lang"] for r in found.filter(F.col("order") == 1).select("lang").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "lang string, number long")
+    numbers.coalesce(1).write.mode("overwrite").parquet(f"{folder}/languages")
+    for name, frame, gram, value in (("grams", found, "gram", "p"), ("contexts", contexts, "context", "gamma")):
+        key = F.shiftleft("number", 8 * ORDER + 3) + F.shiftleft(F.col("order").cast("long"), 8 * ORDER) + F.col(gram)
+        log = F.log(F.greatest(F.col(value), F.lit(1e-12))).cast("float")
+        rows = frame.join(checked(numbers, len(names)), "lang").select(key.alias("key"), log.alias("value"))
+        rows = rows.repartitionByRange("key").sortWithinPartitions("key")
+        rows.write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS).parquet(f"{folder}/{name}")
 
 
 class Model:
-    """Sorted hash arrays of a stored model."""
+    """Sorted arrays of a stored model, read by file as they are asked for."""
 
     def __init__(self, folder):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder)
-        self.tables = {}
+        self.store, base = fs.FileSystem.from_uri(folder)
+        table = pq.read_table(f"{base}/languages", filesystem=self.store)
+        self.numbers = dict(zip(table["lang"].to_pylist(), table["number"].to_pylist()))
+        self.parts, self.held, self.room = {}, {}, HELD_BYTES
         for name in ("grams", "contexts"):
-            table = pq.read_table(f"{base}/{name}", filesystem=store)
-            slot, value = table["slot"].to_numpy(), table["value"].to_numpy()
-            order = np.argsort(slot, kind="stable")
-            self.tables[name] = slot[order].astype(np.uint32), value[order]
-
-    def _find(self, name, slot):
-        keys, values = self.tables[name]
-        if len(keys) == 0:
-            return np.zeros(len(slot), bool), np.zeros(len(slot), np.float32)
-        at = np.minimum(np.searchsorted(keys, slot), len(keys) - 1)
-        return keys[at] == slot, values[at]
+            parts = []
+            for file in self.store.get_file_info(fs.FileSelector(f"{base}/{name}")):
+                if not file.path.endswith(".parquet"):
+                    continue
+                about = pq.read_metadata(file.path, filesystem=self.store)
+                ranges = [about.row_group(i).column(0).statistics for i in range(about.num_row_groups)]
+                if ranges:
+                    parts.append((min(r.min for r in ranges), max(r.max for r in ranges), file.path))
+            self.parts[name] = sorted(parts)
+
+    def _part(self, path):
+        import pyarrow.parquet as pq
+
+        if path in self.held:
+            return self.held[path]
+        with self.store.open_input_file(path) as file:
+            table = pq.ParquetFile(file).read()
+        found = table["key"].to_numpy(), table["value"].to_numpy()
+        size = sum(x.nbytes for x in found)
+        if size <= self.room:
+            self.held[path] = found
+            self.room -= size
+        return found
+
+    def _find(self, name, key):
+        """(whether it is there, value) of each key."""
+        asked, back = np.unique(key, return_inverse=True)
+        hit, value = np.zeros(len(asked), bool), np.zeros(len(asked), np.float32)
+        for low, high, path in self.parts[name]:
+            a, b = np.searchsorted(asked, low), np.searchsorted(asked, high, side="right")
+            if a < b:
+                have, values = self._part(path)
+                at = np.searchsorted(have, asked[a:b])
+                hit[a:b], value[a:b] = have[at] == asked[a:b], values[at]
+        return hit[back], value[back]
 
     def scores(self, gram, language):
-        """Log probability of the last byte of each gram."""
+        """Log probability of the last byte of each gram; ``language`` holds numbers of languages."""
+        both, back = np.unique((language << 8 * ORDER) + gram.astype(np.int64), return_inverse=True)
+        language, gram = both >> 8 * ORDER, both & ((1 << 8 * ORDER) - 1)
         out = np.zeros(len(gram))
         todo = np.arange(len(gram))
         for order in range(ORDER, 0, -1):
-            low = gram[todo].astype(np.uint64) & np.uint64((1 << 8 * order) - 1)
-            hit, value = self._find("grams", slots(low, order, language[todo]))
+            low = gram[todo] & ((1 << 8 * order) - 1)
+            hit, value = self._find("grams", keys(low, order, language[todo]))
             out[todo[hit]] += value[hit]
             todo, low = todo[~hit], low[~hit]
             if len(todo) == 0:
-                return out
-            hit, value = self._find("contexts", slots(low >> np.uint64(8), order, language[todo]))
+                break
+            hit, value = self._find("contexts", keys(low >> 8, order, language[todo]))
             out[todo[hit]] += value[hit]
         out[todo] += np.log(1 / 256)
-        return out
+        return out[back]
 
 
 def _model(folder):
@@ -295,10 +305,9 @@ def scored(docs, folder, key="doc_id", text="text", lang="lang"):
     """doc_id, lang, BASE columns and ``score``, the negative log probability per lettered word."""
 
     def run(batches):
-        model, known = _model(folder), {}
+        model = _model(folder)
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            number = np.array([known[x] if x in known else known.setdefault(x, _language_number(x)) for x in langs], np.uint64)
+            number = np.array([model.numbers.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             for first, data, offsets in words.text_blocks(batch.column(2)):
                 base = base_counts(data, offsets)
                 gram, sizes = grams(data, offsets)

@@ -1,0 +1,70 @@
+"""The tracker with waiting signals by slices of time: bounded reads, and the results of brute force."""
+
+import random
+
+import pytest
+
+from tests.helpers import START_US, brute_events
+from tests.test_tracker import TARGETS, THRESHOLD, Clock, Handle, rows
+from towerlens.streaming import visits
+
+
+class Map:
+    def __init__(self):
+        self.held, self.longest = {}, 0
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.longest = max(self.longest, len(value[0]))
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+class MapHandle(Handle):
+    def getMapState(self, name, key_schema, value_schema):
+        return Map()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_slices_are_bounded_and_change_nothing(monkeypatch, seed):
+    monkeypatch.setattr(visits, "SLICE", 8)
+    rng = random.Random(seed)
+    seconds = sorted(rng.choices(range(400), k=rng.choice([1, 30, 300])))
+    signals = [(n, rng.choice("AABX"), s) for n, s in enumerate(seconds)]
+    wanted = brute_events([("u", r, s) for _, r, s in signals], TARGETS, THRESHOLD, 900)
+    handle, tracker = MapHandle(), visits.SlicedVisitTracker(THRESHOLD * 1000)
+    tracker.init(handle)
+    most, read = 0, tracker._read
+
+    def spied(pieces):
+        nonlocal most
+        found = read(pieces)
+        most = max(most, len(found))
+        return found
+
+    monkeypatch.setattr(tracker, "_read", spied)
+    cuts = sorted(rng.choices(range(len(signals) + 1), k=rng.choice([0, 3])))
+    got, watermark = [], 0
+    for a, b in zip([0, *cuts], [*cuts, len(signals)]):
+        batch = signals[a:b]
+        rng.shuffle(batch)
+        if batch:
+            got += list(tracker.handleInputRows(("u",), rows(batch), Clock(watermark)))
+            watermark = START_US // 1000 + (max(s for *_, s in batch) - 1) * 1000
+        fire(handle, tracker, watermark, got)
+    fire(handle, tracker, START_US // 1000 + 900_000, got)
+    assert sorted((e.imsi, e.event_type, e.region_id, (e.event_us - START_US) / 1e6) for e in got) == wanted
+    assert most <= 8 and tracker.pending.longest <= 8 and not tracker.pending.held
+
+
+def fire(handle, tracker, watermark, got):
+    while any(timer <= watermark for timer in handle.timers):
+        handle.timers.remove(min(handle.timers))
+        got += list(tracker.handleExpiredTimer(("u",), Clock(watermark), None))

@@ -4,7 +4,9 @@ Event types are those of the batch form: 0 leave, 1 enter, 2 long stay began, 3
 """
 
 import sys
+from bisect import bisect_left, bisect_right
 from collections import namedtuple
+from itertools import islice
 
 from pyspark import cloudpickle
 from pyspark.sql import Row
@@ -23,6 +25,11 @@ _PENDING_SCHEMA = (
     "event_us array<long>, event_id array<long>, region_id array<string>, "
     "watched array<boolean>, gender array<string>, age array<int>"
 )
+# Where a slice of time begins, the number of a piece of it, and the signals of that piece.
+_SLICE_SCHEMA = "start_us long, start_id long, piece long, n long"
+# The most signals of a slice; those of one subscriber, time and event id stay together.
+SLICE = 1 << 15
+_LEAST = (-(1 << 63), -(1 << 63))
 _VISIT_SCHEMA = (
     "region_id string, watched boolean, due_us long, reported boolean, gender string, age int, "
     "seen_us long"
@@ -101,8 +108,11 @@ class VisitTracker(StatefulProcessor):
     def _advance(self, imsi, signals, now_us):
         held = self.visit.get()
         before = None if held is None else _Visit(*held)
-        visit, events = before, []
+        visit, events, any_signal = before, [], False
         for signal in signals:
+            any_signal = True
+            yield from (_Event(*event) for event in events)
+            events = []
             clock = signal.event_us if self.event_time else now_us
             visit = self._report(imsi, visit, clock, events)
             if visit is not None and visit.region_id == signal.region_id:
@@ -130,7 +140,7 @@ class VisitTracker(StatefulProcessor):
             self.visit.update(tuple(visit))
         if visit is not None and visit.watched and not visit.reported:
             self._wake(visit.due_us)
-        if self.expire_us is not None and signals:
+        if self.expire_us is not None and any_signal:
             self._wake(visit.seen_us + self.expire_us)
         yield from (_Event(*event) for event in events)
 
@@ -143,6 +153,101 @@ class VisitTracker(StatefulProcessor):
         return visit._replace(reported=True)
 
 
+class SlicedVisitTracker(VisitTracker):
+    """The tracker in event time, with waiting signals by slices of time in a map.
+
+    A slice that outgrows ``SLICE`` signals is split, and slices are read one after the other once
+    they are due, so of a subscriber with any number of signals about two slices are in memory.
+    """
+
+    def init(self, handle):
+        self.handle = handle
+        self.visit = handle.getValueState("visit", _VISIT_SCHEMA, self.ttl_ms)
+        self.pending = handle.getMapState("slices", _SLICE_SCHEMA, _PENDING_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues):
+        arrived = (_Signal(*(row[name] for name in _Signal._fields)) for row in rows)
+        slices, first_us = self._slices(), None
+        while chunk := sorted(islice(arrived, SLICE)):
+            first_us = chunk[0].event_us if first_us is None else min(first_us, chunk[0].event_us)
+            self._hold(slices, chunk)
+        self._wake(first_us)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        slices = self._slices()
+        yield from self._advance(key[0], self._due(slices, now_us), now_us)
+        if self.expire_us is not None and not slices:
+            visit = self.visit.get()
+            if visit is not None and _Visit(*visit).seen_us + self.expire_us <= now_us:
+                self.visit.clear()
+
+    def _slices(self):
+        """{start of a slice: keys of its pieces}."""
+        found = {}
+        for held in list(self.pending.keys()):
+            found.setdefault(tuple(held[:2]), []).append(tuple(held))
+        return found
+
+    def _due(self, slices, now_us):
+        """The signals up to ``now_us`` in order; they leave the state."""
+        for start in sorted(slices):
+            if start[0] > now_us:
+                self._wake(start[0])
+                return
+            signals = self._read(slices[start])
+            ready = bisect_right(signals, now_us, key=lambda signal: signal.event_us)
+            if ready:
+                self._remove(slices, start)
+                if ready < len(signals):
+                    self._put(slices, start, signals[ready:])
+            yield from signals[:ready]
+            if ready < len(signals):
+                self._wake(signals[ready].event_us)
+                return
+
+    def _hold(self, slices, chunk):
+        starts, at = sorted({_LEAST, *slices}), 0
+        while at < len(chunk):
+            after = bisect_right(starts, chunk[at][:2])
+            stop = len(chunk)
+            if after < len(starts):
+                stop = bisect_left(chunk, starts[after], key=lambda signal: signal[:2])
+            self._add(slices, starts[after - 1], chunk[at:stop])
+            at = stop
+
+    def _add(self, slices, start, signals):
+        held = slices.get(start, [])
+        if not held or sum(piece[3] for piece in held) + len(signals) <= SLICE:
+            self._put(slices, start, signals)
+            return
+        signals = sorted(self._read(held) + signals)
+        self._remove(slices, start)
+        at = 0
+        while at < len(signals):
+            stop = min(at + max(SLICE // 2, 1), len(signals))
+            while stop < len(signals) and signals[stop][:2] == signals[stop - 1][:2]:
+                stop += 1
+            self._put(slices, signals[at][:2] if at else start, signals[at:stop])
+            at = stop
+
+    def _read(self, pieces):
+        return sorted(
+            _Signal(*values) for piece in pieces for values in zip(*self.pending.getValue(piece))
+        )
+
+    def _remove(self, slices, start):
+        for piece in slices.pop(start):
+            self.pending.removeKey(piece)
+
+    def _put(self, slices, start, signals):
+        pieces = slices.setdefault(start, [])
+        piece = (*start, len(pieces), len(signals))
+        self.pending.updateValue(piece, _packed(signals))
+        pieces.append(piece)
+
+
 def _packed(signals):
     return tuple(map(list, zip(*signals)))
 
@@ -163,8 +268,9 @@ def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None, expire_ms=Non
         "gender",
         "age",
     )
+    tracker = SlicedVisitTracker if event_time else VisitTracker
     events = rows.groupBy("imsi").transformWithState(
-        statefulProcessor=VisitTracker(threshold_ms, event_time, ttl_ms, expire_ms),
+        statefulProcessor=tracker(threshold_ms, event_time, ttl_ms, expire_ms),
         outputStructType=EVENT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime" if event_time else "ProcessingTime",

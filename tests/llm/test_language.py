@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tests.llm.helpers import ODD_ROWS, no_docs, odd_docs
@@ -24,6 +26,20 @@ def test_fit_is_bounded_and_repeatable(spark):
     assert one == language.fit(docs.repartition(7), sample_texts=20, dictionary_bytes=1500)
 
 
+def test_long_texts_keep_their_margin():
+    rng = random.Random(4)
+    stocks = {k: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(3000)] for k in "xy"}
+    text = lambda k, n: " ".join(rng.choices(stocks[k], k=n)).encode()
+    made = language.Compressors({k: text(k, 8_000) for k in stocks})
+    short, long = text("y", 8_000), text("y", 1_400_000)
+    scores = []
+    for data in (short, long):
+        name, score, accepted = language.judge(made.names, made.sizes(data))
+        assert (name, accepted) == ("y", True)
+        scores.append(score)
+    assert len(short) < language.BLOCK_BYTES and scores[1] > scores[0] / 2
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     found = language.predict(docs, language.fit(docs))

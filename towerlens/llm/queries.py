@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from towerlens.llm import (
     chat,
+    conversations,
     exact_dedup,
     jaccard_join,
     language,
     mixing,
     packing,
+    prefix_trie,
     quality,
     substring_dedup,
     token_files,
@@ -171,6 +173,68 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM k
 """
 
+
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the prefix tree; turns of one number follow each other by role, then by digest."""
+    turns = _read(spark, sf_dir, "conversations")
+    return prefix_trie.nodes(
+        conversations.rebuilt(turns), conversations.members(turns), ("section", "place")
+    )
+
+
+OP11_SQL = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), g AS (
+    SELECT conv_id, turn, role, strlen(text) AS size,
+           left(sha256(strlen(role) || ':' || role || strlen(text) || ':' || text), 32) AS g FROM t
+), o AS (
+    SELECT conv_id, g, size,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, g) AS i FROM g
+), c AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base,
+           xor(4294967295, list_reduce(
+               list_prepend(4294967295::BIGINT,
+                            list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                        lambda d, z: xor(d >> 1, 3988292384 * (d & 1))))) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+    SELECT c.conv_id, 0 AS s, i, g, size FROM c JOIN o ON o.conv_id = c.base WHERE i <= h
+    UNION ALL
+    SELECT o.conv_id, 1, i, g, size FROM o LEFT JOIN c ON o.conv_id = c.conv_id WHERE coalesce(i > h, true)
+), d AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY s, i) AS depth, g, size FROM r
+), l AS (
+    SELECT conv_id, list(g ORDER BY depth) AS gs FROM d GROUP BY conv_id
+), p AS (
+    SELECT d.conv_id, depth, size, depth = len(gs) AS last, array_to_string(gs[1:depth], '') AS k,
+           array_to_string(gs[1:depth - 1], '') AS pk
+    FROM d JOIN l ON d.conv_id IS NOT DISTINCT FROM l.conv_id
+    UNION ALL
+    SELECT c.conv_id, 0, 0, l.gs IS NULL, '', NULL
+    FROM c LEFT JOIN l ON c.conv_id IS NOT DISTINCT FROM l.conv_id
+), n AS (
+    SELECT k, any_value(pk) AS pk, max(depth) AS depth, min(conv_id) AS rep, count(*) AS n, max(size) AS size,
+           coalesce(string_agg(CASE WHEN last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+    FROM p GROUP BY k
+), m AS (
+    SELECT n.*, coalesce(x.kids, 0) AS kids FROM n
+    LEFT JOIN (SELECT pk, count(*) AS kids FROM n WHERE pk IS NOT NULL GROUP BY pk) x ON x.pk = n.k
+), a AS (
+    SELECT p.k, sum(CASE WHEN m.kids = 0 THEN 1 ELSE 0 END) OVER w AS leaves,
+           sum(coalesce((m.n - 1) * m.size, 0)) OVER w AS saved
+    FROM p LEFT JOIN m ON m.k = p.k AND m.rep IS NOT DISTINCT FROM p.conv_id
+    WINDOW w AS (PARTITION BY p.conv_id ORDER BY p.depth DESC)
+), s AS (
+    SELECT k, sum(leaves) AS leaves, sum(saved) AS saved FROM a GROUP BY k
+)
+SELECT m.rep AS conv_id, CAST(m.depth AS BIGINT) AS depth, u.rep AS parent_conv_id, m.n AS n_convs,
+       CAST(m.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.k = m.k LEFT JOIN n u ON u.k = m.pk
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -182,10 +246,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 ORACLE = {
     "op2_substring_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op10_warc": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }

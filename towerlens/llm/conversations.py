@@ -35,3 +35,25 @@ def rebuilt(conversations):
     )
     own = rows.filter(F.coalesce(F.col("rank") > head_length(F.col("conv_id")), F.lit(True)))
     return first.unionAll(own.select("conv_id", F.lit(1).alias("section"), "rank", "digest", "size"))
+
+
+def damaged(conversations):
+    """Turns with faults by the remainder of crc32("conv_id:turn") by 20; a null is one space.
+
+    0 drops the turn, 1 empties its text, 2 takes full stops and marks out of it, 3 repeats it, 4
+    makes it the user's; all others stay.
+    """
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("long").cast("string"), space) for c in ("conv_id", "turn")])
+    kind = F.crc32(key) % 20
+    text = F.coalesce("text", space)
+    return (
+        conversations.select(
+            F.col("conv_id").cast("long").alias("conv_id"),
+            F.col("turn").cast("long").alias("turn"),
+            F.when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+            F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+            F.explode(F.when(kind == 0, F.array().cast("array<int>")).when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"),
+        )
+        .drop("_copy")
+    )

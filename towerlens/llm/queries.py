@@ -13,11 +13,12 @@ from towerlens.llm import (
     packing,
     prefix_trie,
     quality,
+    structure,
     substring_dedup,
     token_files,
     warc,
 )
-from towerlens.session import work_folder
+from towerlens.session import materialise, work_folder
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -235,6 +236,22 @@ SELECT m.rep AS conv_id, CAST(m.depth AS BIGINT) AS depth, u.rep AS parent_conv_
 FROM m JOIN s ON s.k = m.k LEFT JOIN n u ON u.k = m.pk
 """
 
+
+def op12_structure_repair(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    found = structure.faults(conversations.damaged(turns))
+    made = structure.summary(found, materialise(structure.repaired(found)))
+    made = made.withColumnRenamed("conv_id", "_conv")
+    every = conversations.members(turns)
+    rows = every.join(made, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    return rows.fillna(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).withColumns(
+        {
+            "audit": F.coalesce("audit", F.lit("")),
+            "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)),
+        }
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -247,6 +264,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
 }
 ORACLE = {
     "op2_substring_dedup": OP2_SQL,

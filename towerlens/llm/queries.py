@@ -7,6 +7,7 @@ from towerlens.llm import (
     chat,
     conversations,
     exact_dedup,
+    html_extract,
     jaccard_join,
     language,
     mixing,
@@ -252,6 +253,10 @@ def op12_structure_repair(spark, sf_dir):
     )
 
 
+def op13_html_extract(spark, sf_dir):
+    return html_extract.extracted(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -265,6 +270,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_structure_repair": op12_structure_repair,
+    "op13_html_extract": op13_html_extract,
 }
 ORACLE = {
     "op2_substring_dedup": OP2_SQL,

@@ -32,6 +32,48 @@ def region_changes(flow, heavy=None, slice_ms=HEAVY_SLICE_MS):
     return visits.drop("_slice")
 
 
+CARRIED = "imsi string, region_id string, gender string, age int, event_ts timestamp, event_id long, reported boolean"
+
+
+def load_changes(flow, carried, heavy=None):
+    """``region_changes`` of one load, going on from the visits that the loads before left open.
+
+    ``carried`` has at most one row per subscriber (see ``carry_over``), which stands in front of
+    the load's own rows. Loads follow each other in time. ``reported`` is null for rows of the load.
+    """
+    names = ("imsi", "region_id", "gender", "age", "event_ts", "event_id")
+    own = flow.select(*names, F.lit(None).cast("boolean").alias("reported"))
+    return region_changes(carried.select(*names, "reported").unionByName(own), heavy)
+
+
+def load_flow_events(changes, targets=None):
+    """Enter and leave events that a load adds; those of carried visits came with their own load."""
+    return flow_events(changes.where(F.col("reported").isNull()), targets)
+
+
+def load_stay_events(changes, threshold_ms, horizon, targets=None):
+    """Stay events that a load adds. ``horizon`` is how far time has advanced with it."""
+    rows = changes.where(~F.col("reported") | F.col("reported").isNull())
+    began = stay_events(visits(rows, targets), threshold_ms, horizon)
+    before = visits(changes.where("reported"), targets)
+    return began.unionByName(
+        before.where(F.col("exit_ts").isNotNull()).select(
+            "imsi", F.lit(STAY_ENDED).alias("event_type"), "region_id", "gender", "age",
+            F.col("exit_ts").alias("event_ts"),
+        )
+    )
+
+
+def carry_over(changes, threshold_ms, horizon):
+    """The open visit of every subscriber behind a load, in CARRIED; ``reported`` says whether its
+    long stay has been told."""
+    due = F.timestamp_micros(F.unix_micros("event_ts") + F.lit(threshold_ms * 1000))
+    told = F.coalesce("reported", F.lit(False)) | F.coalesce(due <= horizon, F.lit(False))
+    return changes.where(F.col("exit_ts").isNull()).select(
+        "imsi", "region_id", "gender", "age", "event_ts", "event_id", told.alias("reported")
+    )
+
+
 def watched(df, targets):
     """Keep the rows of watched regions; no watch list means every region."""
     if targets is None:

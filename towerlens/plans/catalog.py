@@ -18,7 +18,7 @@ from towerlens.plans import batch, inputs, serving
 from towerlens.session import materialise, work_folder
 from towerlens.sinks import tables as sink
 from towerlens.sources import lines, streams, tables
-from towerlens.streaming import live, writers
+from towerlens.streaming import live, visits, writers
 
 # Parameters of the registered queries.
 HOUR = "2024011108"
@@ -475,11 +475,45 @@ def stay_total(spark, sf_dir):
     return totals.select("region_id", "stay_count")
 
 
+def _in_loads(spark, sf_dir, n):
+    """The placed signals cut into ``n`` loads of equal time, and the heavy subscribers."""
+    heavy = _heavy(spark, sf_dir)
+    placed = _flow(spark, sf_dir, heavy)
+    first, last = inputs.signal(spark, sf_dir).agg(F.min("event_ts"), F.max("event_ts")).first()
+    if first is None:
+        return [placed], heavy[0]
+    borders = [first + (last - first) * i / n for i in range(1, n)]
+    ts, out = F.col("event_ts"), []
+    for low, high in zip([None, *borders], [*borders, None]):
+        part = placed if low is None else placed.where(ts > F.lit(low).cast("timestamp"))
+        out.append(part if high is None else part.where(ts <= F.lit(high).cast("timestamp")))
+    return out, heavy[0]
+
+
+EVENT_COLUMNS = ("imsi", "event_type", "region_id", "gender", "age", "event_ts")
+
+
+@_query
+def visits_by_load(spark, sf_dir):
+    """Enter, leave and stay events of three loads run apart, one of them twice.
+
+    Each load sees its own signals and the visits that the load before left open.
+    """
+    path = work_folder(spark)
+    loads, heavy = _in_loads(spark, sf_dir, 3)
+    targets = inputs.target_region(spark, sf_dir)
+    for n in [i for i in range(len(loads)) for _ in range(2 if i == 1 else 1)]:
+        batch.build_visits(loads[n], path, n, n - 1 if n else None, STAY_MS, targets, heavy)
+    kinds = [spark.read.parquet(f"{path}/{kind}_events").select(*EVENT_COLUMNS) for kind in ("flow", "stay")]
+    return kinds[0].unionByName(kinds[1])
+
+
 # ---- live operators as streams -----------------------------------------------------------------
 
 
-def _replay(spark, sf_dir, start, beyond="0 seconds"):
-    """Run a bounded stream to its very end; returns the folder it wrote to.
+def _replay(spark, sf_dir, start, beyond="0 seconds", since=None):
+    """Run a bounded stream to its very end; returns the folder it wrote to. ``since`` leaves out
+    the signals up to a time.
 
     ``start(placed, folder)`` starts a query on the placed signals. It runs once over all signals.
     Then one row of an unknown subscriber and cell arrives, so far in the future that the watermark
@@ -489,9 +523,10 @@ def _replay(spark, sf_dir, start, beyond="0 seconds"):
     folder = work_folder(spark)
     signals = inputs.signal(spark, sf_dir)
     signals.limit(0).write.parquet(f"{folder}/end")
-    stream = inputs.signal_stream(spark, sf_dir).unionByName(
-        streams.file_table(spark, f"{folder}/end", signals.schema)
-    )
+    live_signals = inputs.signal_stream(spark, sf_dir)
+    if since is not None:
+        live_signals = live_signals.where(F.col("event_ts") > F.lit(since).cast("timestamp"))
+    stream = live_signals.unionByName(streams.file_table(spark, f"{folder}/end", signals.schema))
     placed = live.user_region_flow(
         stream, inputs.user_info(spark, sf_dir), _cells(spark, sf_dir), WATERMARK_DELAY
     )
@@ -535,6 +570,58 @@ def stream_visit_events(spark, sf_dir):
     return kinds[0].unionByName(kinds[1])
 
 
+@_query
+def stream_running_stays(spark, sf_dir):
+    """Long stays per region after every change, as two chained stateful steps write them."""
+
+    def start(placed, folder):
+        return writers.start_running_stays(
+            placed,
+            inputs.target_region(spark, sf_dir),
+            STAY_MS,
+            f"{folder}/running",
+            f"{folder}/checkpoint",
+            availableNow=True,
+        )
+
+    out = f"{_replay(spark, sf_dir, start)}/running"
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@_query
+def stream_open_visits(spark, sf_dir):
+    """Who is in a watched region at the end of the stream, read from the tracker's own state."""
+    out = _run_visits(spark, sf_dir).removesuffix("/tables")
+    return visits.current_visits(spark, f"{out}/checkpoint", STAY_MS).select("imsi", "region_id", "enter_ts")
+
+
+@_query
+def stream_from_history(spark, sf_dir):
+    """A batch load over the first half of the time, and a stream that goes on from its open visits."""
+    folder = work_folder(spark)
+    loads, heavy = _in_loads(spark, sf_dir, 2)
+    targets = inputs.target_region(spark, sf_dir)
+    batch.build_visits(loads[0], folder, 0, None, STAY_MS, targets, heavy)
+    carried = batch.read_carried(spark, folder, 0)
+    since = loads[0].agg(F.max("event_ts")).first()[0]
+
+    def start(placed, out):
+        return writers.start_visits(
+            placed,
+            targets,
+            STAY_MS,
+            f"{out}/tables",
+            f"{out}/checkpoint",
+            opened=visits.open_visits(carried, targets, STAY_MS),
+            availableNow=True,
+        )
+
+    out = f"{_replay(spark, sf_dir, start, since=since)}/tables"
+    parts = [f"{folder}/flow_events", f"{folder}/stay_events", f"{out}/flow_events", f"{out}/stay_events"]
+    kinds = [spark.read.parquet(part).select(*EVENT_COLUMNS) for part in parts]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+
+
 @_query
 def stream_stay_totals(spark, sf_dir):
     """Stay totals as the stream query keeps them."""

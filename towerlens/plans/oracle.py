@@ -251,6 +251,17 @@ SELECT region_id, event_ts, imsi, event_type,
     "stream_visit_events": """
 SELECT imsi, event_type, region_id, gender, age, event_ts FROM flow
 UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM stays""",
+    "visits_by_load": """
+SELECT imsi, event_type, region_id, gender, age, event_ts FROM flow
+UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM stays""",
+    "stream_from_history": """
+SELECT imsi, event_type, region_id, gender, age, event_ts FROM flow
+UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM stays""",
+    "stream_running_stays": """
+SELECT region_id, event_ts, imsi, event_type,
+       CAST(sum(delta) OVER (PARTITION BY region_id ORDER BY event_ts, event_type, imsi
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stay_count FROM deltas""",
+    "stream_open_visits": "SELECT imsi, region_id, event_ts AS enter_ts FROM visits WHERE exit_ts IS NULL",
     "stream_stay_totals": """
 SELECT region_id, CAST(sum(delta) AS BIGINT) AS stay_count, max(event_ts) AS ts FROM deltas GROUP BY 1""",
     "stream_persona_windows": """

@@ -6,6 +6,7 @@ Event types are those of the batch form: 0 leave, 1 enter, 2 long stay began, 3
 import sys
 from bisect import bisect_left, bisect_right
 from collections import namedtuple
+from datetime import datetime, timedelta, timezone
 from itertools import islice
 
 from pyspark import cloudpickle
@@ -35,8 +36,11 @@ _VISIT_SCHEMA = (
     "seen_us long"
 )
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
 _Signal = namedtuple("_Signal", "event_us event_id region_id watched gender age")
 _Event = Row("imsi", "event_type", "region_id", "gender", "age", "event_us")
+_TimedEvent = Row("imsi", "event_type", "region_id", "gender", "age", "event_us", "event_ts")
 _Visit = namedtuple("_Visit", "region_id watched due_us reported gender age seen_us")
 
 
@@ -66,6 +70,15 @@ class VisitTracker(StatefulProcessor):
         if self.event_time:
             self.pending = handle.getListState("pending", _PENDING_SCHEMA)
 
+    def handleInitialState(self, key, initialState, timerValues):
+        """Go on from a visit that batch loads left open (see ``open_visits``)."""
+        visit = _Visit(*(initialState[name] for name in _Visit._fields))
+        self.visit.update(tuple(visit))
+        if visit.watched and not visit.reported:
+            self._wake(visit.due_us)
+        if self.expire_us is not None:
+            self._wake(visit.seen_us + self.expire_us)
+
     def handleInputRows(self, key, rows, timerValues):
         arrived = [_Signal(*(row[name] for name in _Signal._fields)) for row in rows]
         if self.event_time:
@@ -153,35 +166,24 @@ class VisitTracker(StatefulProcessor):
         return visit._replace(reported=True)
 
 
-class SlicedVisitTracker(VisitTracker):
-    """The tracker in event time, with waiting signals by slices of time in a map.
+class SlicedRows:
+    """Rows that wait in a map ``pending`` by slices of time, for a processor to take in order.
 
-    A slice that outgrows ``SLICE`` signals is split, and slices are read one after the other once
-    they are due, so of a subscriber with any number of signals about two slices are in memory.
+    A ``record`` is a tuple whose first two fields are longs that order it, the time first. A slice
+    that outgrows ``SLICE`` rows is split, and slices are read one after the other once they are
+    due, so of a key with any number of rows about two slices are in memory.
     """
 
-    def init(self, handle):
-        self.handle = handle
-        self.visit = handle.getValueState("visit", _VISIT_SCHEMA, self.ttl_ms)
-        self.pending = handle.getMapState("slices", _SLICE_SCHEMA, _PENDING_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues):
-        arrived = (_Signal(*(row[name] for name in _Signal._fields)) for row in rows)
+    def _take_in(self, arrived):
+        """Hold rows back; they wake the key once the watermark has passed the first of them."""
         slices, first_us = self._slices(), None
         while chunk := sorted(islice(arrived, SLICE)):
-            first_us = chunk[0].event_us if first_us is None else min(first_us, chunk[0].event_us)
+            first_us = chunk[0][0] if first_us is None else min(first_us, chunk[0][0])
             self._hold(slices, chunk)
         self._wake(first_us)
-        yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        slices = self._slices()
-        yield from self._advance(key[0], self._due(slices, now_us), now_us)
-        if self.expire_us is not None and not slices:
-            visit = self.visit.get()
-            if visit is not None and _Visit(*visit).seen_us + self.expire_us <= now_us:
-                self.visit.clear()
+    def _wake(self, time_us):
+        self.handle.registerTimer(-(-time_us // 1000))
 
     def _slices(self):
         """{start of a slice: keys of its pieces}."""
@@ -191,20 +193,20 @@ class SlicedVisitTracker(VisitTracker):
         return found
 
     def _due(self, slices, now_us):
-        """The signals up to ``now_us`` in order; they leave the state."""
+        """The rows up to ``now_us`` in order; they leave the state."""
         for start in sorted(slices):
             if start[0] > now_us:
                 self._wake(start[0])
                 return
             signals = self._read(slices[start])
-            ready = bisect_right(signals, now_us, key=lambda signal: signal.event_us)
+            ready = bisect_right(signals, now_us, key=lambda signal: signal[0])
             if ready:
                 self._remove(slices, start)
                 if ready < len(signals):
                     self._put(slices, start, signals[ready:])
             yield from signals[:ready]
             if ready < len(signals):
-                self._wake(signals[ready].event_us)
+                self._wake(signals[ready][0])
                 return
 
     def _hold(self, slices, chunk):
@@ -234,7 +236,7 @@ class SlicedVisitTracker(VisitTracker):
 
     def _read(self, pieces):
         return sorted(
-            _Signal(*values) for piece in pieces for values in zip(*self.pending.getValue(piece))
+            self.record(*values) for piece in pieces for values in zip(*self.pending.getValue(piece))
         )
 
     def _remove(self, slices, start):
@@ -248,15 +250,57 @@ class SlicedVisitTracker(VisitTracker):
         pieces.append(piece)
 
 
+class SlicedVisitTracker(SlicedRows, VisitTracker):
+    """The tracker in event time, with waiting signals by slices of time in a map."""
+
+    record = _Signal
+
+    def init(self, handle):
+        self.handle = handle
+        self.visit = handle.getValueState("visit", _VISIT_SCHEMA, self.ttl_ms)
+        self.pending = handle.getMapState("slices", _SLICE_SCHEMA, _PENDING_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues):
+        self._take_in(_Signal(*(row[name] for name in _Signal._fields)) for row in rows)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        slices = self._slices()
+        yield from self._advance(key[0], self._due(slices, now_us), now_us)
+        if self.expire_us is not None and not slices:
+            visit = self.visit.get()
+            if visit is not None and _Visit(*visit).seen_us + self.expire_us <= now_us:
+                self.visit.clear()
+
+
+class TimedVisitTracker(SlicedVisitTracker):
+    """The tracker with the event's time as a timestamp too, for a stateful step behind it."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        yield from map(_timed, super().handleInputRows(key, rows, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from map(_timed, super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+
+def _timed(event):
+    return _TimedEvent(*event, _EPOCH + timedelta(microseconds=event.event_us))
+
+
 def _packed(signals):
     return tuple(map(list, zip(*signals)))
 
 
-def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None, expire_ms=None):
+def visit_events(
+    flow, threshold_ms, event_time=True, ttl_ms=None, expire_ms=None, opened=None, chained=False
+):
     """The event stream of a flow with a ``watched`` flag (see ``live.with_watch_flag``).
 
     ``ttl_ms`` drops the state of subscribers not seen for that long; Spark offers it in
-    processing time only. ``expire_ms`` does so in event time, by timers.
+    processing time only. ``expire_ms`` does so in event time, by timers. ``opened`` holds visits
+    that are open when the stream starts, one per subscriber (see ``open_visits``). With
+    ``chained`` the events keep a watermark, so another stateful step may follow.
     """
     rows = flow.select(
         "imsi",
@@ -268,13 +312,19 @@ def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None, expire_ms=Non
         "gender",
         "age",
     )
-    tracker = SlicedVisitTracker if event_time else VisitTracker
+    tracker = TimedVisitTracker if chained else SlicedVisitTracker if event_time else VisitTracker
+    more = {"eventTimeColumnName": "event_ts"} if chained else {}
+    if opened is not None:
+        more["initialState"] = opened.groupBy("imsi")
     events = rows.groupBy("imsi").transformWithState(
         statefulProcessor=tracker(threshold_ms, event_time, ttl_ms, expire_ms),
-        outputStructType=EVENT_SCHEMA,
+        outputStructType=f"{EVENT_SCHEMA}, event_ts timestamp" if chained else EVENT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime" if event_time else "ProcessingTime",
+        **more,
     )
+    if chained:
+        return events
     return events.select(
         "imsi",
         "event_type",
@@ -283,3 +333,41 @@ def visit_events(flow, threshold_ms, event_time=True, ttl_ms=None, expire_ms=Non
         "age",
         F.timestamp_micros("event_us").alias("event_ts"),
     )
+
+
+def open_visits(carried, targets, threshold_ms):
+    """The state in which a stream goes on behind batch loads; ``carried`` is of ``flow.carry_over``."""
+    if targets is None:
+        watched = carried.withColumn("watched", F.lit(True))
+    else:
+        listed = targets.select("region_id").distinct().withColumn("_listed", F.lit(True))
+        watched = carried.join(listed, "region_id", "left").withColumn(
+            "watched", F.coalesce("_listed", F.lit(False))
+        )
+    entered = F.unix_micros("event_ts")
+    return watched.select(
+        "imsi", "region_id", "watched", (entered + threshold_ms * 1000).alias("due_us"), "reported",
+        "gender", "age", entered.alias("seen_us"),
+    )
+
+
+def current_visits(spark, checkpoint, threshold_ms):
+    """Who is in which watched region now, and since when, from the state of a running or stopped
+    ``start_visits``, as its last finished micro-batch left it.
+
+    Spark reads the state from the checkpoint, so the stream is neither asked nor held up.
+    """
+    held = (
+        spark.read.format("statestore")
+        .option("path", checkpoint)
+        .option("stateVarName", "visit")
+        .load()
+    )
+    return held.where("value.watched").select(
+        F.col("key.imsi").alias("imsi"),
+        F.col("value.region_id").alias("region_id"),
+        F.timestamp_micros(F.col("value.due_us") - threshold_ms * 1000).alias("enter_ts"),
+        F.col("value.reported").alias("long_stay"),
+        F.col("value.gender").alias("gender"),
+        F.col("value.age").alias("age"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from towerlens.operators import flow, persona
 from towerlens.sinks import tables as sink
-from towerlens.streaming import live, visits
+from towerlens.streaming import live, running, visits
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,17 +27,18 @@ def start_visits(
     event_time=True,
     ttl_ms=None,
     expire_ms=None,
+    opened=None,
     **trigger,
 ):
     """One query, three tables below ``out``: flow events, stay events, stay totals.
 
     ``stream`` is a placed stream (see ``live.user_region_flow``), or the output of
-    ``start_enrichment`` with a watch list, whose flags then count. ``trigger`` is passed on, for
-    example ``availableNow=True`` or ``processingTime='10 seconds'``.
+    ``start_enrichment`` with a watch list, whose flags then count. ``opened`` holds the visits that
+    batch loads left open (``visits.open_visits``). ``trigger`` is passed on, for example ``availableNow=True`` or ``processingTime='10 seconds'``.
     """
     use_rocksdb(stream.sparkSession)
     events = visits.visit_events(
-        live.with_watch_flag(stream, targets), threshold_ms, event_time, ttl_ms, expire_ms
+        live.with_watch_flag(stream, targets), threshold_ms, event_time, ttl_ms, expire_ms, opened
     )
 
     def write(batch, batch_id):
@@ -58,6 +59,24 @@ def start_visits(
     return _start(events, write, checkpoint, trigger)
 
 
+def start_running_stays(stream, targets, threshold_ms, out, checkpoint, expire_ms=None, **trigger):
+    """Append a row to the table ``out`` for every change of a region's number of long stays.
+
+    Two stateful steps follow each other in one query: the tracker per subscriber, and a count per
+    region of the stays that it gives. Event time only, as the order of changes decides the counts.
+    """
+    use_rocksdb(stream.sparkSession)
+    events = visits.visit_events(
+        live.with_watch_flag(stream, targets), threshold_ms, expire_ms=expire_ms, chained=True
+    )
+    return _start(
+        running.running_stays(events),
+        lambda batch, batch_id: sink.append_batch(batch, out, batch_id),
+        checkpoint,
+        trigger,
+    )
+
+
 def add_to_totals(stays, path, batch_id):
     """Add the changes of one micro-batch to the stored stay totals."""
     changes = flow.stay_totals(flow.stay_deltas(stays))

@@ -1,0 +1,92 @@
+"""Keyed tables of base and deltas: results, what is written, and readers during compaction."""
+
+import os
+import random
+
+from tests.helpers import rows_of
+from towerlens.sinks.keyed import KeyedTable
+
+SCHEMA = "k string, v long, t long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def base_files(path):
+    return {
+        os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns
+        for d, _, files in os.walk(f"{path}/base") for f in files if f.endswith(".parquet")
+    }
+
+
+def test_newest_row_wins_over_many_batches(spark, tmp_path):
+    table, want, draw = KeyedTable(spark, str(tmp_path), SCHEMA, ["k"], "t", buckets=4), {}, random.Random(3)
+    for n in range(9):
+        rows = [(f"k{draw.randrange(9)}", draw.randrange(99), 100 * draw.randrange(20) + i + 10 * n) for i in range(6)]
+        for k, v, t in rows:
+            want[k] = max(want.get(k, (-1, 0)), (t, v))
+        for _ in range(1 + (n == 4)):
+            table.put(frame(spark, rows), n, open_deltas=3)
+        assert rows_of(table.read(), "k", "v", "t") == sorted((k, v, t) for k, (t, v) in want.items())
+    for k in ("k1", "k4", "none"):
+        assert rows_of(table.get(k), "k", "v") == ([(k, want[k][1])] if k in want else [])
+
+
+def test_sums_add_up_and_repeats_do_not(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), SCHEMA, ["k"], sums=["v"], buckets=3)
+    for n in range(5):
+        for _ in range(2):
+            table.put(frame(spark, [("a", 2, n), ("b", -1, 9 - n), (None, 1, 0)]), n, open_deltas=2)
+    assert rows_of(table.read(), "k", "v", "t") == [("a", 10, 4), ("b", -5, 9), (None, 5, 0)]
+
+
+def test_one_key_writes_no_base_file_and_compaction_its_bucket_only(spark, tmp_path):
+    path = str(tmp_path)
+    table = KeyedTable(spark, path, SCHEMA, ["k"], "t", buckets=8)
+    table.put(frame(spark, [(f"k{i}", i, 0) for i in range(200)]), 0)
+    assert len(table.compact()) == 8
+    before = base_files(path)
+    table.put(frame(spark, [("k7", 1000, 1)]), 1)
+    assert base_files(path) == before
+    assert len(table.compact()) == 1
+    after = base_files(path)
+    assert before.items() <= after.items() and len(after) == len(before) + 1
+    assert rows_of(table.get("k7"), "v") == [(1000,)]
+    assert table.read().count() == 200
+    files = {f for f in table.get("k8").inputFiles() if "/base/" in f}
+    assert len(files) == 1
+
+
+def test_a_reader_keeps_its_state(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), SCHEMA, ["k"], "t", buckets=2)
+    table.put(frame(spark, [("a", 1, 1), ("b", 1, 1)]), 0)
+    table.compact()
+    table.put(frame(spark, [("a", 2, 2)]), 1)
+    reader = table.read()
+    table.put(frame(spark, [("a", 3, 3), ("b", 3, 3)]), 2)
+    table.compact()
+    assert rows_of(reader, "k", "v") == [("a", 2), ("b", 1)]
+    assert rows_of(table.read(), "k", "v") == [("a", 3), ("b", 3)]
+    for n in range(3, 6):
+        table.put(frame(spark, [("a", n + 1, n + 1)]), n)
+        table.compact()
+    table.clean(states=1)
+    assert rows_of(table.read(), "k", "v") == [("a", 6), ("b", 3)]
+    assert not os.listdir(tmp_path / "deltas")
+
+
+def test_an_unfinished_delta_is_not_read(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), SCHEMA, ["k"], "t")
+    assert table.read().collect() == []
+    table.put(frame(spark, [("a", 1, 1)]), 0)
+    table.put(frame(spark, [("a", 2, 2)]), 1)
+    (tmp_path / "deltas" / "000000000001" / "_SUCCESS").unlink()
+    assert rows_of(table.read(), "k", "v") == [("a", 1)]
+
+
+def test_opened_table_keeps_its_rule(spark, tmp_path):
+    KeyedTable(spark, str(tmp_path), SCHEMA, ["k"], sums=["v"], buckets=5).put(frame(spark, [("a", 1, 1)]), 0)
+    table = KeyedTable.opened(spark, str(tmp_path), SCHEMA)
+    table.put(frame(spark, [("a", 1, 1)]), 1)
+    assert table.about["buckets"] == 5 and rows_of(table.read(), "v") == [(2,)]

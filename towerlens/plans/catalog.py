@@ -17,6 +17,7 @@ from towerlens.operators.skew import heavy_keys, heavy_keys_of
 from towerlens.plans import batch, inputs, serving
 from towerlens.session import materialise, work_folder
 from towerlens.sinks import tables as sink
+from towerlens.sinks.keyed import KeyedTable
 from towerlens.sources import lines, streams, tables
 from towerlens.streaming import live, visits, writers
 
@@ -701,6 +702,17 @@ def stored_region_portrait(spark, sf_dir):
     return serving.region_portrait(current, _centers(spark, sf_dir))
 
 
+@_query
+def stored_keyed_portraits(spark, sf_dir):
+    """Current portraits after 20 micro-batches of windows in no order, and two compactions."""
+    windows = materialise(_persona(spark, sf_dir).drop("window_end"))
+    table = KeyedTable(spark, f"{work_folder(spark)}/keyed", windows.schema, ["region_id"], "window_start")
+    part = F.pmod(F.xxhash64("region_id", "window_start"), F.lit(20))
+    for n in range(20):
+        table.put(windows.where(part == n), n, open_deltas=8)
+    return serving.region_portrait(table.read(), _centers(spark, sf_dir))
+
+
 @_query
 def stored_text_heatmap(spark, sf_dir):
     """Heat map totals over counters that a keyed store gives as text, some of them no numbers."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from towerlens.operators.latest import last_per_key
+from towerlens.sinks.keyed import KeyedTable
 
 
 def overwrite(df, path):
@@ -88,7 +89,12 @@ def replace_slot(df, path, batch_id):
 
 
 def read_current(spark, path, schema):
-    """The table as the newest finished batch left it; empty before the first batch."""
+    """The table as the newest finished batch left it; empty before the first batch.
+
+    Tables of ``keyed`` and those of two slots are read alike.
+    """
+    if KeyedTable.exists(spark, path):
+        return KeyedTable.opened(spark, path, schema).read()
     slots = [s for s in (_read_slot(spark, path, n, schema, _BATCH) for n in (0, 1)) if s is not None]
     if not slots:
         return spark.createDataFrame([], schema)

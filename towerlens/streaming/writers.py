@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from towerlens.operators import flow, persona
 from towerlens.sinks import tables as sink
+from towerlens.sinks.keyed import KeyedTable
 from towerlens.streaming import live, running, visits
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -79,17 +80,15 @@ def start_running_stays(stream, targets, threshold_ms, out, checkpoint, expire_m
 
 def add_to_totals(stays, path, batch_id):
     """Add the changes of one micro-batch to the stored stay totals."""
-    changes = flow.stay_totals(flow.stay_deltas(stays))
-    known = sink.previous_slot(stays.sparkSession, path, batch_id, TOTAL_SCHEMA)
-    rows = changes if known is None else known.unionByName(changes)
-    totals = rows.groupBy("region_id").agg(
-        F.sum("stay_count").alias("stay_count"), F.max("ts").alias("ts")
-    )
-    sink.replace_slot(totals, path, batch_id)
+    _totals(stays.sparkSession, path).put(flow.stay_totals(flow.stay_deltas(stays)), batch_id)
 
 
 def read_totals(spark, path):
-    return sink.read_current(spark, path, TOTAL_SCHEMA)
+    return _totals(spark, path).read()
+
+
+def _totals(spark, path):
+    return KeyedTable(spark, path, TOTAL_SCHEMA, ["region_id"], sums=["stay_count"])
 
 
 def start_persona(stream, length, out, checkpoint, **trigger):
@@ -98,7 +97,8 @@ def start_persona(stream, length, out, checkpoint, **trigger):
     windows = persona.persona_windows(stream, length)
 
     def write(batch, batch_id):
-        sink.upsert_slot(batch.sparkSession, batch, out, ["region_id"], "window_start", batch_id)
+        table = KeyedTable(batch.sparkSession, out, batch.schema, ["region_id"], "window_start")
+        table.put(batch, batch_id)
 
     return _start(windows, write, checkpoint, trigger)
 

@@ -17,6 +17,7 @@ from towerlens.operators.skew import heavy_keys, heavy_keys_of
 from towerlens.plans import batch, inputs, serving
 from towerlens.session import materialise, work_folder
 from towerlens.sinks import tables as sink
+from towerlens.sinks.event_log import EventLog
 from towerlens.sinks.keyed import KeyedTable
 from towerlens.sources import lines, streams, tables
 from towerlens.streaming import live, visits, writers
@@ -687,6 +688,18 @@ def stored_latest_events(spark, sf_dir):
     return serving.latest_events(sink.read_events(spark, f"{out}/flow_by_day"), REGION, NEWEST)
 
 
+@_query
+def stored_newest_events(spark, sf_dir):
+    """The newest events of a region from a log that took all of them in 8 batches, by levels."""
+    events = materialise(_flow_events(spark, sf_dir))
+    log = EventLog(spark, f"{work_folder(spark)}/log", fanout=4)
+    part = F.pmod(F.xxhash64("imsi", "event_ts"), F.lit(8))
+    for n in range(8):
+        log.append(events.where(part == n), n)
+    found = log.newest(REGION, NEWEST, "imsi", "event_type")
+    return found.select("imsi", "gender", "age", "event_ts", "event_type")
+
+
 @_query
 def stored_region_portrait(spark, sf_dir):
     """The current portraits as the stream keeps them, with the regions' names."""

@@ -282,6 +282,7 @@ UNION ALL
 SELECT imsi, (SELECT max(bitmap_id) FROM user_index) + row_number() OVER (ORDER BY imsi)
 FROM (SELECT DISTINCT imsi FROM signal WHERE imsi NOT IN (SELECT imsi FROM user_index))""",
     "stored_portraits": _PORTRAIT_SIZES.format(ids="1, 2, 3, 4, 5"),
+    "stored_newest_events": _LATEST.format(source="flow"),
     "stored_latest_events": _LATEST.format(source="flow"),
     "stored_keyed_portraits": """
 SELECT c.*, n.name FROM current_persona c LEFT JOIN region_center n ON c.region_id = n.region_id""",

@@ -572,6 +572,26 @@ def stream_visit_events(spark, sf_dir):
     return kinds[0].unionByName(kinds[1])
 
 
+@_query
+def stream_reject_count(spark, sf_dir):
+    """Good and bad lines of three streams of text, by the tables of their micro-batches."""
+    folder, found = work_folder(spark), []
+    feeds = {
+        "signal": (inputs.signal_lines, lines.parse_signal),
+        "user_info": (inputs.user_lines, lines.parse_user_info),
+        "region_cell": (inputs.cell_lines, lines.parse_region_cell),
+    }
+    for name, (feed, parse) in feeds.items():
+        feed(spark, sf_dir).select("line").repartition(4).write.text(f"{folder}/{name}/in")
+        text = streams.file_lines(spark, f"{folder}/{name}/in", files_per_trigger=1)
+        writers.start_parsed(
+            parse(text), f"{folder}/{name}/out", f"{folder}/{name}/checkpoint", availableNow=True
+        ).awaitTermination()
+        counts = writers.read_reject_counts(spark, f"{folder}/{name}/out")
+        found.append(counts.select(F.lit(name).alias("input"), "n_ok", "n_rejected"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @_query
 def stream_running_stays(spark, sf_dir):
     """Long stays per region after every change, as two chained stateful steps write them."""

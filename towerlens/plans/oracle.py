@@ -251,6 +251,15 @@ SELECT region_id, event_ts, imsi, event_type,
     "stream_visit_events": """
 SELECT imsi, event_type, region_id, gender, age, event_ts FROM flow
 UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM stays""",
+    "stream_reject_count": """
+SELECT 'signal' AS input, count(*) FILTER (WHERE len(string_split(line, '|')) = 5) AS n_ok,
+       count(*) FILTER (WHERE len(string_split(line, '|')) < 5) AS n_rejected FROM signal_lines
+UNION ALL
+SELECT 'user_info', count(TRY_CAST(split_part(line, '|', 3) AS INTEGER)),
+       count(*) - count(TRY_CAST(split_part(line, '|', 3) AS INTEGER)) FROM user_lines
+UNION ALL
+SELECT 'region_cell', count(*) FILTER (WHERE contains(line, '|')),
+       count(*) FILTER (WHERE NOT contains(line, '|')) FROM cell_lines""",
     "visits_by_load": """
 SELECT imsi, event_type, region_id, gender, age, event_ts FROM flow
 UNION ALL SELECT imsi, event_type, region_id, gender, age, event_ts FROM stays""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from towerlens.operators import flow, persona
 from towerlens.sinks import tables as sink
 from towerlens.sinks.keyed import KeyedTable
+from towerlens.sources import lines
 from towerlens.streaming import live, running, visits
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -136,9 +137,34 @@ def start_enrichment(stream, load_dimensions, out, checkpoint, **trigger):
     return _start(stream, write, checkpoint, trigger)
 
 
+def start_parsed(parsed, out, checkpoint, **trigger):
+    """Write a stream of parsed lines to two tables below ``out``: ``accepted`` and ``rejected``.
+
+    A bad line is kept as it came, with the micro-batch that brought it, so it can be looked at and
+    read again; ``counts`` has one row per micro-batch. A batch that runs again replaces its rows.
+    """
+
+    def write(batch, batch_id):
+        batch = batch.persist()
+        try:
+            sink.append_batch(lines.accepted(batch), f"{out}/accepted", batch_id)
+            sink.append_batch(lines.rejected(batch), f"{out}/rejected", batch_id)
+            sink.append_batch(lines.reject_counts(batch), f"{out}/counts", batch_id)
+        finally:
+            batch.unpersist()
+
+    return _start(parsed, write, checkpoint, trigger)
+
+
+def read_reject_counts(spark, out):
+    """(n_ok, n_rejected) of all finished micro-batches of ``start_parsed``."""
+    counts = spark.read.schema("n_ok long, n_rejected long").parquet(f"{out}/counts")
+    return counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_ok", "n_rejected")])
+
+
 def late_rows(query):
     """Rows that a query has dropped because they came behind the watermark, as far as its kept
-    progress reports reach."""
+    progress reports reach; ``metrics.StoredTotals`` keeps the count of all of them."""
     return sum(
         state.get("numRowsDroppedByWatermark", 0)
         for report in map(_as_dict, query.recentProgress)

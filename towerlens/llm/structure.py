@@ -389,7 +389,11 @@ def repaired(found):
     and no turn number. ``cost`` is that of the edit.
     """
     states, _ = forward(backward(_chunks(found))[0])
-    made = edits(states).withColumnsRenamed({"conv_id": "_conv", "rank": "_rank"})
+    # A byte of a chunk becomes a row: the chunks are dealt to all tasks, and the rows are shuffled,
+    # as Spark takes their size for that of the chunks.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = edits(states.repartition(tasks, "conv_id", "chunk")).hint("merge")
+    made = made.withColumnsRenamed({"conv_id": "_conv", "rank": "_rank"})
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("rank") == F.col("_rank"))
     rows = found.join(made, same).select(
         "conv_id", "rank", "turn", "role", "text", "fault", "initial", "letters", "enter", "closing"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from towerlens.llm.memory import checked, release
+from towerlens.llm.memory import checked, drop_kept, release
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 400
@@ -113,6 +113,7 @@ def predict(docs, dictionaries, text="text", margin=MARGIN):
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):
+        drop_kept()
         made = Compressors(held.value)
         for batch in batches:
             n = batch.num_columns

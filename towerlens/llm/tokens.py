@@ -10,20 +10,18 @@ token) are encoded whole.
 
 import itertools
 import os
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from towerlens.llm.memory import release
+from towerlens.llm.memory import kept, release
 
 END_ID = 0
 # Words that one worker remembers; beyond that it starts anew. Results do not depend on it.
 MAX_WORDS = 300_000
 # Bytes of text that are handled at once, and of words that are encoded in one call.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 CALL_BYTES = 1000
 
 _UNSAFE = (
@@ -121,10 +119,10 @@ class WordTokenizer:
         odd = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
         whole = np.flatnonzero(odd)
         if len(whole):
-            kept = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
+            cuttable = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
         else:
-            kept = texts
-        pieces = pc.split_pattern(kept, " ")
+            cuttable = texts
+        pieces = pc.split_pattern(cuttable, " ")
         offsets = pieces.offsets.to_numpy()
         firsts = offsets[:-1]
         coded = pieces.flatten().dictionary_encode()
@@ -144,8 +142,10 @@ class WordTokenizer:
         numbers = np.insert(numbers, offsets[1:], 0)  # entry 0 is END_ID
         lengths = self.lengths[numbers]
         ends = np.cumsum(lengths)
-        source = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
-        source += np.arange(len(source))
+        # Four bytes a number do for all but texts of billions of ids.
+        kind = np.int32 if max(ends[-1], self.free) < 1 << 31 else np.int64
+        source = np.repeat((self.starts[numbers] - (ends - lengths)).astype(kind), lengths)
+        source += np.arange(len(source), dtype=kind)
         bounds = ends[offsets[1:] + np.arange(len(texts))]
         return self.ids[source], np.diff(bounds, prepend=0)
 
@@ -173,7 +173,4 @@ def row_blocks(sizes, most):
 
 def tokenizer_for(path):
     """The worker's tokenizer of this file; it is kept between the tasks of a worker."""
-    state = sys.modules.setdefault("_kept_tokenizers", types.ModuleType("_kept_tokenizers"))
-    if path not in vars(state):
-        setattr(state, path, WordTokenizer(path))
-    return getattr(state, path)
+    return kept("tokenizer", path, lambda: WordTokenizer(path))

@@ -9,12 +9,18 @@ Every stage but the last returns the columns of ``documents``.
 4. mix: sources are mixed to their target weights; a document comes once per turn of the mix, with
    the words that the turn takes.
 5. pack: documents become token pieces in sequences of 2048 tokens; the result is one row per piece.
+
+Defined cases are those of the operators: a null or empty text has no language and leaves in the first
+stage, as does one without a letter; of repeated rows and ties the exact stage keeps one; a null key
+stays null; an empty table gives an empty result; other columns pass through to the packing, which
+keeps the key only.
 """
 
+from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing  # isort: skip
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing
 from towerlens.session import work_folder
 
 CAPACITY = 2048

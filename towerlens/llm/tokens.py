@@ -153,11 +153,13 @@ class WordTokenizer:
         """Yield (first row, ids, ids per text) over an Arrow array; a null text is empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
         sizes = pc.binary_length(texts).to_numpy()
-        for start, stop in row_blocks(sizes, BLOCK_BYTES):
+        for n, (start, stop) in enumerate(row_blocks(sizes, BLOCK_BYTES)):
             ids, lengths = self._block(texts.slice(start, stop - start))
             yield start, ids, lengths
             del ids, lengths
-            release()
+            if n % 2:  # giving memory back takes time too
+                release()
+        release()
 
 
 def row_blocks(sizes, most):

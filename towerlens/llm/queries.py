@@ -156,8 +156,8 @@ def op9_language_id(spark, sf_dir):
 def op10_warc(spark, sf_dir):
     folder = f"{work_folder(spark)}/warc"
     warc.write(_read(spark, sf_dir, "pages"), folder).write.mode("overwrite").parquet(f"{folder}-files")
-    records = warc.read(spark, folder, payloads=False)
-    return records.select(
+    records = warc.read(spark, folder, payloads=False, files=spark.read.parquet(f"{folder}-files"))
+    return records.filter(F.col("record_type").isin("response", "revisit")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

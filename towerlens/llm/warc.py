@@ -2,8 +2,17 @@
 
 The reader gives each task a byte range of a file. The task looks for the gzip magic inside its
 range, accepts a hit only if the member there decodes to a WARC header, and from then on walks
-from member to member. It owns the records that start inside its range and reads past its end to
-finish the last one, so every record is read by exactly one task, however the file is cut.
+from member to member. It owns the records whose member starts inside its range and reads past its
+end to finish the last one, so every record is read by exactly one task, however the file is cut.
+
+Archives of other writers are read too: header names in any case, folded header lines, every record
+type, ids that are no numbers of ours, several records in one member. ``page_id`` and ``refers_to``
+are null where an id is foreign; ``record_id`` is the text as it stands. The payload of a record of
+type application/http is what follows the HTTP header, as stored; of others it is the whole block.
+A revisit has no payload; its size and digest are those that it declares, or null. A member that
+can't be decoded is one row of type ``broken``, and reading goes on at the next member found.
+Where a payload is itself an archive that the compressor left as it was, a range that begins inside
+it takes the inner members for records: cut such files at member borders, or not at all.
 
 Payloads of at least ``least_revisit`` bytes that occur more than once are stored once, with the
 largest key; the others become revisit records that name it.
@@ -28,8 +37,11 @@ from pyspark.sql import types as T
 LEAST_REVISIT = 1000
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
-# Bytes of a candidate that must be at hand to decode the first line of its header.
+# Bytes of a candidate read at once to decode the first line of its header, and at most.
 PROBE_BYTES = 512
+MOST_PROBE_BYTES = 128 << 10
+# A member is read in steps that double between these.
+FIRST_BYTES = 16 << 10
 READ_BYTES = 1 << 20
 FILE_BYTES = 128 << 20
 
@@ -37,8 +49,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
 RECORDS = (
-    "path string, start long, page_id long, url string, record_type string, "
-    "payload binary, payload_bytes long, payload_digest string, refers_to long"
+    "path string, start long, record_no int, record_id string, page_id long, url string, "
+    "record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 )
 
 
@@ -49,7 +61,11 @@ def record_id(key):
 
 
 def key_of(urn):
-    number = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int
+    """The key that ``record_id`` put into a URN; null for null, and for ids of other writers."""
+    try:
+        number = uuid.UUID((urn or "").strip("<> ").removeprefix("urn:uuid:")).int
+    except ValueError:
+        return None
     if number >> 64:
         return None
     return number - (1 << 64) if number >> 63 else number
@@ -82,33 +98,84 @@ def member(key, url, payload, refers_to=None):
     return packer.compress(data) + packer.flush()
 
 
-def parse(data):
-    """A dict of a decoded member's record, or None if it is not a WARC record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    if not first.startswith("WARC/"):
+def header_fields(lines):
+    """Header lines as a dict with lower-case names; of a repeated name the first value."""
+    joined = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and joined:
+            joined[-1] += " " + line.strip()
+        else:
+            joined.append(line)
+    fields = {}
+    for line in joined:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+def _whole(text):
+    """A header's number, or None."""
+    return int(text) if text is not None and text.isascii() and text.isdigit() else None
+
+
+def sha1_hex(declared):
+    """A declared digest as bare lower-case hex, or None if it is no SHA-1."""
+    name, _, value = (declared or "").partition(":")
+    if name.strip().lower() != "sha1":
         return None
-    fields = dict(x.split(": ", 1) for x in lines if ": " in x)
-    block = rest[: int(fields.get("Content-Length", 0))]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = [x for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length: ")]
-    kind = fields.get("WARC-Type", "")
-    if kind == "response":
-        digest = hashlib.sha1(payload).hexdigest()
+    try:
+        data = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return data.hex() if len(data) == 20 else None
+
+
+class Broken(Exception):
+    """A member that is no row of whole records."""
+
+
+def head_of(data):
+    """(header fields, start of the block, its size) of a decoded record, or None if it isn't all there."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    fields = header_fields(bytes(data[:end]).decode("utf-8", "replace").split("\r\n")[1:])
+    size = _whole(fields.get("content-length"))
+    if size is None:
+        raise Broken("a record without its length")
+    return fields, end + 4, size
+
+
+def parse(fields, block):
+    """A record as a dict, from its header fields and its block."""
+    kind = fields.get("warc-type", "").lower()
+    payload, size, digest = block, None, None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = _whole(header_fields(http.decode("latin-1").split("\r\n")[1:]).get("content-length"))
+    if kind == "revisit":
+        payload, digest = None, sha1_hex(fields.get("warc-payload-digest"))
     else:
-        digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-        payload = None
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     return {
-        "page_id": key_of(fields["WARC-Record-ID"]),
-        "url": fields.get("WARC-Target-URI"),
+        "record_id": fields.get("warc-record-id"),
+        "page_id": key_of(fields.get("warc-record-id")),
+        "url": fields.get("warc-target-uri"),
         "record_type": kind,
         "payload": payload,
-        "payload_bytes": len(payload) if payload is not None else int(size[0].split(": ")[1]),
+        "payload_bytes": size,
         "payload_digest": digest,
-        "refers_to": key_of(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
+        "refers_to": key_of(fields.get("warc-refers-to")),
     }
 
 
+BROKEN = {
+    "record_id": None, "page_id": None, "url": None, "record_type": "broken", "payload": None,
+    "payload_bytes": None, "payload_digest": None, "refers_to": None,
+}
+
+
 class RangeReader:
     """Records of one file that start in [start, stop)."""
 
@@ -120,17 +187,24 @@ class RangeReader:
 
     def _probe(self, place):
         """Whether a member with a WARC header starts here."""
-        decoder = zlib.decompressobj(31)
+        decoder, got, read = zlib.decompressobj(31), b"", 0
         try:
-            return decoder.decompress(self._at(place, PROBE_BYTES), 5) == b"WARC/"
+            while len(got) < 5 and read < MOST_PROBE_BYTES and not decoder.eof:
+                data = self._at(place + read, PROBE_BYTES)
+                if not data:
+                    break
+                read += len(data)
+                got += decoder.decompress(decoder.unconsumed_tail + data, 5 - len(got))
         except zlib.error:
             return False
+        return got == b"WARC/"
 
-    def _first(self):
-        """Where the first record of the range starts, or None."""
-        place = self.start
+    def _next(self, place):
+        """Where the first record at or after ``place`` starts, or None beyond the range."""
         while place < self.stop:
             data = self._at(place, min(READ_BYTES, self.stop - place) + len(MAGIC) - 1)
+            if not data:
+                return None
             at = data.find(MAGIC)
             while at >= 0 and place + at < self.stop:
                 if self._probe(place + at):
@@ -140,24 +214,54 @@ class RangeReader:
         return None
 
     def _member(self, place):
-        """(decoded bytes, start of the next member)."""
-        decoder, parts = zlib.decompressobj(31), []
+        """Yields the decoded parts of the member at ``place``; ``self.after`` is what follows it."""
+        decoder, step = zlib.decompressobj(31), FIRST_BYTES
         while not decoder.eof:
-            data = self._at(place, READ_BYTES)
+            data = self._at(place, step)
             if not data:
-                raise EOFError("a record is cut short")
-            parts.append(decoder.decompress(data))
+                raise Broken("a member is cut short")
+            step = min(2 * step, READ_BYTES)
+            part = decoder.decompress(data)
             place += len(data) - len(decoder.unused_data)
-        return b"".join(parts), place
+            self.after = place
+            yield part
+
+    def _member_records(self, place):
+        """The records of one member, each as soon as its block is whole."""
+        held, head = bytearray(), None
+        for part in self._member(place):
+            held += part
+            while True:
+                if head is None:
+                    # Records are parted by empty lines.
+                    del held[: len(held) - len(held.lstrip(b"\r\n"))]
+                    if held[:5] != b"WARC/"[: len(held)]:
+                        raise Broken("no record where one should start")
+                    head = head_of(held)
+                if head is None or len(held) < head[1] + head[2]:
+                    break
+                fields, start, size = head
+                yield parse(fields, bytes(held[start : start + size]))
+                del held[: start + size]
+                head = None
+        if held:
+            raise Broken("a record is cut short")
 
     def records(self):
-        place = self._first()
-        while place is not None and place < min(self.stop, self.size):
-            data, after = self._member(place)
-            found = parse(data)
-            if found is not None:
-                yield place, found
-            place = after
+        """(start of the member, number in the member, record) of every record of the range."""
+        place = self._next(self.start)
+        while place is not None:
+            number = 0
+            try:
+                for found in self._member_records(place):
+                    yield place, number, found
+                    number += 1
+                after = self.after
+            except (zlib.error, Broken):
+                yield place, number, dict(BROKEN)
+                after = place + 1
+            follows = after < min(self.stop, self.size) and self._probe(after)
+            place = after if follows else self._next(after)
 
 
 def mark_revisits(pages, key="page_id", payload="html", least_revisit=LEAST_REVISIT):
@@ -224,22 +328,31 @@ def write(pages, folder, key="page_id", payload="html", least_revisit=LEAST_REVI
     return marked.mapInArrow(run, "path string, bytes long, records long")
 
 
-def read(spark, folder, split_bytes=SPLIT_BYTES, payloads=True):
-    """All records of the archives in ``folder``, a file or a folder URI."""
+def archives(spark, folder):
+    """path and bytes of the archives in ``folder``, a file or a folder URI."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(folder)
     info = store.get_file_info(base)
     if info.type == fs.FileType.Directory:
-        found = store.get_file_info(fs.FileSelector(base))
+        found = store.get_file_info(fs.FileSelector(base, recursive=True))
     else:
         found = [info] if info.type == fs.FileType.File else []
     files = sorted((x.path, x.size) for x in found if x.path.endswith(".warc.gz"))
-    listed = spark.createDataFrame(files, "path string, bytes long")
+    return spark.createDataFrame(files, "path string, bytes long")
+
+
+def read(spark, folder, split_bytes=SPLIT_BYTES, payloads=True, files=None):
+    """All records of the archives in ``folder``, a file or a folder URI.
+
+    ``files`` has the path and bytes of the archives to read, such as the list that ``write`` gives;
+    files that a lost attempt left in the folder are then not read. Without it the folder is listed.
+    """
+    listed = (archives(spark, folder) if files is None else files).select("path", F.col("bytes").cast("long"))
     step = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
+    ranges = listed.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("bytes") / split_bytes)))).first()[0]
     splits = listed.select("path", "bytes", F.explode(step).alias("start"))
-    ranges = sum(max(1, -(-size // split_bytes)) for _, size in files)
-    splits = splits.repartition(max(1, ranges))
+    splits = splits.repartition(max(1, int(ranges or 0)))
 
     schema = T._parse_datatype_string(RECORDS)
 
@@ -248,19 +361,20 @@ def read(spark, folder, split_bytes=SPLIT_BYTES, payloads=True):
 
         store, _ = fs.FileSystem.from_uri(folder)
         target = pa.schema(
-            [("path", pa.string()), ("start", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
-             ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
-             ("payload_digest", pa.string()), ("refers_to", pa.int64())]
+            [("path", pa.string()), ("start", pa.int64()), ("record_no", pa.int32()), ("record_id", pa.string()),
+             ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
+             ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+             ("refers_to", pa.int64())]
         )
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 with store.open_input_file(path) as file:
                     rows, held = [], 0
-                    for place, found in RangeReader(file, start, start + split_bytes, size).records():
+                    for place, number, found in RangeReader(file, start, start + split_bytes, size).records():
                         held += len(found["payload"] or b"")
                         if not payloads:
                             found["payload"] = None
-                        rows.append({"path": path, "start": place, **found})
+                        rows.append({"path": path, "start": place, "record_no": number, **found})
                         if held >= READ_BYTES * 8:
                             yield pa.RecordBatch.from_pylist(rows, target)
                             rows, held = [], 0

@@ -60,3 +60,45 @@ def test_odd_rows(spark):
         text.setdefault(key, set()).update(words(body))
     assert all(set(words(r.text)) <= text[r.doc_id] and r.n_chars == len(r.text) for r in got)
     assert mixing.taken(no_docs(spark)).count() == mixing.mixed_documents(no_docs(spark)).count() == 0
+
+
+def plain_taken(rows, plan, seed):
+    """doc_id to words taken, slot by slot, for documents of one numbering group."""
+    out = {key: 0 for key, *_ in rows}
+    for s, name in enumerate(plan.names):
+        owner = [key for key, text, source in sorted(rows) if source == name for _ in words(text)]
+        for k in range(plan.quotas[s]):
+            (block,), _ = mixing.blocks_of(plan, s, np.array([k]), seed)
+            size = plan.cuts[s] if k == plan.quotas[s] - 1 else plan.block_words
+            for key in owner[block * plan.block_words :][: min(size, plan.block_words)]:
+                out[key] += 1
+    return out
+
+
+@pytest.mark.parametrize("shard_slots", [3, 4096])
+def test_taken_against_a_plain_count(spark, shard_slots):
+    rows = [(i, "w " * (i * 7 % 90), "abcde"[min(i % 9, 4)]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.Plan(mixing.sized(docs), block_words=32)
+    assert plan.groups == 1 and min(plan.blocks) <= mixing.CUT_BLOCKS < max(plan.blocks)
+    got = {r.doc_id: r.taken for r in mixing.taken(docs, 3, plan=plan, shard_slots=shard_slots).collect()}
+    assert got == plain_taken(rows, plan, 3)
+    assert all(n <= 2 * len(words(t)) for (_, t, _), n in zip(rows, (got[i] for i in range(400))))
+
+
+def test_many_small_sources_meet_their_targets(spark):
+    rows = [(i, "w " * 20, f"s{i:03d}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.taken(docs).collect()
+    assert all(abs(r.taken - r.target) <= 1 and r.taken <= 40 for r in found) and len(found) == 200
+    again = {r.doc_id: r.taken for r in mixing.taken(docs.repartition(7)).collect()}
+    assert again == {r.doc_id: r.taken for r in found}
+
+
+def test_slots_of_one_source_are_dealt_to_many_tasks(spark):
+    docs = spark.createDataFrame([(i, "w " * 600, "a") for i in range(300)], "doc_id long, text string, source string")
+    plan = mixing.Plan(mixing.sized(docs), block_words=2)
+    made = mixing.slots(plan, 1).selectExpr("spark_partition_id() AS p", "shard").distinct().collect()
+    shards = {r.shard for r in made}
+    assert len(shards) > 3 * mixing.TASK_SHARDS
+    assert len({r.p for r in made}) >= len(shards) // (3 * mixing.TASK_SHARDS)

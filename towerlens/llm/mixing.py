@@ -1,7 +1,9 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 1. The words of each source, document after document, form blocks of ``block_words`` words.
-2. Targets follow from the weights; a source's quota is its target in blocks.
+2. Targets follow from the weights; a source's quota is its target in blocks. A source of at most
+   64 blocks has its short block at the end of every permutation and gives part of its last slot's
+   block, so it meets its target to the word; larger ones meet it to less than a block.
 3. Every output shard draws how many of its slots each source gets, multinomially with the
    quotas as chances. Draws beyond a source's quota are withdrawn and what is missing is spread
    over the shards, so each source gets exactly its quota of slots.
@@ -11,6 +13,9 @@
 5. Slots and blocks meet in a join on source and block number. Blocks are of one size, so the
    join is even however large a source is.
 
+Shares of a source in the shards are summed up by groups of shards, then dealt to all tasks before
+they unfold into slots, so no task holds the slots of one source.
+
 Documents are numbered inside a source by groups of their key's hash, so numbering a source that
 holds a third of all rows is shared by many tasks. Everything follows from the rows and ``seed``.
 
@@ -33,6 +38,11 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
+# Sources of at most this many blocks meet their targets to the word.
+CUT_BLOCKS = 64
+# Shards whose draws are summed up together, and those whose slots one task makes.
+SHARD_GROUP = 1024
+TASK_SHARDS = 8
 # Documents of one group in which they are numbered.
 GROUP_ROWS = 2000
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -105,10 +115,17 @@ class Plan:
         weight = [weights[i % len(weights)] for i in range(len(found))]
         self.targets = targets(self.sizes, weight, share * sum(self.sizes), most)
         self.blocks = [-(-s // block_words) for s in self.sizes]
-        self.quotas = [
-            min(int(most) * b, round(t * b / s)) if s else 0
-            for s, t, b in zip(self.sizes, self.targets, self.blocks)
-        ]
+        quotas = [self._quota(*x, most) for x in zip(self.sizes, self.targets, self.blocks)]
+        self.quotas = [q for q, _ in quotas]
+        # Words that a source's last slot takes of its block.
+        self.cuts = [cut for _, cut in quotas]
+
+    def _quota(self, size, target, blocks, most):
+        if blocks > CUT_BLOCKS:
+            return min(int(most) * blocks, round(target * blocks / size)), self.block_words
+        turns, rest = divmod(min(int(most * size), round(target)), size) if size else (0, 0)
+        more = -(-rest // self.block_words)
+        return turns * blocks + more, rest - (more - 1) * self.block_words if more else self.block_words
 
     def table(self):
         schema = "source_no int, _source string, source_size long, target double"
@@ -116,6 +133,13 @@ class Plan:
         return self.spark.createDataFrame(list(rows), schema)
 
 
+class Known:
+    """What a task needs of a plan."""
+
+    def __init__(self, plan):
+        self.blocks, self.quotas, self.cuts, self.block_words = plan.blocks, plan.quotas, plan.cuts, plan.block_words
+
+
 def numbered(rows, plan):
     """``rows`` with source_no, group_no, row_no and first, the words of the source before it."""
     table = plan.table()
@@ -136,6 +160,18 @@ def numbered(rows, plan):
     return rows.withColumn("first", F.col("first") + F.col("base")).drop("base")
 
 
+def _sum_before(rows, value, name):
+    """``rows`` with the sum of ``value`` over the shards of the source before, by groups of shards."""
+    rows = rows.withColumn("_group", F.floor(F.col("shard") / SHARD_GROUP))
+    groups = rows.groupBy("source_no", "_group").agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy("source_no").orderBy("_group")
+    groups = groups.select("source_no", "_group", (F.sum("_n").over(earlier) - F.col("_n")).alias("_base"))
+    inside = Window.partitionBy("source_no", "_group").orderBy("shard")
+    rows = rows.withColumn(name, F.sum(value).over(inside) - F.col(value))
+    rows = rows.join(groups, ["source_no", "_group"])
+    return rows.withColumn(name, F.col(name) + F.col("_base")).drop("_group", "_base")
+
+
 def draws(plan, seed, shard_slots=SHARD_SLOTS):
     """source_no, shard, slot (the first of its slots in the source) and count."""
     total = sum(plan.quotas)
@@ -160,45 +196,54 @@ def draws(plan, seed, shard_slots=SHARD_SLOTS):
 
     drawn = plan.spark.range(shards).mapInArrow(run, "source_no int, shard long, drawn long")
     quota = plan.spark.createDataFrame(list(enumerate(plan.quotas)), "source_no int, quota long")
-    drawn = drawn.join(checked(quota, len(plan.quotas)), "source_no")
-    shard = Window.partitionBy("source_no").orderBy("shard")
-    whole = Window.partitionBy("source_no")
-    drawn = drawn.withColumn("before", F.sum("drawn").over(shard) - F.col("drawn"))
+    totals = drawn.groupBy("source_no").agg(F.sum("drawn").alias("all_drawn"))
+    quota = totals.join(quota, "source_no")
+    drawn = _sum_before(drawn, "drawn", "before").join(checked(quota, len(plan.quotas)), "source_no")
     kept = F.greatest(F.lit(0), F.least(F.col("drawn"), F.col("quota") - F.col("before")))
-    missing = F.greatest(F.lit(0), F.col("quota") - F.sum("drawn").over(whole))
+    missing = F.greatest(F.lit(0), F.col("quota") - F.col("all_drawn"))
     extra = F.floor(missing / shards) + (F.col("shard") < missing % shards).cast("long")
-    drawn = drawn.withColumn("count", kept + extra)
-    slot = F.sum("count").over(shard) - F.col("count")
-    return drawn.select("source_no", "shard", slot.alias("slot"), "count").filter("count > 0")
+    drawn = drawn.select("source_no", "shard", (kept + extra).alias("count")).filter("count > 0")
+    return _sum_before(drawn, "count", "slot").select("source_no", "shard", "slot", "count")
+
+
+def blocks_of(plan, source, slots, seed):
+    """(block, turn) of the given slots of a source, numbers from 0 to its quota."""
+    count = plan.blocks[source]
+    turn, place = slots // count, slots % count
+    # The short block of a small source stays at the end.
+    moved = count - 1 if 1 < count <= CUT_BLOCKS else count
+    block = place.copy()
+    for t in np.unique(turn):
+        of = (turn == t) & (place < moved)
+        key = (seed * 1_000_003 + source) * 1_000_003 + int(t)
+        block[of] = permuted(place[of], moved, key & (2**64 - 1))
+    return block, turn
 
 
 def slots(plan, seed, shard_slots=SHARD_SLOTS):
-    """source_no, block, shard and turn of every slot of the mix."""
-    blocks = plan.blocks
+    """source_no, block, shard, turn and most_words of every slot of the mix."""
+    known = Known(plan)
 
     def run(batches):
         for batch in batches:
             for source, shard, slot, count in zip(*(c.to_pylist() for c in batch.columns)):
                 k = np.arange(slot, slot + count)
-                turn = k // blocks[source]
-                block = np.empty(count, np.int64)
-                for t in np.unique(turn):
-                    of = turn == t
-                    key = (seed * 1_000_003 + source) * 1_000_003 + int(t)
-                    block[of] = permuted(k[of] % blocks[source], blocks[source], key & (2**64 - 1))
+                block, turn = blocks_of(known, source, k, seed)
+                last = k == known.quotas[source] - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(count, source, np.int32)),
                         pa.array(block),
                         pa.array(np.full(count, shard, np.int64)),
                         pa.array(turn.astype(np.int32)),
+                        pa.array(np.where(last, known.cuts[source], known.block_words).astype(np.int64)),
                     ],
-                    names=["source_no", "block", "shard", "turn"],
+                    names=["source_no", "block", "shard", "turn", "most_words"],
                 )
 
-    return draws(plan, seed, shard_slots).mapInArrow(
-        run, "source_no int, block long, shard long, turn int"
-    )
+    shards = -(-sum(plan.quotas) // shard_slots)
+    dealt = draws(plan, seed, shard_slots).repartition(max(1, -(-shards // TASK_SHARDS)), "source_no", "shard")
+    return dealt.mapInArrow(run, "source_no int, block long, shard long, turn int, most_words long")
 
 
 def block_pieces(rows, plan):
@@ -213,6 +258,7 @@ def block_pieces(rows, plan):
         *_ROW, "_key", "_size", "source_size", "target", "block",
         (start - F.col("first")).alias("from_word"),
         (stop - start).alias("n_words"),
+        (start - F.col("block") * size).alias("in_block"),
     )
 
 
@@ -227,7 +273,9 @@ def spans(docs, seed=0, plan=None, shard_slots=SHARD_SLOTS, key="doc_id", text="
     # The size of the slots can't be seen from the draws they come from, so it is not left to Spark
     # to broadcast them.
     taken_by = slots(plan, seed, shard_slots).hint("merge")
-    return pieces.join(taken_by, ["source_no", "block"], "left")
+    found = pieces.join(taken_by, ["source_no", "block"], "left")
+    left = F.greatest(F.lit(0), F.coalesce("most_words", F.lit(plan.block_words)) - F.col("in_block"))
+    return found.withColumn("n_words", F.least("n_words", left)).drop("in_block", "most_words")
 
 
 def taken(docs, seed=0, **kw):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from towerlens.functions import bitmaps
+from towerlens.functions import bitmaps, id_sets, sketches
 from towerlens.functions import columns as C
 from towerlens.operators import (
     flow,
@@ -18,6 +18,7 @@ from towerlens.plans import batch, inputs, serving
 from towerlens.session import materialise, work_folder
 from towerlens.sinks import tables as sink
 from towerlens.sinks.event_log import EventLog
+from towerlens.sinks.index_table import IndexTable
 from towerlens.sinks.keyed import KeyedTable
 from towerlens.sources import lines, streams, tables
 from towerlens.streaming import live, visits, writers
@@ -311,6 +312,82 @@ def bitmap_and_ids(spark, sf_dir):
     return bitmaps.expand(bitmaps.intersect(hours, groups, keys[:2], keys[2:]), keys)
 
 
+# ---- sets of two forms and sketches ------------------------------------------------------------
+
+
+@_query
+def region_day_users_sets(spark, sf_dir):
+    """Users per region and day: the sets of the hours merged, thin buckets as offsets."""
+    members = _members(spark, sf_dir, _index(spark, sf_dir), fold_unknown=False)
+    days = id_sets.build(members, ["region_id", "produce_hour"]).withColumn("produce_day", C.day_text("produce_hour"))
+    keys = ["region_id", "produce_day"]
+    return id_sets.cardinality(id_sets.union(days, keys), keys)
+
+
+@_query
+def set_and_count(spark, sf_dir):
+    """Users per region, hour and portrait by intersecting sets; empty intersections left out."""
+    hours, groups = _hour_and_portrait_sets(spark, sf_dir)
+    keys = ["region_id", "produce_hour"]
+    both = id_sets.intersect(hours, groups, keys, ["portrait_id"])
+    return id_sets.cardinality(both, [*keys, "portrait_id"])
+
+
+@_query
+def set_and_ids(spark, sf_dir):
+    """The users themselves of every portrait in one region and hour, as intersected sets."""
+    hours, groups = _hour_and_portrait_sets(spark, sf_dir, HOUR, REGION)
+    keys = ["region_id", "produce_hour"]
+    return id_sets.expand(id_sets.intersect(hours, groups, keys, ["portrait_id"]), [*keys, "portrait_id"])
+
+
+def _hour_and_portrait_sets(spark, sf_dir, hour=None, region=None):
+    index = _index(spark, sf_dir)
+    members = _members(spark, sf_dir, index, hour=hour, fold_unknown=False)
+    if region is not None:
+        members = members.where(F.col("region_id") == region)
+    people = portraits.portrait_members(_labelled(spark, sf_dir, index))
+    # Written once, as their size is checked before they are joined.
+    groups = materialise(id_sets.build(people, ["portrait_id"]))
+    return id_sets.build(members, ["region_id", "produce_hour"]), groups
+
+
+@_query
+def region_day_people_sketch(spark, sf_dir):
+    """Whether sketches of the hours, merged to days, give the people of a region within their bound."""
+    members = _members(spark, sf_dir, _index(spark, sf_dir), fold_unknown=False).where("bitmap_id IS NOT NULL")
+    keys = ["region_id", "produce_day"]
+    hours = sketches.build(members, ["region_id", "produce_hour"])
+    days = sketches.union(hours.withColumn("produce_day", C.day_text("produce_hour")), keys)
+    return _within_bound(sketches.estimate(days), region_day_users(spark, sf_dir), keys)
+
+
+@_query
+def portrait_day_people_sketch(spark, sf_dir):
+    """The same for the people of every portrait in a region and day: sketches intersected."""
+    index = _index(spark, sf_dir)
+    members = _members(spark, sf_dir, index, "inner", fold_unknown=False)
+    members = members.withColumn("produce_day", C.day_text("produce_hour"))
+    people = materialise(portraits.portrait_members(_labelled(spark, sf_dir, index)))
+    keys = ["region_id", "produce_day"]
+    days = sketches.union(sketches.build(members, [*keys, "produce_hour"]), keys)
+    both = sketches.intersect(days, sketches.build(people, ["portrait_id"]), keys, ["portrait_id"])
+    sets = id_sets.intersect(id_sets.build(members, keys), materialise(id_sets.build(people, ["portrait_id"])), keys, ["portrait_id"])
+    keys = [*keys, "portrait_id"]
+    return _within_bound(sketches.estimate(both), id_sets.cardinality(sets, keys), keys)
+
+
+def _within_bound(estimated, exact, keys):
+    """The exact counts, and whether the estimate of each is within its bound."""
+    same = [estimated[key].eqNullSafe(exact[key]) for key in keys]
+    condition = same[0]
+    for one in same[1:]:
+        condition = condition & one
+    off = F.abs(F.col("n_people") - F.col("n_users"))
+    within = F.coalesce(off <= F.col("bound"), F.lit(False)).alias("within_bound")
+    return exact.join(estimated, condition, "left").select(*[exact[key] for key in keys], "n_users", within)
+
+
 # ---- serving: intersections --------------------------------------------------------------------
 
 
@@ -688,6 +765,16 @@ def stored_index_extended(spark, sf_dir):
     return spark.read.parquet(path).select("imsi", "bitmap_id")
 
 
+@_query
+def stored_index_buckets(spark, sf_dir):
+    """The bucketed user index after two loads, the second of them twice."""
+    index = IndexTable(spark, f"{work_folder(spark)}/index", buckets=16)
+    index.load(inputs.user_info(spark, sf_dir), "users")
+    for _ in range(2):
+        index.load(inputs.signal(spark, sf_dir), "signals")
+    return index.read()
+
+
 @_query
 def stored_portraits(spark, sf_dir):
     """Sizes of the stored portraits; the second build replaces the first."""

@@ -284,6 +284,28 @@ FROM region_hour_members WHERE bitmap_id IS NOT NULL GROUP BY 1, 2""",
 SELECT m.region_id, m.produce_hour, p.portrait_id, m.bitmap_id
 FROM region_hour_members m JOIN portrait_members p ON m.bitmap_id = p.bitmap_id
 WHERE m.region_id = 'R0' AND m.produce_hour = '2024011108'""",
+    "region_day_users_sets": """
+SELECT region_id, substr(produce_hour, 1, 8) AS produce_day, count(DISTINCT bitmap_id) AS n_users
+FROM region_hour_members WHERE bitmap_id IS NOT NULL GROUP BY 1, 2""",
+    "set_and_count": "SELECT region_id, produce_hour, portrait_id, n_users FROM matrix",
+    "set_and_ids": """
+SELECT m.region_id, m.produce_hour, p.portrait_id, m.bitmap_id
+FROM region_hour_members m JOIN portrait_members p ON m.bitmap_id = p.bitmap_id
+WHERE m.region_id = 'R0' AND m.produce_hour = '2024011108'""",
+    "region_day_people_sketch": """
+SELECT region_id, substr(produce_hour, 1, 8) AS produce_day, count(DISTINCT bitmap_id) AS n_users,
+       true AS within_bound
+FROM region_hour_members WHERE bitmap_id IS NOT NULL GROUP BY 1, 2""",
+    "portrait_day_people_sketch": """
+SELECT m.region_id, substr(m.produce_hour, 1, 8) AS produce_day, p.portrait_id,
+       count(DISTINCT m.bitmap_id) AS n_users, true AS within_bound
+FROM region_hour_members m JOIN portrait_members p ON m.bitmap_id = p.bitmap_id
+WHERE m.region_id IS NOT NULL GROUP BY 1, 2, 3""",
+    "stored_index_buckets": """
+SELECT imsi, bitmap_id FROM user_index
+UNION ALL
+SELECT imsi, (SELECT max(bitmap_id) FROM user_index) + row_number() OVER (ORDER BY imsi)
+FROM (SELECT DISTINCT imsi FROM signal WHERE imsi NOT IN (SELECT imsi FROM user_index))""",
     "stored_region_hours": "SELECT region_id, produce_hour, bitmap_id FROM region_hour_members",
     "stored_index_extended": """
 SELECT imsi, bitmap_id FROM user_index

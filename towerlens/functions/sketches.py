@@ -8,6 +8,7 @@ larger input. ``bound`` is four such errors.
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from towerlens.operators.skew import fits_broadcast
 
@@ -30,21 +31,23 @@ def union(sketches, keys, lg=LG_ENTRIES):
 def intersect(left, right, left_keys, right_keys):
     """Every left sketch AND every right one, with ``_of``, the larger of the two estimates.
 
-    ``right`` is a table of at most MOST_RIGHT keys, such as the portraits, gathered into one row that
-    every left row looks into. Pairs are what the result consists of, so none is made in vain; larger
-    right sides are an error.
+    ``right`` is a table of at most MOST_RIGHT keys, such as the portraits, which get numbers; every
+    left row meets each number in a join. Pairs are what the result consists of, so none is made in
+    vain; larger right sides are an error.
     """
-    if right.limit(MOST_RIGHT + 1).count() > MOST_RIGHT or not fits_broadcast(right):
+    right = right.select(*right_keys, F.col("people").alias("_right"))
+    rows = right.limit(MOST_RIGHT + 1).collect()
+    if len(rows) > MOST_RIGHT or not fits_broadcast(right):
         raise ValueError("the right side of an intersection has to be a table of few sketches")
-    each = F.struct(*right_keys, F.col("people").alias("_right"))
-    whole = right.agg(F.collect_list(each).alias("_all")).withColumn("_one", F.lit(1))
-    pairs = left.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")
-    pairs = pairs.select(*left_keys, "people", F.explode("_all").alias("_r"))
-    sizes = [F.theta_sketch_estimate(c) for c in ("people", "_r._right")]
+    schema = T.StructType([T.StructField("_slot", T.IntegerType()), *right.schema.fields])
+    few = right.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+    slot = F.explode(F.array(*[F.lit(i) for i in range(len(rows))]).cast("array<int>")).alias("_slot")
+    pairs = left.select(*left_keys, "people", slot).join(F.broadcast(few), "_slot")
+    sizes = [F.theta_sketch_estimate(c) for c in ("people", "_right")]
     return pairs.select(
         *left_keys,
-        *[F.col(f"_r.{key}").alias(key) for key in right_keys],
-        F.theta_intersection("people", "_r._right").alias("people"),
+        *right_keys,
+        F.theta_intersection("people", "_right").alias("people"),
         F.greatest(*sizes).alias("_of"),
     )
 

@@ -286,6 +286,46 @@ def test_hours_are_replaced_one_by_one(spark, tmp_path):
     assert first == second
 
 
+def test_loads_replace_their_own_rows(spark, tmp_path):
+    path = str(tmp_path / "hours")
+    schema = "region_id string, produce_hour string, bitmap_id bigint"
+    first = [("A", "2024010108", 1), ("A", "2024010108", 2), (None, "2024010109", None)]
+    second = [("A", "2024010108", 2), ("B", "2024010109", 3)]
+    for load, rows in (("a", first), ("b", second), ("a", first), ("c", [])):
+        sink.overwrite_load(spark.createDataFrame(rows, schema), path, load)
+    got = rows_of(sink.read_hours(spark, path), "region_id", "produce_hour", "bitmap_id")
+    assert got == sorted({*first, *second}, key=repr)
+    sink.overwrite_load(spark.createDataFrame(first[:1], schema), path, "a")
+    got = rows_of(sink.read_hours(spark, path), "region_id", "produce_hour", "bitmap_id")
+    assert got == sorted({first[0], *second}, key=repr)
+
+
+def test_an_hour_opens_few_files(spark, tmp_path):
+    """Files of a load hold ranges of hours, and the filter on the hour reaches the scan."""
+    path = str(tmp_path / "hours")
+    signal, cells = inputs.signal(spark, SF), inputs.region_cell(spark, SF)
+    index = user_index.dense_ids(inputs.user_info(spark, SF))
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        batch.build_region_hours(signal, cells, index, path, "2024/01 all", write=sink.overwrite_load)
+    finally:
+        spark.conf.set(merging, before)
+    files = spark.read.parquet(path).select(
+        "produce_hour", F.input_file_name().alias("file")
+    )
+    ranges = files.groupBy("file").agg(F.min("produce_hour").alias("a"), F.max("produce_hour").alias("z")).collect()
+    assert len(ranges) > 4
+    hours = sorted({r.produce_hour for r in files.select("produce_hour").distinct().collect()})
+    assert max(sum(r.a <= h <= r.z for r in ranges) for h in hours) <= 2
+    assert {r["load"] for r in spark.read.parquet(path).select("load").distinct().collect()} == {"2024/01 all"}
+    one = sink.read_hours(spark, path).where(F.col("produce_hour") == hours[0])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(produce_hour,{hours[0]})" in plan
+    assert 0 < one.count() < sink.read_hours(spark, path).count()
+
+
 def test_serving_from_stored_tables(spark, tmp_path):
     """The jobs in their order, then the question, all through files."""
     users = inputs.user_info(spark, SF)

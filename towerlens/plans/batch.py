@@ -22,11 +22,15 @@ def build_portraits(user_info, index, path, scheme=portraits.STANDARD):
     sink.overwrite(portraits.portrait_members(labelled, scheme), path)
 
 
-def build_region_hours(signal, region_cell, index, path, load, how="left"):
-    """Write the region-hour membership that one load of signals gives (see ``overwrite_hours``)."""
+def build_region_hours(signal, region_cell, index, path, load, how="left", write=sink.overwrite_hours):
+    """Write the region-hour membership that one load of signals gives.
+
+    ``write`` is ``sink.overwrite_hours``, a folder per hour and load, which suits hourly loads, or
+    ``sink.overwrite_load``, one folder of sorted ranges, which suits loads of many hours.
+    """
     heavy = heavy_keys(signal, "laccell")
     members = region_hours.region_hour_members(signal, region_cell, index, how, heavy)
-    sink.overwrite_hours(members, path, load)
+    write(members, path, load)
 
 
 def build_visits(placed, path, load, after, threshold_ms, targets=None, heavy=None):

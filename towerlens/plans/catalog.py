@@ -752,7 +752,9 @@ def stored_region_hours(spark, sf_dir):
     signals, cells = inputs.signal(spark, sf_dir), inputs.region_cell(spark, sf_dir)
     loads = {"a": F.col("event_id") % 3 != 0, "b": F.col("event_id") % 3 != 1}
     for load in ("a", "b", "a"):
-        batch.build_region_hours(signals.where(loads[load]), cells, index, f"{folder}/hours", load)
+        batch.build_region_hours(
+            signals.where(loads[load]), cells, index, f"{folder}/hours", load, write=sink.overwrite_load
+        )
     return sink.read_hours(spark, f"{folder}/hours")
 
 
@@ -851,7 +853,12 @@ def served_by_parameters(spark, sf_dir):
     folder = work_folder(spark)
     index = _index(spark, sf_dir)
     batch.build_region_hours(
-        inputs.signal(spark, sf_dir), inputs.region_cell(spark, sf_dir), index, f"{folder}/hours", "all"
+        inputs.signal(spark, sf_dir),
+        inputs.region_cell(spark, sf_dir),
+        index,
+        f"{folder}/hours",
+        "all",
+        write=sink.overwrite_load,
     )
     view = f"hours_{folder.rpartition('-')[2]}"
     tables.register(**{view: sink.read_hours(spark, f"{folder}/hours")})

@@ -1,5 +1,7 @@
 """Batch table writers. All but an appending ``write_jdbc`` may be run again without changing the result."""
 
+from urllib.parse import quote
+
 from pyspark.sql import functions as F
 
 from towerlens.operators.latest import last_per_key
@@ -29,8 +31,28 @@ def overwrite_hours(members, path, load):
     )
 
 
+def overwrite_load(members, path, load):
+    """Write the region-hour rows of one load into one folder; for loads that span many hours.
+
+    ``load`` names the input, such as its folder. The same load again replaces its own folder; rows
+    that other loads gave for the same hour stay, so a straggler adds to its hour. Rows are dealt by
+    ranges of hour, region and id, so an hour or a region of any size may fill many files, and a
+    filter on the hour skips files and row groups by their minima and maxima.
+    """
+    order = ["produce_hour", "region_id", "bitmap_id"]
+    overwrite(
+        members.select("region_id", "produce_hour", "bitmap_id")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order),
+        f"{path}/load={quote(load, safe='')}",
+    )
+
+
 def read_hours(spark, path):
-    """Region-hour rows of all loads, each once. Filters on the hour select folders."""
+    """Region-hour rows of all loads, each once. A filter on the hour reaches the scan.
+
+    Tables of both layouts are read; one table keeps to one of them.
+    """
     schema = "region_id string, bitmap_id bigint, produce_hour string, load string"
     rows = spark.read.schema(schema).parquet(path)
     return rows.select("region_id", "produce_hour", "bitmap_id").distinct()

@@ -38,6 +38,56 @@ def test_buckets_split_until_they_fit(spark):
     assert max(sizes) <= 50 and sum(sizes) == 3000 and len(sizes) >= 60
 
 
+def weak_hash(text):
+    """Seven hashes for all texts, spread over the upper bits."""
+    return F.shiftleft(F.pmod(F.xxhash64(text), F.lit(7)), 60)
+
+
+def test_texts_of_one_hash_are_chained(spark):
+    """Texts that share a hash, and copies of them, are told apart by their bytes."""
+    random.seed(5)
+    rows = [(n, " ".join(f"v{random.randrange(40)}" for _ in range(2))) for n in range(600)]
+    rows += [(n, None if n % 2 else "") for n in range(600, 604)] + [(700, "v1v2 "), (701, "v1 v2  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: r for r in exact_dedup.groups(docs).collect()}
+    found = exact_dedup.groups(docs, capacity=2, hash_of=weak_hash).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        a = plain[r.doc_id]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (a.keep_id, a.group_size, a.kept, a.text_sha256)
+    by_text = {}
+    for key, text in rows:
+        by_text.setdefault(plain_norm(text), []).append((-len(text or ""), key))
+    wanted = {key: (min(v)[1], len(v)) for v in by_text.values() for _, key in v}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in found} == wanted
+    kept = exact_dedup.survivors(docs, capacity=2, hash_of=weak_hash).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({k for k, _ in wanted.values()})
+
+
+def test_chains_lie_in_their_bucket(spark, tmp_path):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 250).alias("text"))
+    index = exact_dedup.build_index(docs, str(tmp_path / "index"), capacity=2, hash_of=weak_hash)
+    entries = index.entries.collect()
+    assert len(entries) == 250 and {r.group_size for r in entries} == {2}
+    assert len({r.bucket for r in entries}) > 2
+    for (bucket, value), chain in itertools.groupby(
+        sorted(entries, key=lambda r: (r.bucket, r.hash, r.chain)), key=lambda r: (r.bucket, r.hash)
+    ):
+        chain = list(chain)
+        assert [r.chain for r in chain] == list(range(len(chain))) and {r.n_chain for r in chain} == {len(chain)}
+    assert index.chained.count() == 250
+
+
+def test_directory_grows_with_the_input():
+    assert [exact_dedup.depth_for(n, 4) for n in (0, 4, 5, 9, 33)] == [0, 0, 4, 5, 7]
+    assert exact_dedup.depth_for(10**9) > exact_dedup.depth_for(10**8) > 16
+
+
+def test_exact_dedup_runs_no_python(spark):
+    plan = exact_dedup.groups(odd_docs(spark))._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]

@@ -90,6 +90,45 @@ def test_model_is_the_same_for_any_layout(spark, tmp_path):
     assert kept[0] == kept[1] and len(kept[0]) == len(ODD_ROWS)
 
 
+def plain_median(values):
+    values = sorted(values)
+    return values[(len(values) - 1) // 2]
+
+
+def test_bands_and_verdicts_match_a_plain_version(spark):
+    """``kept`` of every row, recomputed from its score and base counts."""
+    rng = np.random.default_rng(8)
+    letters = "etaoinshrdlu"
+
+    def text(n, junk):
+        alphabet = "qzxjkvw" if junk else letters
+        return " ".join("".join(rng.choice(list(alphabet), rng.integers(2, 8))) for _ in range(n))
+
+    data = [(i, text(int(rng.integers(5, 200)), i % 41 == 0), ["en", "de", None][i % 3]) for i in range(400)]
+    data += [(900, None, "en"), (901, "12 34", "de"), (902, text(60, False), "alone"), (902, text(60, False), "alone")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    rows = quality.judged(docs).collect()
+    assert len(rows) == len(data)
+    values = defaultdict(list)
+    for r in rows:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        if not r.base_failed and r.score is not None:
+            values[r.lang].append(int(r.score * 1000 + 0.5))
+    found = set()
+    for r in rows:
+        wanted = False
+        if not r.base_failed and r.score is not None:
+            mid = plain_median(values[r.lang])
+            low = plain_median([mid - v for v in values[r.lang] if v <= mid])
+            high = plain_median([v - mid for v in values[r.lang] if v >= mid])
+            low, high = max(low, 0.01 * mid) / 1000, max(high, 0.01 * mid) / 1000
+            width = 8.0 * (1 + 50 / r.n_words) ** 0.5
+            wanted = mid / 1000 - width * low <= r.score <= mid / 1000 + width * high
+        assert r.kept == wanted
+        found.add((r.base_failed, wanted))
+    assert found == {(True, False), (False, True), (False, False)}
+
+
 def test_odd_rows(spark):
     rows = {r.doc_id: r for r in quality.judged(odd_docs(spark)).collect()}
     assert rows[3].n_words == rows[4].n_words == rows[5].n_words == 0

@@ -22,8 +22,6 @@ letter has no score and is rejected; a language whose scores hardly differ gets
 table gives an empty result. Other columns are kept by ``filtered`` only.
 """
 
-import sys
-import types
 from collections import Counter
 
 import numpy as np
@@ -31,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from towerlens.llm import words
-from towerlens.llm.memory import checked
+from towerlens.llm.memory import checked, kept
 from towerlens.session import materialise, work_folder
 
 ORDER = 4
@@ -293,19 +291,11 @@ class Model:
         return out[back]
 
 
-def _model(folder):
-    """The worker's copy of the model; only the latest is kept."""
-    state = sys.modules.setdefault("_kept_language_model", types.ModuleType("_kept_language_model"))
-    if getattr(state, "folder", None) != folder:
-        state.folder, state.model = folder, Model(folder)
-    return state.model
-
-
 def scored(docs, folder, key="doc_id", text="text", lang="lang"):
     """doc_id, lang, BASE columns and ``score``, the negative log probability per lettered word."""
 
     def run(batches):
-        model = _model(folder)
+        model = kept("language model", folder, lambda: Model(folder))
         for batch in batches:
             number = np.array([model.numbers.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             for first, data, offsets in words.text_blocks(batch.column(2)):
@@ -338,32 +328,28 @@ def scored(docs, folder, key="doc_id", text="text", lang="lang"):
     return rows.mapInArrow(run, f"doc_id long, lang string, {BASE}, score double")
 
 
-def _median(bins):
-    """The median of {value: count}."""
-    half, seen = sum(bins.values()) / 2, 0
-    for value in sorted(bins):
-        seen += bins[value]
-        if seen >= half:
-            return value
-    return 0
+def bands(rows):
+    """lang, middle, below, above of rows that pass the base rules: the median score of a language and
+    the median distances from it on both sides, all in bins. One row per language, made by Spark."""
+    at = F.round(F.col("score") * BIN).cast("long")
+    binned = rows.filter("not base_failed and score is not null").select("lang", at.alias("bin"))
+    middles = materialise(binned.groupBy("lang").agg(_median("bin").alias("mid")))
+    spreads = binned.join(checked(middles, middles.count()), "lang").groupBy("lang", "mid").agg(
+        _median("CASE WHEN bin <= mid THEN mid - bin END").alias("low"),
+        _median("CASE WHEN bin >= mid THEN bin - mid END").alias("high"),
+    )
+    middle, least = F.col("mid") / BIN, LEAST_SPREAD * F.col("mid")
+    return spreads.select(
+        "lang",
+        middle.alias("middle"),
+        (F.greatest("low", least) / BIN).alias("below"),
+        (F.greatest("high", least) / BIN).alias("above"),
+    )
 
 
-def bands(rows):
-    """{language: (median, spread below, spread above)} of rows that pass the base rules."""
-    binned = rows.filter("not base_failed and score is not null").groupBy(
-        "lang", F.round(F.col("score") * BIN).cast("long").alias("bin")
-    ).agg(F.count("*").alias("n"))
-    found = {}
-    for r in binned.collect():
-        found.setdefault(r["lang"], {})[r["bin"]] = r["n"]
-    out = {}
-    for lang, bins in found.items():
-        mid = _median(bins)
-        low = _median(Counter({mid - b: n for b, n in bins.items() if b <= mid}))
-        high = _median(Counter({b - mid: n for b, n in bins.items() if b >= mid}))
-        least = LEAST_SPREAD * mid
-        out[lang] = mid / BIN, max(low, least) / BIN, max(high, least) / BIN
-    return out
+def _median(value):
+    """The least value that half of the rows do not exceed; a task holds one count per value, nulls none."""
+    return F.expr(f"CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY {value}) AS BIGINT)")
 
 
 def judged(docs, key="doc_id", text="text", lang="lang", folder=None, band=BAND):
@@ -374,12 +360,11 @@ def judged(docs, key="doc_id", text="text", lang="lang", folder=None, band=BAND)
         write_model(docs, folder, text, lang)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = materialise(scored(docs, folder, key, text, lang).withColumn("base_failed", failed))
-    table = [(k, *v) for k, v in bands(rows).items()]
-    limits = spark.createDataFrame(table, "lang string, middle double, below double, above double")
+    limits = materialise(bands(rows))
     width = band * F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
     inside = F.col("score").between(
         F.col("middle") - width * F.col("below"), F.col("middle") + width * F.col("above")
     )
-    return rows.join(checked(limits, len(table)), "lang", "left").withColumn(
+    return rows.join(checked(limits, limits.count()), "lang", "left").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     )

@@ -79,3 +79,19 @@ def test_intersection_of_both_sizes(spark, monkeypatch, limit):
     both = bitmaps.cardinality(bitmaps.intersect(lefts, rights, ["l"], ["r"]), ["l", "r"])
     got = {(r.l, r.r): r.n_users for r in both.collect() if r.n_users}
     assert got == {(a, b): len(x & y) for a, x in left.items() for b, y in right.items() if x & y}
+
+
+def test_intersection_keeps_pairs_whole(spark):
+    """No pair is unfolded or shuffled behind the join, and buckets without a common id have no row."""
+    left = {"a": {0, 1, 40_000}, "b": {5}, "c": set(range(32_000, 34_000))}
+    right = {"x": {1, 40_000}, "y": {7}, "z": {33_000, 100_000}}
+    lefts = bitmaps.build(members(spark, left, "l"), ["l"])
+    rights = bitmaps.build(members(spark, right, "r"), ["r"])
+    both = bitmaps.intersect(lefts, rights, ["l"], ["r"])
+    assert both.columns == ["l", "r", "bucket", "bm"]
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "bitmap_and_agg" not in plan
+    got = sorted((r.l, r.r, r.id) for r in bitmaps.expand(both, ["l", "r"], "id").collect())
+    assert got == sorted((a, b, i) for a, x in left.items() for b, y in right.items() for i in x & y)
+    assert both.count() == 3
+    assert bitmaps.intersect(lefts.limit(0), rights, ["l"], ["r"]).count() == 0

@@ -397,6 +397,26 @@ def test_compacted_events_skip_other_days_and_regions(spark, tmp_path):
     assert sink.read_events(spark, path).count() == 300
 
 
+def test_a_hot_region_fills_many_files(spark, tmp_path):
+    log = spark.range(4000).selectExpr(
+        "cast(id AS string) AS imsi", "1 AS event_type", "if(id % 10 = 0, 'R1', 'R0') AS region_id", "'1' AS gender", "30 AS age",
+        "timestamp_seconds(1704067200 + id) AS event_ts", "0L AS batch_id",
+    )
+    path = str(tmp_path / "days")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        sink.compact_events(log, path)
+    finally:
+        spark.conf.set(merging, before)
+    rows = sink.read_events(spark, path).withColumn("file", F.input_file_name())
+    assert rows.where("region_id = 'R0'").select("file").distinct().count() >= 4
+    assert rows.where("region_id = 'R1'").select("file").distinct().count() <= 2
+    newest = serving.latest_events(sink.read_events(spark, path), "R0", 3).collect()
+    assert sorted(r.imsi for r in newest) == ["3997", "3998", "3999"]
+
+
 def test_checkpoint_folder_of_this_machine_needs_a_local_master(monkeypatch, tmp_path):
     class Context:
         def __init__(self, master):

@@ -39,26 +39,15 @@ def union(bitmaps, keys):
 
 
 def intersect(left, right, left_keys, right_keys):
-    """Every left set AND every right set, bucket by bucket.
+    """Every left set AND every right set, bucket by bucket; buckets without a common id have no row.
 
     ``right`` is the side with fewer sets, such as the portraits. When its checked size allows, it
     is broadcast and the left rows stay where they are; otherwise both sides meet by bucket number.
-    Each pair becomes two rows that the AND aggregate folds again. Its grouping keys contain the
-    keys by which the rows are already partitioned, so the fold adds no shuffle.
+    Each joined pair is intersected at once on Arrow batches: a pair never becomes two rows, and
+    nothing is shuffled or folded behind the join.
     """
-    other = right.withColumnRenamed("bm", "_right")
-    if fits_broadcast(right):
-        other = F.broadcast(other)
-    pairs = left.withColumnRenamed("bm", "_left").join(other, "bucket")
-    stacked = pairs.select(
-        *left_keys,
-        *right_keys,
-        "bucket",
-        F.explode(F.array("_left", "_right")).alias("bm"),
-    )
-    return stacked.groupBy(*left_keys, *right_keys, "bucket").agg(
-        F.bitmap_and_agg("bm").alias("bm")
-    )
+    keys = [*left_keys, *right_keys, "bucket"]
+    return _intersected(left, right, keys, "bm", T.BinaryType(), lambda both, n: both)
 
 
 def and_counts(left, right, left_keys, right_keys, name="n_users"):
@@ -67,15 +56,20 @@ def and_counts(left, right, left_keys, right_keys, name="n_users"):
     Each joined pair of buckets is intersected and counted at once on Arrow batches, so no pair
     is unfolded and no bitmap is sorted; pairs without a common id go no further.
     """
+    keys = [*left_keys, *right_keys]
+    counted = _intersected(left, right, keys, "_n", T.LongType(), lambda both, n: n)
+    return counted.groupBy(*keys).agg(F.sum("_n").alias(name))
+
+
+def _intersected(left, right, keys, name, kind, result):
+    """``keys`` of each pair of buckets with a common id, and ``result`` of its bits and their number."""
     other = right.withColumnRenamed("bm", "_right")
     if fits_broadcast(right):
         other = F.broadcast(other)
-    pairs = left.withColumnRenamed("bm", "_left").join(other, "bucket")
-    keys = [*left_keys, *right_keys]
-    pairs = pairs.select(*keys, "_left", "_right")
-    schema = T.StructType([pairs.schema[key] for key in keys] + [T.StructField("_n", T.LongType())])
+    pairs = left.withColumnRenamed("bm", "_left").join(other, "bucket").select(*keys, "_left", "_right")
+    schema = T.StructType([pairs.schema[key] for key in keys] + [T.StructField(name, kind)])
 
-    def count(batches):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
@@ -83,18 +77,22 @@ def and_counts(left, right, left_keys, right_keys, name="n_users"):
             data = b"".join(column.to_pylist())
             return np.frombuffer(data, dtype=np.uint64).reshape(len(column), -1)
 
+        def column(values):
+            return pa.array([v.tobytes() for v in values], pa.binary()) if values.ndim == 2 else pa.array(values)
+
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 both = bits(part.column(len(keys))) & bits(part.column(len(keys) + 1))
                 n = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-                kept = pa.array(np.flatnonzero(n))
+                kept = np.flatnonzero(n)
+                rows = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i).take(kept) for i in range(len(keys))] + [pa.array(n).take(kept)],
-                    names=[*keys, "_n"],
+                    [part.column(i).take(rows) for i in range(len(keys))] + [column(result(both[kept], n[kept]))],
+                    names=[*keys, name],
                 )
 
-    return pairs.mapInArrow(count, schema).groupBy(*keys).agg(F.sum("_n").alias(name))
+    return pairs.mapInArrow(run, schema)
 
 
 def cardinality(bitmaps, keys, name="n_users"):

@@ -133,13 +133,15 @@ def previous_slot(spark, path, batch_id, schema):
 def compact_events(events, path):
     """Lay an event log out for serving: a folder per day, sorted by region and time inside files.
 
-    The whole log is written anew, so it may be done again at any time. Readers of one region skip
-    other days by folder and other regions by the minima and maxima of row groups.
+    The whole log is written anew, so it may be done again at any time. Rows are dealt by ranges of
+    day, region and time, so one region may fill many files of a day. Readers of one region skip
+    other days by folder and other regions by the minima and maxima of files and row groups.
     """
+    order = ["day", "region_id", F.desc("event_ts")]
     days = events.drop("batch_id").withColumn("day", F.date_format("event_ts", "yyyyMMdd"))
     (
-        days.repartition("day", "region_id")
-        .sortWithinPartitions("day", "region_id", F.desc("event_ts"))
+        days.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .partitionBy("day")
         .parquet(path)

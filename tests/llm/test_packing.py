@@ -1,12 +1,16 @@
 import itertools
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD_ROWS, no_docs, odd_docs
 from towerlens.llm import packing, token_files
+from towerlens.llm.tokens import WordTokenizer
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,3 +71,34 @@ def test_token_files_of_odd_rows(spark, tmp_path):
     assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
     token_files.write(no_docs(spark), f"{path}-none", TOKENIZER)
     assert token_files.digests(spark, f"{path}-none").count() == 0
+
+
+ATOMS = ["a", "foo", "Bar", "é", "×", "12", "'", "'s", "\"", ".", ",", "(", "|", "<", "<|endoftext|>", "\n", "\n\n", "\r\n"]
+ATOMS += ["\t", " ", " ", "  ", "\u00a0", "\u3000", "\x00", "’", "«", "я", "中", "\u0301", "²", "_", "ł", "ª"]
+
+
+def _ids(encoder, texts):
+    out = []
+    for _, ids, counts in encoder.blocks(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ATOMS), max_size=9).map("".join), min_size=1, max_size=6))
+def test_parts_have_the_ids_of_whole_texts(texts):
+    for encoder in ENCODERS:
+        plain = [e.ids + [0] for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
+        assert _ids(encoder, texts) == plain
+
+
+PLAIN, ENCODERS = Tokenizer.from_file(TOKENIZER), [WordTokenizer(TOKENIZER) for _ in range(2)]
+ENCODERS[1].fine = False
+
+
+def test_words_are_learnt_without_signs_and_line_feeds():
+    words = [f"{a}{b}{c}" for a in "abcdef" for b in "aeiou" for c in "lmnr"]
+    tails = [".", ",", ";", "!", ".\nThe", ":\nOne", "\nBut", ")", "?"]
+    encoder = WordTokenizer(TOKENIZER)
+    list(encoder.blocks(pa.array([" ".join(f"on {w}{t} by" for w in words for t in tails)])))
+    assert len(encoder.known) < 2 * len(words)

@@ -664,9 +664,10 @@ def stream_reject_count(spark, sf_dir):
         writers.start_parsed(
             parse(text), f"{folder}/{name}/out", f"{folder}/{name}/checkpoint", availableNow=True
         ).awaitTermination()
-        counts = writers.read_reject_counts(spark, f"{folder}/{name}/out")
+        counts = writers.stored_counts(spark, f"{folder}/{name}/out")
         found.append(counts.select(F.lit(name).alias("input"), "n_ok", "n_rejected"))
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    counts = found[0].unionByName(found[1]).unionByName(found[2])
+    return counts.groupBy("input").agg(*[F.sum(n).alias(n) for n in ("n_ok", "n_rejected")])
 
 
 @_query

@@ -156,10 +156,16 @@ def start_parsed(parsed, out, checkpoint, **trigger):
     return _start(parsed, write, checkpoint, trigger)
 
 
+def stored_counts(spark, out):
+    """(n_ok, n_rejected) per finished micro-batch of ``start_parsed``, and a row of zeros."""
+    counts = spark.read.schema("n_ok long, n_rejected long").parquet(f"{out}/counts").drop("batch_id")
+    zero = F.lit(0).cast("long")
+    return counts.unionByName(spark.range(1).select(zero.alias("n_ok"), zero.alias("n_rejected")))
+
+
 def read_reject_counts(spark, out):
     """(n_ok, n_rejected) of all finished micro-batches of ``start_parsed``."""
-    counts = spark.read.schema("n_ok long, n_rejected long").parquet(f"{out}/counts")
-    return counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_ok", "n_rejected")])
+    return stored_counts(spark, out).agg(*[F.sum(n).alias(n) for n in ("n_ok", "n_rejected")])
 
 
 def late_rows(query):

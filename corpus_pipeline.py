@@ -21,13 +21,14 @@ from towerlens.llm import exact_dedup, jaccard_join, language, mixing, packing
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from towerlens.session import work_folder
+from towerlens.session import small_batches, work_folder
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def keep_known_languages(spark, docs, sf_dir):
+    small_batches(spark)
     found = language.predict(docs, language.fit(docs)).filter("accepted")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
@@ -37,14 +38,17 @@ def keep_one_of_equal(spark, docs, sf_dir):
 
 
 def keep_one_of_near(spark, docs, sf_dir):
+    small_batches(spark)
     return jaccard_join.representatives(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark, docs, sf_dir):
+    small_batches(spark)
     pieces = packing.pieces(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
     slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.place(slim, CAPACITY)

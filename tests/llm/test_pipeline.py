@@ -93,3 +93,16 @@ def test_stages_take_odd_and_empty_tables(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, no_docs(spark).select(*names), SF).count() == 0
         assert stage(spark, odd_docs(spark).select(*names), SF).count() > 0
+
+
+def test_batches_of_whole_texts_stay_small(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = odd_docs(spark)
+        for rows, most in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(name, rows)
+            pipeline.pack_sequences(spark, docs.limit(0), None)
+            assert spark.conf.get(name) == most
+    finally:
+        spark.conf.set(name, before)

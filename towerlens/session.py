@@ -55,3 +55,12 @@ def materialise(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small_batches(spark, rows=2000):
+    """Let at most ``rows`` rows at once go to a Python worker in this session. Rows that hold whole
+    texts fill buffers outside the heap of both sides, which grow by doubling."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))

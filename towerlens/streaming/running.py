@@ -2,24 +2,24 @@
 
 import sys
 from collections import namedtuple
+from itertools import chain
 
 from pyspark import cloudpickle
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from towerlens.operators.flow import STAY_BEGAN, STAY_ENDED
-from towerlens.streaming.visits import SlicedRows
+from towerlens.streaming.visits import SlicedRows, fields_of, micros, output_row
 
 # As the tracker, this step travels to the Python workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COUNT_SCHEMA = "region_id string, event_us long, imsi string, event_type int, stay_count long"
 _SLICE_SCHEMA = "start_us long, start_type long, piece long, n long"
-_PENDING_SCHEMA = "event_us array<long>, event_type array<int>, imsi array<string>"
+_SLICE_VALUE = "event_us array<long>, fields binary"
 
 _Change = namedtuple("_Change", "event_us event_type imsi")
-_Count = Row("region_id", "event_us", "imsi", "event_type", "stay_count")
+_Count = output_row("_Count", "region_id event_us imsi event_type stay_count")
 
 
 class RunningStays(SlicedRows, StatefulProcessor):
@@ -34,10 +34,10 @@ class RunningStays(SlicedRows, StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.count = handle.getValueState("count", "n long")
-        self.pending = handle.getMapState("slices", _SLICE_SCHEMA, _PENDING_SCHEMA)
+        self.pending = handle.getMapState("slices", _SLICE_SCHEMA, _SLICE_VALUE)
 
     def handleInputRows(self, key, rows, timerValues):
-        self._take_in(_Change(*(row[name] for name in _Change._fields)) for row in rows)
+        self._take_in(_changes(iter(rows)))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -54,9 +54,25 @@ class RunningStays(SlicedRows, StatefulProcessor):
         pass
 
 
+def _changes(rows):
+    """Rows with the fields of a change, or those of ``running_stays`` with a time and a text."""
+    for first in rows:
+        rows = chain([first], rows)
+        if "change" not in first:
+            yield from fields_of(rows, _Change._fields)
+            return
+        for time, text in fields_of(rows, ("event_ts", "change")):
+            kind, named, imsi = text.partition(" ")
+            yield micros(time), int(kind), imsi if named else None
+
+
 def running_stays(events):
     """One row per change of a region's number of long stays, from chained ``visit_events``."""
-    changes = events.where(F.col("event_type").isin(STAY_BEGAN, STAY_ENDED))
+    # As for the tracker, all but the time is one cell; a null imsi leaves the event type alone.
+    change = F.concat_ws(" ", "event_type", "imsi").alias("change")
+    changes = events.where(F.col("event_type").isin(STAY_BEGAN, STAY_ENDED)).select(
+        "region_id", "event_ts", change
+    )
     counts = changes.groupBy("region_id").transformWithState(
         statefulProcessor=RunningStays(),
         outputStructType=COUNT_SCHEMA,

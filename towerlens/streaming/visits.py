@@ -3,14 +3,17 @@
 Event types are those of the batch form: 0 leave, 1 enter, 2 long stay began, 3 long stay ended.
 """
 
+import json
+import pickle
 import sys
 from bisect import bisect_left, bisect_right
 from collections import namedtuple
 from datetime import datetime, timedelta, timezone
-from itertools import islice
+from functools import lru_cache
+from itertools import chain, islice
+from operator import itemgetter
 
 from pyspark import cloudpickle
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -26,10 +29,15 @@ _PENDING_SCHEMA = (
     "event_us array<long>, event_id array<long>, region_id array<string>, "
     "watched array<boolean>, gender array<string>, age array<int>"
 )
+# A piece of a slice: the times, and the other fields as one pickled value. As arrays every field of
+# every row would pass Spark's conversions of single values, which cost more than the tracking.
+_SLICE_VALUE = "event_us array<long>, fields binary"
 # Where a slice of time begins, the number of a piece of it, and the signals of that piece.
 _SLICE_SCHEMA = "start_us long, start_id long, piece long, n long"
 # The most signals of a slice; those of one subscriber, time and event id stay together.
 SLICE = 1 << 15
+# Descriptions of a place and person that a task keeps read.
+_PERSONS = 1 << 12
 _LEAST = (-(1 << 63), -(1 << 63))
 _VISIT_SCHEMA = (
     "region_id string, watched boolean, due_us long, reported boolean, gender string, age int, "
@@ -39,11 +47,37 @@ _VISIT_SCHEMA = (
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 _Signal = namedtuple("_Signal", "event_us event_id region_id watched gender age")
-_Event = Row("imsi", "event_type", "region_id", "gender", "age", "event_us")
-_TimedEvent = Row("imsi", "event_type", "region_id", "gender", "age", "event_us", "event_ts")
 _Visit = namedtuple("_Visit", "region_id watched due_us reported gender age seen_us")
 
 
+def output_row(name, fields):
+    """A row that a processor gives out. Spark asks it for its dictionary only, which ``Row`` makes
+    by a walk through every value."""
+
+    def as_dict(self, recursive=False):
+        return dict(zip(self._fields, self))
+
+    return type(name, (namedtuple(name, fields),), {"__slots__": (), "asDict": as_dict})
+
+
+_Event = output_row("_Event", "imsi event_type region_id gender age event_us")
+_TimedEvent = output_row("_TimedEvent", "imsi event_type region_id gender age event_us event_ts")
+
+
+def fields_of(rows, names):
+    """The named fields of rows of one schema; the places of the names are looked up once."""
+    rows = iter(rows)
+    for first in rows:
+        if hasattr(first, "__fields__"):
+            at = itemgetter(*map(first.__fields__.index, names))
+            yield at(tuple(first))
+            yield from map(at, map(tuple, rows))
+        else:
+            pick = itemgetter(*names)
+            yield pick(first)
+            yield from map(pick, rows)
+
+
 class VisitTracker(StatefulProcessor):
     """Follows one subscriber through the regions.
 
@@ -58,10 +92,11 @@ class VisitTracker(StatefulProcessor):
     watermark: the state goes without an event, and the next signal counts as a first sighting.
     """
 
-    def __init__(self, threshold_ms, event_time=True, ttl_ms=None, expire_ms=None):
+    def __init__(self, threshold_ms, event_time=True, ttl_ms=None, expire_ms=None, kinds=None):
         self.threshold_us = threshold_ms * 1000
         self.event_time = event_time
         self.ttl_ms = ttl_ms
+        self.kinds = kinds
         self.expire_us = expire_ms * 1000 if event_time and expire_ms is not None else None
 
     def init(self, handle):
@@ -124,10 +159,11 @@ class VisitTracker(StatefulProcessor):
         visit, events, any_signal = before, [], False
         for signal in signals:
             any_signal = True
-            yield from (_Event(*event) for event in events)
-            events = []
             clock = signal.event_us if self.event_time else now_us
             visit = self._report(imsi, visit, clock, events)
+            if events:
+                yield from (_Event(*event) for event in events)
+                events = []
             if visit is not None and visit.region_id == signal.region_id:
                 if self.expire_us is not None:
                     visit = visit._replace(seen_us=signal.event_us)
@@ -235,9 +271,11 @@ class SlicedRows:
             at = stop
 
     def _read(self, pieces):
-        return sorted(
-            self.record(*values) for piece in pieces for values in zip(*self.pending.getValue(piece))
-        )
+        found = []
+        for piece in pieces:
+            times, fields = self.pending.getValue(piece)
+            found += map(self.record._make, zip(times, *pickle.loads(fields)))
+        return sorted(found)
 
     def _remove(self, slices, start):
         for piece in slices.pop(start):
@@ -246,7 +284,8 @@ class SlicedRows:
     def _put(self, slices, start, signals):
         pieces = slices.setdefault(start, [])
         piece = (*start, len(pieces), len(signals))
-        self.pending.updateValue(piece, _packed(signals))
+        times, *fields = _packed(signals)
+        self.pending.updateValue(piece, (times, pickle.dumps(fields, pickle.HIGHEST_PROTOCOL)))
         pieces.append(piece)
 
 
@@ -258,12 +297,25 @@ class SlicedVisitTracker(SlicedRows, VisitTracker):
     def init(self, handle):
         self.handle = handle
         self.visit = handle.getValueState("visit", _VISIT_SCHEMA, self.ttl_ms)
-        self.pending = handle.getMapState("slices", _SLICE_SCHEMA, _PENDING_SCHEMA)
+        self.pending = handle.getMapState("slices", _SLICE_SCHEMA, _SLICE_VALUE)
+        self._person = lru_cache(_PERSONS)(_person)
 
     def handleInputRows(self, key, rows, timerValues):
-        self._take_in(_Signal(*(row[name] for name in _Signal._fields)) for row in rows)
+        self._take_in(self._signals(rows))
         yield from ()
 
+    def _signals(self, rows):
+        """Rows with the fields of a signal, or those of ``visit_events`` with a time and a text."""
+        rows = iter(rows)
+        for first in rows:
+            rows = chain([first], rows)
+            if "signal" not in first:
+                yield from fields_of(rows, _Signal._fields)
+                return
+            for time, text in fields_of(rows, ("event_ts", "signal")):
+                number, _, person = text.partition(" ")
+                yield micros(time), int(number) if number else None, *self._person(person)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
         slices = self._slices()
@@ -275,17 +327,27 @@ class SlicedVisitTracker(SlicedRows, VisitTracker):
 
 
 class TimedVisitTracker(SlicedVisitTracker):
-    """The tracker with the event's time as a timestamp too, for a stateful step behind it."""
-
-    def handleInputRows(self, key, rows, timerValues):
-        yield from map(_timed, super().handleInputRows(key, rows, timerValues))
+    """The tracker with the event's time as a timestamp too, for a stateful step behind it. Spark
+    collects all that the timers of a task give out, so only the ``kinds`` that this step reads go there.
+    """
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from map(_timed, super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
+        for event in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            if self.kinds is None or event.event_type in self.kinds:
+                yield _TimedEvent(*event, _EPOCH + timedelta(microseconds=event.event_us))
 
 
-def _timed(event):
-    return _TimedEvent(*event, _EPOCH + timedelta(microseconds=event.event_us))
+def micros(time):
+    """Microseconds since 1970, without the rounding of seconds as a float."""
+    if time is None:
+        return None
+    past = (time if time.tzinfo else time.astimezone()) - _EPOCH
+    return (past.days * 86_400 + past.seconds) * 1_000_000 + past.microseconds
+
+
+def _person(text):
+    found = json.loads(text)
+    return tuple(map(found.get, _Signal._fields[2:]))
 
 
 def _packed(signals):
@@ -293,31 +355,37 @@ def _packed(signals):
 
 
 def visit_events(
-    flow, threshold_ms, event_time=True, ttl_ms=None, expire_ms=None, opened=None, chained=False
+    flow,
+    threshold_ms,
+    event_time=True,
+    ttl_ms=None,
+    expire_ms=None,
+    opened=None,
+    chained=False,
+    kinds=None,
 ):
     """The event stream of a flow with a ``watched`` flag (see ``live.with_watch_flag``).
 
     ``ttl_ms`` drops the state of subscribers not seen for that long; Spark offers it in
     processing time only. ``expire_ms`` does so in event time, by timers. ``opened`` holds visits
     that are open when the stream starts, one per subscriber (see ``open_visits``). With
-    ``chained`` the events keep a watermark, so another stateful step may follow.
+    ``chained`` the events keep a watermark, so another stateful step may follow, and ``kinds`` may
+    name the event types that it reads.
     """
-    rows = flow.select(
-        "imsi",
-        "event_ts",
-        F.unix_micros("event_ts").alias("event_us"),
-        "event_id",
-        "region_id",
-        "watched",
-        "gender",
-        "age",
-    )
+    if event_time:
+        # Python gets every cell of every row by itself, so all but the time is one text.
+        number = F.coalesce(F.col("event_id").cast("string"), F.lit(""))
+        person = F.to_json(F.struct(*_Signal._fields[2:]))
+        rows = flow.select("imsi", "event_ts", F.concat(number, F.lit(" "), person).alias("signal"))
+    else:
+        time_us = F.unix_micros("event_ts").alias("event_us")
+        rows = flow.select("imsi", "event_ts", time_us, *_Signal._fields[1:])
     tracker = TimedVisitTracker if chained else SlicedVisitTracker if event_time else VisitTracker
     more = {"eventTimeColumnName": "event_ts"} if chained else {}
     if opened is not None:
         more["initialState"] = opened.groupBy("imsi")
     events = rows.groupBy("imsi").transformWithState(
-        statefulProcessor=tracker(threshold_ms, event_time, ttl_ms, expire_ms),
+        statefulProcessor=tracker(threshold_ms, event_time, ttl_ms, expire_ms, kinds),
         outputStructType=f"{EVENT_SCHEMA}, event_ts timestamp" if chained else EVENT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime" if event_time else "ProcessingTime",

@@ -69,7 +69,11 @@ def start_running_stays(stream, targets, threshold_ms, out, checkpoint, expire_m
     """
     use_rocksdb(stream.sparkSession)
     events = visits.visit_events(
-        live.with_watch_flag(stream, targets), threshold_ms, expire_ms=expire_ms, chained=True
+        live.with_watch_flag(stream, targets),
+        threshold_ms,
+        expire_ms=expire_ms,
+        chained=True,
+        kinds=(flow.STAY_BEGAN, flow.STAY_ENDED),
     )
     return _start(
         running.running_stays(events),

@@ -22,7 +22,7 @@ END_ID = 0
 # Parts that one worker remembers; beyond that it starts anew. Results do not depend on it.
 MAX_PARTS = 300_000
 # Bytes of text that are handled at once, and of parts that are encoded in one call.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 CALL_BYTES = 1000
 
 _UNSAFE = (
@@ -205,7 +205,7 @@ class WordTokenizer:
             ids, lengths = self._block(texts.slice(start, stop - start))
             yield start, ids, lengths
             del ids, lengths
-            if n % 2:  # giving memory back takes time too
+            if n % 8 == 7:  # giving memory back takes time too
                 release()
         release()
 
